@@ -33,7 +33,7 @@ ANSWERS = """answer_events AS (
          l_shipdate, l_linenumber, l_quantity, l_partkey, l_orderkey
   FROM lineitem),
 answers AS (
-  SELECT applicant, item, level FROM answer_events
+  SELECT applicant, item, level, l_shipdate AS answered_at FROM answer_events
   QUALIFY row_number() OVER (PARTITION BY applicant, item
           ORDER BY l_shipdate DESC, l_linenumber DESC, l_quantity DESC, l_partkey DESC,
                    l_orderkey DESC) = 1)"""
@@ -82,3 +82,33 @@ def policy_cols(p: str) -> str:
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+def sql_list(values) -> str:
+    return "[" + ", ".join(sql_str(v) for v in values) + "]"
+
+
+def level_name_sql(level: str) -> str:
+    return f"{sql_list(fixed.LIKERT_LEVELS)}[{level}]"
+
+
+def qid(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def export_cte() -> str:
+    """Raw questionnaire export (needs the ANSWERS CTE)."""
+    from ..operators.prepare import QUESTION_HEADERS
+    cols = [
+        "applicant",
+        "strftime(max(answered_at), '%Y/%m/%d %H:%M:%S') AS \"Marca temporal\"",
+        "'Acepto' AS \"Consentimiento\"",
+        "10 + applicant % 80 AS \"EDAD\"",
+        f"{sql_list(fixed.TRAIN_JOBS)}[applicant % {len(fixed.TRAIN_JOBS)} + 1] AS \"SITUACION LABORAL\"",
+        f"{sql_list(fixed.TRAIN_DISTRICTS)}[applicant % {len(fixed.TRAIN_DISTRICTS)} + 1] AS \"DISTRITO DE RESIDENCIA\"",
+        f"{sql_list(fixed.TRAIN_EDUCATION)}[applicant % {len(fixed.TRAIN_EDUCATION)} + 1] AS \"NIVEL EDUCATIVO\"",
+    ]
+    for code, header in zip(fixed.ITEM_CODES, QUESTION_HEADERS):
+        cols.append(f"max(CASE WHEN item = '{code}' THEN {level_name_sql('level')} END) AS {qid(header)}")
+    cols.append(f"CAST(NULL AS VARCHAR) AS {qid(fixed.PAYMENT_QUESTION)}")
+    return "export AS (SELECT " + ",\n  ".join(cols) + "\nFROM answers GROUP BY applicant)"

@@ -92,7 +92,8 @@ def answers_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         answer_events(spark, sf_dir)
         .groupBy("applicant", "item")
-        .agg(F.max_by("level", "version").alias("level"))
+        .agg(F.max_by("level", "version").alias("level"),
+             F.max("version").getField("l_shipdate").alias("answered_at"))
     )
 
 
