@@ -13,7 +13,7 @@ from ..operators import report as R
 from ..sources import testdata as td
 from .modelsql import auc_select, card_ctes, confusion_cte, model_ctes, report_select, split_ctes
 from .registry import query
-from .sqlparts import TRAINING, policy_case, with_
+from .sqlparts import TRAINING, policy_case, r6, with_
 
 FEATURES = td.FEATURES
 ALPHA = 1.0
@@ -92,8 +92,8 @@ def ordered_target_enc(spark, sf_dir):
 
 
 @query("scorecard_fit", with_(TRAINING, *split_ctes(20, 25), *card_ctes(FEATURES, ALPHA)) + """
-SELECT feature, level, pos, neg, k, round(weight, 6) AS weight, round(unseen, 6) AS unseen,
-       round(intercept, 6) AS intercept, round(mean_w, 6) AS mean_w FROM card""")
+SELECT feature, level, pos, neg, k, """ + r6("weight") + """ AS weight, """ + r6("unseen") + """ AS unseen,
+       """ + r6("intercept") + """ AS intercept, """ + r6("mean_w") + """ AS mean_w FROM card""")
 def scorecard_fit(spark, sf_dir):
     """M5: additive log-odds per (feature, level) from training counts."""
     card = Model(spark, sf_dir).card
@@ -102,7 +102,7 @@ def scorecard_fit(spark, sf_dir):
 
 
 @query("scorecard_score", MODEL_SQL + """
-SELECT id, split, label, round(logit, 6) AS logit, round(p, 6) AS p_default,
+SELECT id, split, label, """ + r6("logit") + """ AS logit, round(p, 6) AS p_default,
        """ + policy_case("p", "tramo") + """ AS tramo
 FROM scored""")
 def scorecard_score(spark, sf_dir):
@@ -122,7 +122,7 @@ def auc(spark, sf_dir):
 SELECT max(auc) FILTER (WHERE split = 'train') AS auc_train,
        max(auc) FILTER (WHERE split = 'val') AS auc_validation,
        max(auc) FILTER (WHERE split = 'test') AS auc_test,
-       round(max(auc) FILTER (WHERE split = 'train') - max(auc) FILTER (WHERE split = 'test'), 6)
+       """ + r6("max(auc) FILTER (WHERE split = 'train') - max(auc) FILTER (WHERE split = 'test')") + """
          AS train_test_gap
 FROM aucs""")
 def auc_gap(spark, sf_dir):
@@ -168,7 +168,7 @@ _PHI_SQL = MODEL_SQL + ", phi AS (" + " UNION ALL ".join(
     f"w_{f} - (SELECT min(mean_w) FROM card WHERE feature = '{f}') AS phi FROM scored" for f in FEATURES) + ")\n"
 
 
-@query("shap_linear", _PHI_SQL + "SELECT id, split, feature, input_value, round(phi, 6) AS phi FROM phi")
+@query("shap_linear", _PHI_SQL + f"SELECT id, split, feature, input_value, {r6('phi')} AS phi FROM phi")
 def shap_linear(spark, sf_dir):
     """Per-row additive attributions (φ = term − training mean of term)."""
     return _phi(spark, sf_dir).withColumn("phi", C.r6("phi"))
@@ -186,7 +186,7 @@ def topk_per_row(phi: DataFrame, k: int, id_col: str = "id") -> DataFrame:
 
 
 @query("topk_attr", _PHI_SQL + f"""
-SELECT id, feature, input_value, round(phi, 6) AS phi, rank,
+SELECT id, feature, input_value, {r6('phi')} AS phi, CAST(rank AS INTEGER) AS rank,
        CASE WHEN phi > 0 THEN 'up' ELSE 'down' END AS direccion
 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(phi) DESC, feature) AS rank FROM phi)
 WHERE rank <= {fixed.TOP_FEATURES}""")
@@ -213,7 +213,7 @@ def global_importance(spark, sf_dir):
 @query("topk_importance", _PHI_SQL + f"""
 , imp AS (SELECT feature, avg(abs(phi)) AS v FROM phi GROUP BY feature)
 SELECT feature, round(v, 6) AS mean_abs_phi,
-       row_number() OVER (ORDER BY v DESC, feature) AS rank,
+       CAST(row_number() OVER (ORDER BY v DESC, feature) AS INTEGER) AS rank,
        round(v * 100.0 / (SELECT sum(v) FROM imp), 6) AS share_pct
 FROM imp ORDER BY v DESC, feature LIMIT {fixed.TOP_FEATURES}""")
 def topk_importance(spark, sf_dir):

@@ -174,7 +174,7 @@ def completeness(spark, sf_dir):
   SELECT a.applicant, i.pillar, COUNT(DISTINCT a.item) AS n
   FROM answers a JOIN items i ON a.item = i.item GROUP BY ALL),
 expected AS (SELECT pillar, COUNT(*) AS e FROM items GROUP BY pillar)
-SELECT applicant, COUNT(*) FILTER (WHERE n = e) AS bloques, SUM(n) AS respondidas
+SELECT applicant, COUNT(*) FILTER (WHERE n = e) AS bloques, CAST(SUM(n) AS BIGINT) AS respondidas
 FROM per_pillar p JOIN expected x ON p.pillar = x.pillar
 GROUP BY applicant HAVING COUNT(*) FILTER (WHERE n = e) = {len(fixed.PILLARS)}""")
 def complete_applicants(spark, sf_dir):

@@ -112,3 +112,8 @@ def export_cte() -> str:
         cols.append(f"max(CASE WHEN item = '{code}' THEN {level_name_sql('level')} END) AS {qid(header)}")
     cols.append(f"CAST(NULL AS VARCHAR) AS {qid(fixed.PAYMENT_QUESTION)}")
     return "export AS (SELECT " + ",\n  ".join(cols) + "\nFROM answers GROUP BY applicant)"
+
+
+def r6(x: str) -> str:
+    """round to 6 decimals; ``+ 0.0`` turns DuckDB's -0.0 into 0.0 like Spark."""
+    return f"(round({x}, 6) + 0.0)"
