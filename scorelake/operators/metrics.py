@@ -18,11 +18,27 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 
 
+TIE_DECIMALS = 12
+
+
 def auc(df: DataFrame, score: str = "p", label: str = "label", by: list[str] | None = None,
         buckets: int = 4096, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
-    """Exact AUC per ``by`` group (scores assumed within [lo, hi] for bucketing;
-    out-of-range scores are clamped to the edge buckets, still exact)."""
+    """Exact AUC per ``by`` group, rounded to 6 decimals."""
+    by = by or []
+    a = auc_exact(df, score, label, by, buckets, lo, hi)
+    return a.select(*by, C.r6("_auc").alias("auc"), "n_pos", "n_neg")
+
+
+def auc_exact(df: DataFrame, score: str = "p", label: str = "label", by: list[str] | None = None,
+              buckets: int = 4096, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
+    """Unrounded AUC (``_auc``) per ``by`` group.  Scores are bucketed over
+    [lo, hi]; out-of-range scores fall in the edge buckets, still exact.
+
+    Scores are compared at 12 decimals: sums of the same terms in another
+    order differ in the last bit, and mathematically equal scores must tie.
+    """
     by = by or []
+    df = df.withColumn(score, F.round(F.col(score), TIE_DECIMALS))
     per = df.groupBy(*by, score).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
     width = (hi - lo) / buckets
@@ -39,7 +55,7 @@ def auc(df: DataFrame, score: str = "p", label: str = "label", by: list[str] | N
     agg = j.groupBy(*by).agg(F.sum(num).alias("_num"), F.sum("pos").alias("n_pos"),
                              F.sum("neg").alias("n_neg"))
     den = F.lit(2.0) * F.col("n_pos") * F.col("n_neg")
-    return agg.select(*by, C.r6(F.try_divide(F.col("_num").cast("double"), den)).alias("auc"),
+    return agg.select(*by, F.try_divide(F.col("_num").cast("double"), den).alias("_auc"),
                       "n_pos", "n_neg")
 
 

@@ -26,13 +26,22 @@ CARD_COLUMNS = ["feature", "level", "pos", "neg", "k", "weight", "unseen", "inte
 
 
 def fit(df: DataFrame, features: list[str], label: str = "label", alpha: float = 1.0,
-        split: str | None = "train") -> DataFrame:
+        split: str | None = "train", oversample: bool = False) -> DataFrame:
+    """``oversample`` replicates every minority row ⌊majority / minority⌋
+    times (exact random oversampling), which scales that class's counts."""
     rows = df if split is None else df.filter(F.col("split") == split)
     long = long_features(rows, features, [label])
     counts = long.groupBy("feature", "level").agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    P = rows.select(F.count_if(F.col(label) == 1)).scalar()
-    N = rows.select(F.count_if(F.col(label) == 0)).scalar()
+    # class totals: one aggregate, two numbers back to the driver
+    tot = rows.agg(F.count_if(F.col(label) == 1).alias("P"), F.count_if(F.col(label) == 0).alias("N")).first()
+    p_n, n_n = int(tot["P"]), int(tot["N"])
+    if oversample and p_n and n_n:
+        fp, fn = max(1, n_n // p_n), max(1, p_n // n_n)
+        counts = counts.select("feature", "level", (F.col("pos") * F.lit(fp)).alias("pos"),
+                               (F.col("neg") * F.lit(fn)).alias("neg"))
+        p_n, n_n = p_n * fp, n_n * fn
+    P, N = F.lit(p_n).cast("long"), F.lit(n_n).cast("long")
     k = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("k"))
     a = F.lit(float(alpha))
     pk = P.cast("double") + a * F.col("k")

@@ -30,12 +30,18 @@ def split_frame(spark, sf_dir, test_pct=TEST_PCT, val_pct=VAL_PCT) -> DataFrame:
 
 
 class Model:
-    """The production scorecard (60/20/20 split, all features, α = 1)."""
+    """The production scorecard (60/20/20 split, all features, α = 1).
+
+    The split rows and the scorecard are cached: fitting, the per-feature
+    header and each scoring join read them again, and recomputing the split's
+    rank windows for every action would multiply the work (Spark ML caches
+    its training input for the same reason).
+    """
 
     def __init__(self, spark, sf_dir, features=FEATURES, alpha=ALPHA, test_pct=TEST_PCT, val_pct=VAL_PCT):
         self.features = list(features)
-        self.rows = split_frame(spark, sf_dir, test_pct, val_pct)
-        self.card = scorecard.fit(self.rows, self.features, "label", alpha)
+        self.rows = split_frame(spark, sf_dir, test_pct, val_pct).cache()
+        self.card = scorecard.fit(self.rows, self.features, "label", alpha).cache()
         self.header = scorecard.model_header(self.card)
 
     def scored(self, df: DataFrame | None = None) -> DataFrame:

@@ -11,56 +11,73 @@ def dbl(x) -> str:
     return D.format(repr(float(x)))
 
 
-def split_ctes(test_pct: int, val_pct: int, seed: int = 42, src: str = "training") -> list[str]:
+def split_ctes(test_pct: int, val_pct: int, seed: int = 42, src: str = "training", pre: str = "") -> list[str]:
     t, v = int(test_pct), int(val_pct)
     return [
-        f"labeled AS (SELECT *, CASE WHEN target = 'Sí' THEN 1 ELSE 0 END AS label FROM {src})",
-        f"""split AS (
+        f"{pre}labeled AS (SELECT *, CASE WHEN target = 'Sí' THEN 1 ELSE 0 END AS label FROM {src})",
+        f"""{pre}split AS (
   SELECT * EXCLUDE (pos, n_c),
          CASE WHEN pos < n_c * {t} // 100 THEN 'test'
               WHEN pos < n_c * {t} // 100 + (n_c - n_c * {t} // 100) * {v} // 100 THEN 'val'
               ELSE 'train' END AS split
   FROM (SELECT *, row_number() OVER (PARTITION BY label
                     ORDER BY md5('{seed}~' || CAST(id AS VARCHAR)), id) - 1 AS pos,
-               COUNT(*) OVER (PARTITION BY label) AS n_c FROM labeled))""",
+               COUNT(*) OVER (PARTITION BY label) AS n_c FROM {pre}labeled))""",
     ]
 
 
-def card_ctes(features: list[str], alpha: float = 1.0) -> list[str]:
+def card_ctes(features: list[str], alpha: float = 1.0, pre: str = "", oversample: bool = False) -> list[str]:
     a = dbl(alpha)
     long = " UNION ALL ".join(
-        f"SELECT label, '{f}' AS feature, CAST({f} AS VARCHAR) AS level FROM train" for f in features)
-    return [
-        "train AS (SELECT * FROM split WHERE split = 'train')",
-        f"long AS ({long})",
-        "tot AS (SELECT COUNT(*) FILTER (WHERE label = 1) AS P, COUNT(*) FILTER (WHERE label = 0) AS N FROM train)",
-        """cnt AS (SELECT feature, level, COUNT(*) FILTER (WHERE label = 1) AS pos,
-                      COUNT(*) FILTER (WHERE label = 0) AS neg FROM long GROUP BY feature, level)""",
-        "kk AS (SELECT feature, COUNT(*) AS k FROM cnt GROUP BY feature)",
-        f"""card0 AS (
+        f"SELECT label, '{f}' AS feature, CAST({f} AS VARCHAR) AS level FROM {pre}train" for f in features)
+    if oversample:
+        fac = (f"{pre}fac AS (SELECT greatest(1, CAST(floor(N / P) AS BIGINT)) AS fp, "
+               f"greatest(1, CAST(floor(P / N) AS BIGINT)) AS fn FROM {pre}tot0)")
+        tot = f"{pre}tot AS (SELECT P * fp AS P, N * fn AS N FROM {pre}tot0, {pre}fac)"
+        cnt = (f"{pre}cnt AS (SELECT feature, level, pos * (SELECT fp FROM {pre}fac) AS pos, "
+               f"neg * (SELECT fn FROM {pre}fac) AS neg FROM {pre}cnt0)")
+    else:
+        fac = None
+        tot = f"{pre}tot AS (SELECT P, N FROM {pre}tot0)"
+        cnt = f"{pre}cnt AS (SELECT * FROM {pre}cnt0)"
+    ctes = [
+        f"{pre}train AS (SELECT * FROM {pre}split WHERE split = 'train')",
+        f"{pre}long AS ({long})",
+        f"""{pre}tot0 AS (SELECT COUNT(*) FILTER (WHERE label = 1) AS P, COUNT(*) FILTER (WHERE label = 0) AS N
+        FROM {pre}train)""",
+        f"""{pre}cnt0 AS (SELECT feature, level, COUNT(*) FILTER (WHERE label = 1) AS pos,
+                      COUNT(*) FILTER (WHERE label = 0) AS neg FROM {pre}long GROUP BY feature, level)""",
+    ]
+    if fac:
+        ctes.append(fac)
+    ctes += [
+        tot, cnt,
+        f"{pre}kk AS (SELECT feature, COUNT(*) AS k FROM {pre}cnt GROUP BY feature)",
+        f"""{pre}card0 AS (
   SELECT c.feature, c.level, c.pos, c.neg, kk.k,
          ln((CAST(c.pos AS DOUBLE) + {a}) / (CAST(tot.P AS DOUBLE) + {a} * kk.k))
            - ln((CAST(c.neg AS DOUBLE) + {a}) / (CAST(tot.N AS DOUBLE) + {a} * kk.k)) AS weight,
          ln({a} / (CAST(tot.P AS DOUBLE) + {a} * kk.k)) - ln({a} / (CAST(tot.N AS DOUBLE) + {a} * kk.k)) AS unseen,
          ln(tot.P / tot.N) AS intercept
-  FROM cnt c JOIN kk ON c.feature = kk.feature CROSS JOIN tot)""",
-        """mw AS (SELECT feature, SUM((pos + neg) * weight) / (SELECT P + N FROM tot) AS mean_w
-        FROM card0 GROUP BY feature)""",
-        "card AS (SELECT card0.*, mw.mean_w FROM card0 JOIN mw ON card0.feature = mw.feature)",
+  FROM {pre}cnt c JOIN {pre}kk kk ON c.feature = kk.feature CROSS JOIN {pre}tot tot)""",
+        f"""{pre}mw AS (SELECT feature, SUM((pos + neg) * weight) / (SELECT P + N FROM {pre}tot) AS mean_w
+        FROM {pre}card0 GROUP BY feature)""",
+        f"{pre}card AS (SELECT {pre}card0.*, {pre}mw.mean_w FROM {pre}card0 JOIN {pre}mw ON {pre}card0.feature = {pre}mw.feature)",
     ]
+    return ctes
 
 
 def scored_cte(features: list[str], src: str = "split", name: str = "scored",
-               overrides: dict[str, str] | None = None) -> str:
+               overrides: dict[str, str] | None = None, card: str = "card") -> str:
     """Terms, logit and p for every row of ``src``; ``overrides`` maps a
     feature to an SQL expression replacing its value (counterfactuals)."""
     overrides = overrides or {}
     joins, terms = [], []
     for i, f in enumerate(features):
         val = overrides.get(f, f"s.{f}")
-        joins.append(f"LEFT JOIN card c{i} ON c{i}.feature = '{f}' AND c{i}.level = CAST({val} AS VARCHAR)")
-        terms.append(f"COALESCE(c{i}.weight, (SELECT min(unseen) FROM card WHERE feature = '{f}')) AS w_{f}")
-    logit = " + ".join(["(SELECT min(intercept) FROM card)"] + [f"w_{f}" for f in features])
+        joins.append(f"LEFT JOIN {card} c{i} ON c{i}.feature = '{f}' AND c{i}.level = CAST({val} AS VARCHAR)")
+        terms.append(f"COALESCE(c{i}.weight, (SELECT min(unseen) FROM {card} WHERE feature = '{f}')) AS w_{f}")
+    logit = " + ".join([f"(SELECT min(intercept) FROM {card})"] + [f"w_{f}" for f in features])
     return f"""{name}0 AS (SELECT s.*, {', '.join(terms)} FROM {src} s {' '.join(joins)}),
 {name} AS (SELECT *, {logit} AS logit, 1.0 / (1.0 + exp(-({logit}))) AS p FROM {name}0)"""
 
@@ -70,20 +87,26 @@ def model_ctes(features, alpha=1.0, test_pct=20, val_pct=25, seed=42) -> str:
                  scored_cte(features))
 
 
-def auc_select(src: str = "scored", by: str = "split") -> str:
-    return f"""per AS (SELECT {by}, p, COUNT(*) FILTER (WHERE label = 1) AS pos,
-                 COUNT(*) FILTER (WHERE label <> 1) AS neg FROM {src} GROUP BY {by}, p),
-cum AS (SELECT *, COALESCE(SUM(neg) OVER (PARTITION BY {by} ORDER BY p
-                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM per),
-aucs AS (SELECT {by}, round(CAST(SUM(pos * (2 * nb + neg)) AS DOUBLE)
-                  / (CAST(2.0 AS DOUBLE) * SUM(pos) * SUM(neg)), 6) AS auc,
+def run_ctes(pre: str, features, alpha, test_pct, val_pct, oversample, seed=42) -> list[str]:
+    return [*split_ctes(test_pct, val_pct, seed, pre=pre), *card_ctes(features, alpha, pre, oversample),
+            scored_cte(features, src=f"{pre}split", name=f"{pre}scored", card=f"{pre}card")]
+
+
+def auc_select(src: str = "scored", by: str = "split", pre: str = "") -> str:
+    return f"""{pre}per AS (SELECT {by}, round(p, 12) AS p, COUNT(*) FILTER (WHERE label = 1) AS pos,
+                 COUNT(*) FILTER (WHERE label <> 1) AS neg FROM {src} GROUP BY {by}, round(p, 12)),
+{pre}cum AS (SELECT *, COALESCE(SUM(neg) OVER (PARTITION BY {by} ORDER BY p
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM {pre}per),
+{pre}aucx AS (SELECT {by}, CAST(SUM(pos * (2 * nb + neg)) AS DOUBLE)
+                  / (CAST(2.0 AS DOUBLE) * SUM(pos) * SUM(neg)) AS auc_exact,
                 CAST(SUM(pos) AS BIGINT) AS n_pos, CAST(SUM(neg) AS BIGINT) AS n_neg
-         FROM cum GROUP BY {by})"""
+         FROM {pre}cum GROUP BY {by}),
+{pre}aucs AS (SELECT {by}, round(auc_exact, 6) AS auc, n_pos, n_neg FROM {pre}aucx)"""
 
 
-def confusion_cte(src: str = "scored", where: str = "split = 'test'", cut: float = 0.5) -> str:
+def confusion_cte(src: str = "scored", where: str = "split = 'test'", cut: float = 0.5, pre: str = "") -> str:
     c = dbl(cut)
-    return f"""cm AS (SELECT COUNT(*) FILTER (WHERE p < {c} AND label <> 1) AS tn,
+    return f"""{pre}cm AS (SELECT COUNT(*) FILTER (WHERE p < {c} AND label <> 1) AS tn,
                  COUNT(*) FILTER (WHERE p >= {c} AND label <> 1) AS fp,
                  COUNT(*) FILTER (WHERE p < {c} AND label = 1) AS fn,
                  COUNT(*) FILTER (WHERE p >= {c} AND label = 1) AS tp
@@ -98,7 +121,7 @@ def _f1(p, r):
     return f"COALESCE(2 * ({p}) * ({r}) / NULLIF(({p}) + ({r}), 0), 0.0)"
 
 
-def report_select() -> str:
+def report_select(pre: str = "") -> str:
     p1, r1 = _ratio("tp", "tp + fp"), _ratio("tp", "tp + fn")
     p0, r0 = _ratio("tn", "tn + fn"), _ratio("tn", "tn + fp")
     acc = _ratio("tp + tn", "tn + fp + fn + tp")
@@ -113,6 +136,6 @@ def report_select() -> str:
         f"{_ratio(f'({r0}) * (tn + fp) + ({r1}) * (tp + fn)', tot)}, "
         f"{_ratio(f'({f0}) * (tn + fp) + ({f1}) * (tp + fn)', tot)}, {tot})",
     ]
-    parts = [f"SELECT * FROM (SELECT {r[1:-1]} FROM cm) AS t(clase, pr, rc, f, sup)" for r in rows]
+    parts = [f"SELECT * FROM (SELECT {r[1:-1]} FROM {pre}cm) AS t(clase, pr, rc, f, sup)" for r in rows]
     return ("SELECT clase, round(pr, 6) AS precision, round(rc, 6) AS recall, round(f, 6) AS f1, "
             "CAST(sup AS BIGINT) AS support FROM (" + " UNION ALL ".join(parts) + ")")
