@@ -62,20 +62,29 @@ def model_header(card: DataFrame) -> dict[str, dict[str, float]]:
     """Per-feature constants (one row per feature — bounded by the schema)."""
     rows = card.groupBy("feature").agg(
         F.first("unseen").alias("unseen"), F.first("intercept").alias("intercept"),
-        F.first("mean_w").alias("mean_w")).collect()
-    return {r["feature"]: {"unseen": r["unseen"], "intercept": r["intercept"], "mean_w": r["mean_w"]}
-            for r in rows}
+        F.first("mean_w").alias("mean_w"), F.count(F.lit(1)).alias("k")).collect()
+    return {r["feature"]: {"unseen": r["unseen"], "intercept": r["intercept"], "mean_w": r["mean_w"],
+                           "k": r["k"]} for r in rows}
 
 
 def term_columns(df: DataFrame, card: DataFrame, features: list[str],
                  header: dict | None = None, max_broadcast_rows: int = 200_000) -> DataFrame:
-    """Add ``w_<feature>`` (the feature's log-odds term) for every row."""
+    """Add ``w_<feature>`` (the feature's log-odds term) for every row.
+
+    A feature's lookup table is broadcast only when its level count (known
+    from the model header) is below ``max_broadcast_rows``; otherwise the
+    lookup is a shuffle join.
+    """
     header = header or model_header(card)
     out = df
     for f in features:
         lookup = card.filter(F.col("feature") == f).select(
             F.col("level").alias(f"_lv_{f}"), F.col("weight").alias(f"_wt_{f}"))
-        lookup = sized_broadcast(lookup, max_broadcast_rows)
+        k = header[f].get("k")
+        if k is None:
+            lookup = sized_broadcast(lookup, max_broadcast_rows)
+        elif k <= max_broadcast_rows:
+            lookup = F.broadcast(lookup)
         out = (out.join(lookup, F.col(f).cast("string") == F.col(f"_lv_{f}"), "left")
                .withColumn(f"w_{f}", F.coalesce(F.col(f"_wt_{f}"), F.lit(header[f]["unseen"])))
                .drop(f"_lv_{f}", f"_wt_{f}"))

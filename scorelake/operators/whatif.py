@@ -111,13 +111,19 @@ def perturb(answers: DataFrame, counts=None, seed: int = fixed.RANDOM_SEED) -> D
 
 
 def sensitivity(answers: DataFrame, items: DataFrame, counts=None, seed: int = fixed.RANDOM_SEED) -> DataFrame:
-    """Per (applicant, n): original p, perturbed p, delta, tier change."""
-    base = rule_probability(pillar_scores(adjusted_answers(answers, items), ["applicant"]), ["applicant"])
-    pert = perturb(answers, counts, seed)
-    new = rule_probability(pillar_scores(adjusted_answers(pert, items), ["applicant", "n"]),
-                           ["applicant", "n"])
-    j = new.select("applicant", "n", F.col("p").alias("_pn")).join(
-        base.select("applicant", F.col("p").alias("_po")), "applicant")
+    """Per (applicant, n): original p, perturbed p, delta, tier change.
+
+    One pass: n = 0 is carried as the unperturbed replica, every replica is
+    scored by the same aggregates, and the original p reaches its siblings
+    through a window partitioned by applicant (five rows per group).
+    """
+    counts = counts or fixed.PERTURBATION_COUNTS
+    pert = perturb(answers, [0, *counts], seed)
+    scored = rule_probability(pillar_scores(adjusted_answers(pert, items), ["applicant", "n"]),
+                              ["applicant", "n"])
+    base = F.max(F.when(F.col("n") == 0, F.col("p"))).over(Window.partitionBy("applicant"))
+    j = (scored.withColumn("_po", base).filter(F.col("n") > 0)
+         .select("applicant", "n", F.col("p").alias("_pn"), "_po"))
     t0 = C.policy_column("_po", "tramo")
     t1 = C.policy_column("_pn", "tramo")
     return j.select(
