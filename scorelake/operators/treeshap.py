@@ -15,9 +15,8 @@ and the base value is Σ v·Π r (Lundberg et al., arXiv:1802.03888).
 
 The model (at most trees × 2^depth leaves, fixed by hyper-parameters) is read
 from its saved node table and compiled once into a literal array of leaf
-structs; rows then explode that array (cost rows × leaves, as any tree
-explainer), and ``groupBy(id, feature)`` — partially aggregated per task —
-sums the shares.  Spark's margin F gives p = 1/(1+e^(−2F)), so shares are
+structs; each row folds that array with ``aggregate`` (cost rows × leaves,
+as any tree explainer) into one share per feature — no explode, no shuffle.  Spark's margin F gives p = 1/(1+e^(−2F)), so shares are
 reported on the log-odds scale (×2).
 """
 
@@ -101,30 +100,22 @@ def base_value(leaves: list[dict]) -> float:
     return 2.0 * total
 
 
-def attributions(df: DataFrame, leaves: list[dict], index_cols: list[str], names: list[str],
-                 id_col: str = "id") -> DataFrame:
-    """(id, feature, phi) on the log-odds scale; ``index_cols`` hold the
-    model's input values in feature-index order."""
-    if any(len(leaf["conds"]) > 3 for leaf in leaves):
-        raise ValueError("closed-form shares are implemented for paths with at most 3 features")
-    xs = F.array(*[F.col(c).cast("double") for c in index_cols])
-    leaf_arr = F.array(*[_leaf_literal(leaf) for leaf in leaves])
-    x = df.select(F.col(id_col), xs.alias("_x"), F.explode(leaf_arr).alias("_l"))
+def _shares(leaf, xs):
+    """Shares of one leaf (a struct Column) for the row ``xs``: three
+    (feature index, φ) pairs, null where the path has fewer features."""
+    c = leaf.getField("c")
+    d = F.size(c)
+    v = leaf.getField("v")
 
     def ind(k):
-        c = F.get(F.col("_l.c"), k)
-        xv = F.get(F.col("_x"), c.getField("f"))
-        ok = F.when(c.getField("cat"), F.array_contains(c.getField("set"), xv)).otherwise(
-            (xv > c.getField("lo")) & (xv <= c.getField("hi")))
+        ck = F.get(c, k)
+        xv = F.get(xs, ck.getField("f"))
+        ok = F.when(ck.getField("cat"), F.array_contains(ck.getField("set"), xv)).otherwise(
+            (xv > ck.getField("lo")) & (xv <= ck.getField("hi")))
         return F.when(ok, F.lit(1.0)).otherwise(F.lit(0.0))
 
-    def r(k):
-        return F.get(F.col("_l.c"), k).getField("r")
-
-    d = F.size("_l.c")
-    v = F.col("_l.v")
     I = [F.when(d > k, ind(k)) for k in range(3)]
-    R = [F.when(d > k, r(k)) for k in range(3)]
+    R = [F.when(d > k, F.get(c, k).getField("r")) for k in range(3)]
 
     def h(a, b):
         return R[a] * R[b] / 3.0 + (I[a] * R[b] + R[a] * I[b]) / 6.0 + I[a] * I[b] / 3.0
@@ -137,13 +128,35 @@ def attributions(df: DataFrame, leaves: list[dict], index_cols: list[str], names
         F.when(d == 2, lift(1) * (I[0] + R[0]) / 2.0).when(d == 3, lift(1) * h(0, 2)),
         F.when(d == 3, lift(2) * h(0, 1)),
     ]
+    feats = [F.when(d > k, F.get(c, k).getField("f")) for k in range(3)]
+    return feats, shares
+
+
+def attributions(df: DataFrame, leaves: list[dict], index_cols: list[str], names: list[str],
+                 id_col: str = "id") -> DataFrame:
+    """(id, feature, phi) on the log-odds scale; ``index_cols`` hold the
+    model's input values in feature-index order.
+
+    The shares of all leaves are summed inside the row (``aggregate`` over
+    the leaf array), so attribution needs no shuffle: one output row per
+    (row, feature) comes straight from ``posexplode``.
+    """
+    if any(len(leaf["conds"]) > 3 for leaf in leaves):
+        raise ValueError("closed-form shares are implemented for paths with at most 3 features")
+    xs = F.array(*[F.col(c).cast("double") for c in index_cols])
+    leaf_arr = F.array(*[_leaf_literal(leaf) for leaf in leaves])
+    zero = F.array(*[F.lit(0.0) for _ in index_cols])
+
+    def merge(acc, leaf):
+        feats, shares = _shares(leaf, F.col("_x"))
+        return F.transform(acc, lambda a, i: a + F.coalesce(
+            F.when(feats[0] == i, shares[0]).when(feats[1] == i, shares[1]).when(feats[2] == i, shares[2]),
+            F.lit(0.0)))
 
-    parts = F.array(*[F.struct(F.when(d > k, F.get(F.col("_l.c"), k).getField("f")).alias("f"),
-                               shares[k].alias("phi")) for k in range(3)])
-    long = x.select(id_col, F.inline(parts)).filter(F.col("f").isNotNull())
+    phi = F.aggregate(leaf_arr, zero, merge)
     name_arr = F.array(*[F.lit(n) for n in names])
-    return (long.groupBy(id_col, "f").agg((F.sum("phi") * 2.0).alias("phi"))
-            .select(id_col, F.get(name_arr, F.col("f")).alias("feature"), "phi"))
+    out = df.select(F.col(id_col), xs.alias("_x")).select(id_col, F.posexplode(phi).alias("_f", "_phi"))
+    return out.select(id_col, F.get(name_arr, F.col("_f")).alias("feature"), (F.col("_phi") * 2.0).alias("phi"))
 
 
 def save_model(model: GBTClassificationModel, path: str) -> str:
