@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 
 
-def pipeline(features: list[str], max_iter: int, depth: int = 3, step: float = 0.1,
-             min_instances: int = 25, seed: int = fixed.RANDOM_SEED, weight_col: str | None = "weight",
-             max_bins: int = 64) -> Pipeline:
+def build_estimator(features: list[str], max_iter: int, depth: int = 3, step: float = 0.1,
+                    min_instances: int = 25, seed: int = fixed.RANDOM_SEED,
+                    weight_col: str | None = "weight", max_bins: int = 64) -> Pipeline:
     idx = StringIndexer(inputCols=[f"{f}_s" for f in features], outputCols=[f"{f}_idx" for f in features],
                         handleInvalid="keep", stringOrderType="alphabetAsc")
     asm = VectorAssembler(inputCols=[f"{f}_idx" for f in features], outputCol="features")
@@ -52,12 +52,12 @@ def fit_best_prefix(rows: DataFrame, features: list[str], max_iter: int = 30, **
     data = as_strings(with_weights(rows), features).cache()
     train = data.filter(F.col("split") == "train")
     val = data.filter(F.col("split") == "val")
-    model = pipeline(features, max_iter, **kw).fit(train)
+    model = build_estimator(features, max_iter, **kw).fit(train)
     prep = PipelineModel(stages=model.stages[:-1])
     losses = list(model.stages[-1].evaluateEachIteration(prep.transform(val)))
     best = min(range(len(losses)), key=lambda i: (losses[i], i)) + 1
     if best < max_iter:
-        model = pipeline(features, best, **kw).fit(train)
+        model = build_estimator(features, best, **kw).fit(train)
     return model, best, losses
 
 

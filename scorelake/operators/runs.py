@@ -105,3 +105,52 @@ def compare_runs(runs: DataFrame, baseline: str, final: str) -> DataFrame:
         (F.col("auc_test") == best_auc).alias("mejor_auc"),
         (F.col("gap") == best_gap).alias("mejor_gap"),
         C.r6(F.try_divide((base_gap - final_gap) * F.lit(100.0), base_gap)).alias("reduccion_pct"))
+
+
+GBT_CONFIGS = [
+    {"name": "Iteration_1_Baseline", "features": ALL_FEATURES, "depth": 6, "step": 0.1, "test_pct": 20,
+     "val_pct": 0, "oversample": False, "weights": False},
+    {"name": "Iteration_2_Oversampled", "features": ALL_FEATURES, "depth": 4, "step": 0.05, "test_pct": 20,
+     "val_pct": 0, "oversample": True, "weights": False},
+    {"name": "Iteration_3_Ablation", "features": ["nivel", "tamano"], "depth": 5, "step": 0.05, "test_pct": 20,
+     "val_pct": 0, "oversample": True, "weights": False},
+    {"name": "Iteration_4_Hardened", "features": ALL_FEATURES, "depth": 3, "step": 0.1, "test_pct": 20,
+     "val_pct": 25, "oversample": False, "weights": True},
+]
+
+
+def gbt_run_metrics(labeled: DataFrame, cfg: dict, max_iter: int = 20) -> DataFrame:
+    """One GBT configuration: optional SMOTEN rows added to training, optional
+    balanced weights and best validation prefix; train AUC on original rows."""
+    from . import gbt as G
+    from .resample import oversample
+
+    rows = stratified_split(labeled, "label", "id", cfg["test_pct"], cfg["val_pct"]).cache()
+    feats = cfg["features"]
+    fit_rows = rows
+    if cfg["oversample"]:
+        train = rows.filter(F.col("split") == "train").withColumns(
+            {f: F.col(f).cast("string") for f in feats})
+        syn = oversample(train, feats, [], "label", 5).select(
+            (-F.col("origen") * 1000 - F.col("j")).alias("id"), *feats, "label",
+            F.lit("train").alias("split"))
+        fit_rows = rows.select("id", *[F.col(f).cast("string").alias(f) for f in feats], "label", "split") \
+            .unionByName(syn)
+    if cfg["weights"] and cfg["val_pct"]:
+        model, best, _ = G.fit_best_prefix(fit_rows, feats, max_iter, depth=cfg["depth"], step=cfg["step"])
+    else:
+        data = G.as_strings(fit_rows.withColumn("weight", F.lit(1.0)), feats)
+        model = G.build_estimator(feats, max_iter, depth=cfg["depth"], step=cfg["step"], weight_col=None) \
+            .fit(data.filter(F.col("split") == "train"))
+        best = max_iter
+    scored = G.score(model, rows, feats).cache()
+    aucs = {r["split"]: r["auc"] for r in M.auc(scored, "p", "label", ["split"]).collect()}
+    rep = {r["clase"]: r for r in M.report_from_confusion(
+        M.confusion(scored.filter(F.col("split") == "test"))).collect()}
+    lit = lambda v: F.lit(v).cast("double")
+    return scored.limit(1).select(
+        F.lit(cfg["name"]).alias("run_name"), lit(aucs.get("train")).alias("auc_train"),
+        lit(aucs.get("test")).alias("auc_test"),
+        C.r6(lit(aucs.get("train")) - lit(aucs.get("test"))).alias("train_test_gap"),
+        lit(rep["accuracy"]["precision"]).alias("accuracy_test"), lit(rep["1"]["f1"]).alias("f1_riesgo"),
+        F.lit(best).alias("trees_used"))

@@ -52,3 +52,17 @@ def shap_tree(spark, sf_dir):
     log-odds scale; base + Σ φ equals the model's logit."""
     phi, base, _ = tree_attributions(spark, sf_dir)
     return phi.select("id", "feature", C.r6("phi").alias("phi"), C.r6(F.lit(base)).alias("base_value"))
+
+
+@query("runs_gbt")
+def runs_gbt(spark, sf_dir):
+    """M9 (trees): the four training iterations on Spark ML GBT — oversampled
+    (SMOTEN) and ablation variants included; rows-only."""
+    from ..operators import runs as RN
+    from .model import labeled
+    lab = labeled(spark, sf_dir)
+    out = None
+    for cfg in RN.GBT_CONFIGS:
+        r = RN.gbt_run_metrics(lab, cfg)
+        out = r if out is None else out.unionByName(r)
+    return out
