@@ -182,28 +182,22 @@ def validate(df: DataFrame, **names) -> DataFrame:
 def completeness(answers: DataFrame, items: DataFrame) -> DataFrame:
     """Answered / expected / missing / percent per (applicant, pillar).
 
-    Every applicant gets all pillars (an explode over the fixed pillar list,
-    not a join); answered counts come from one aggregate of the answers
-    joined to the 30-row item dictionary (broadcast).
+    ``answers`` holds one row per (applicant, item), so per-pillar counts are
+    ``count_if`` columns of a single aggregate over answers ⋈ the 30-row item
+    dictionary (broadcast); ``stack`` then yields every pillar of every
+    applicant (zeros included) — one pass over the answers, no grid join.
     """
-    expected = items.groupBy("pillar").agg(F.count(F.lit(1)).alias("esperadas"))
-    answered = (
-        answers.join(F.broadcast(items.select("item", "pillar")), "item")
-        .groupBy("applicant", "pillar").agg(F.count_distinct("item").alias("respondidas"))
-    )
-    grid = (answers.select("applicant").distinct()
-            .select("applicant", F.explode(F.array(*[F.lit(p) for p in fixed.PILLARS])).alias("pillar")))
-    return (
-        grid.join(answered, ["applicant", "pillar"], "left")
-        .join(F.broadcast(expected), "pillar")
-        .select(
-            "applicant", "pillar",
-            F.coalesce("respondidas", F.lit(0)).alias("respondidas"),
-            "esperadas",
-            (F.col("esperadas") - F.coalesce("respondidas", F.lit(0))).alias("faltantes"),
-            C.r6(F.coalesce("respondidas", F.lit(0)) * F.lit(100.0) / F.col("esperadas")).alias("pct"),
-        )
-    )
+    expected = {r["pillar"]: r["n"] for r in
+                items.groupBy("pillar").agg(F.count(F.lit(1)).alias("n")).collect()}
+    j = answers.join(F.broadcast(items.select("item", "pillar")), "item")
+    wide = j.groupBy("applicant").agg(
+        *[F.count_if(F.col("pillar") == p).alias(f"_n{i}") for i, p in enumerate(fixed.PILLARS)])
+    args = ", ".join(f"'{p}', _n{i}, {expected.get(p, 0)}L" for i, p in enumerate(fixed.PILLARS))
+    long = wide.selectExpr("applicant", f"stack({len(fixed.PILLARS)}, {args}) AS (pillar, respondidas, esperadas)")
+    return long.select(
+        "applicant", "pillar", "respondidas", "esperadas",
+        (F.col("esperadas") - F.col("respondidas")).alias("faltantes"),
+        C.r6(F.col("respondidas") * F.lit(100.0) / F.col("esperadas")).alias("pct"))
 
 
 def complete_applicants(answers: DataFrame, items: DataFrame, consent: DataFrame | None = None) -> DataFrame:
