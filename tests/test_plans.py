@@ -41,3 +41,32 @@ def test_items_lookup_is_broadcast(spark):
     registry.load_all()
     plan = registry.QUERIES["item_lookup"](spark, SF_SMALL)._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in plan
+
+
+def _unpartitioned_window_lines(plan: str):
+    import re
+    out = []
+    for ln in plan.splitlines():
+        for m in re.finditer(r"windowspecdefinition\(([^,]*)", ln):
+            first = m.group(1)
+            if re.search(r" (ASC|DESC) NULLS", first) or first.startswith("specifiedwindowframe"):
+                out.append(ln.strip())
+    return out
+
+
+# windows without PARTITION BY are allowed only over an already bounded input
+BOUNDED_WINDOWS = {"topk_importance"}  # rank over the k rows of TakeOrderedAndProject
+SLOW = {"runs_gbt", "gbt_score", "gbt_importance", "shap_tree", "smoten", "smote_nc", "stream_score",
+        "persist_three", "runs_log", "runs_compare", "audit_report"}
+
+
+def test_no_single_task_window_over_data(spark):
+    registry.load_all()
+    offenders = {}
+    for name, fn in registry.QUERIES.items():
+        if name in SLOW or name in BOUNDED_WINDOWS:
+            continue
+        lines = _unpartitioned_window_lines(_plan(fn(spark, SF_SMALL)))
+        if lines:
+            offenders[name] = lines[0][:160]
+    assert not offenders, offenders
