@@ -15,7 +15,7 @@ saves/loads as parquet and every number is reproducible in SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -42,20 +42,22 @@ def fit(df: DataFrame, features: list[str], label: str = "label", alpha: float =
                                (F.col("neg") * F.lit(fn)).alias("neg"))
         p_n, n_n = p_n * fp, n_n * fn
     P, N = F.lit(p_n).cast("long"), F.lit(n_n).cast("long")
-    k = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("k"))
+    # per-feature level count and training mean of the term: windows over the
+    # small count table (one group per feature), no extra join
+    per_feature = Window.partitionBy("feature")
     a = F.lit(float(alpha))
+    card = counts.withColumn("k", F.count(F.lit(1)).over(per_feature))
     pk = P.cast("double") + a * F.col("k")
     nk = N.cast("double") + a * F.col("k")
-    card = counts.join(F.broadcast(k), "feature").select(
+    card = card.select(
         "feature", "level", "pos", "neg", "k",
         (F.log((F.col("pos").cast("double") + a) / pk)
          - F.log((F.col("neg").cast("double") + a) / nk)).alias("weight"),
         (F.log(a / pk) - F.log(a / nk)).alias("unseen"),
-        F.log(P / N).alias("intercept"),
+        F.log(F.try_divide(P, N)).alias("intercept"),
     )
-    mean_w = card.groupBy("feature").agg(
-        (F.sum((F.col("pos") + F.col("neg")) * F.col("weight")) / (P + N)).alias("mean_w"))
-    return card.join(F.broadcast(mean_w), "feature").select(*CARD_COLUMNS)
+    mean_w = F.try_divide(F.sum((F.col("pos") + F.col("neg")) * F.col("weight")).over(per_feature), P + N)
+    return card.withColumn("mean_w", mean_w).select(*CARD_COLUMNS)
 
 
 def model_header(card: DataFrame) -> dict[str, dict[str, float]]:
