@@ -118,7 +118,10 @@ def sensitivity(answers: DataFrame, items: DataFrame, counts=None, seed: int = f
     through a window partitioned by applicant (five rows per group).
     """
     counts = counts or fixed.PERTURBATION_COUNTS
-    pert = perturb(answers, [0, *counts], seed)
+    # answers hold ≤ one row per (applicant, item), so hashing by applicant is
+    # skew-safe here; one exchange of 1× rows then serves the per-(applicant, n)
+    # window, every aggregate and the final per-applicant window
+    pert = perturb(answers.repartition("applicant"), [0, *counts], seed)
     scored = rule_probability(pillar_scores(adjusted_answers(pert, items), ["applicant", "n"]),
                               ["applicant", "n"])
     base = F.max(F.when(F.col("n") == 0, F.col("p"))).over(Window.partitionBy("applicant"))

@@ -92,8 +92,11 @@ pil AS (SELECT applicant, pillar, avg(s) AS score FROM sub GROUP BY ALL)
 
 @query("pillar_scores", _PILLAR_SQL + "SELECT applicant, pillar, round(score, 6) AS score FROM pil")
 def pillar_scores(spark, sf_dir):
-    """Reverse-keyed 6 − x, mean per sub-dimension, then per pillar."""
-    adj = W.adjusted_answers(td.answers_long(spark, sf_dir), td.items_df(spark))
+    """Reverse-keyed 6 − x, mean per sub-dimension, then per pillar.
+
+    After de-duplication an applicant has at most 30 answers, so one hash
+    exchange on applicant serves both aggregation levels."""
+    adj = W.adjusted_answers(td.answers_long(spark, sf_dir).repartition("applicant"), td.items_df(spark))
     return W.pillar_scores(adj, ["applicant"]).withColumn("score", C.r6("score"))
 
 
