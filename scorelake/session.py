@@ -66,6 +66,11 @@ def local_fs_path(path: str) -> str:
     return path[len("file:"):] if path.startswith("file:") else path
 
 
+def fits_broadcast(df: DataFrame, max_rows: int = 100_000) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows (reads ≤ max_rows + 1)."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def sized_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast ``df`` only after checking it is below ``max_rows``.
 
@@ -74,8 +79,7 @@ def sized_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     tables derived from data (scorecards, vocabularies); fixed literal tables
     with a known size can be broadcast directly.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import prepare as P
-from ..session import sized_broadcast
+from ..session import fits_broadcast
 
 PAYLOAD_SCHEMA = "k INT"
 TABLES = {
@@ -25,12 +25,29 @@ TABLES = {
 }
 
 
-def score_submissions(subs: DataFrame, users: DataFrame) -> DataFrame:
-    """T1 body: decode the payload, attach the user record (left join against
-    a size-checked broadcast of the static users table), validate, score."""
+SALTS = 16
+
+
+def attach_users(subs: DataFrame, users: DataFrame, max_broadcast_rows: int = 100_000) -> DataFrame:
+    """Left join of submissions with the static users table.
+
+    Broadcast when the table is proven small; otherwise a salted shuffle join:
+    streaming has no adaptive skew handling, and one user may send a third of
+    a micro-batch, so submissions spread over ``SALTS`` salts by a hash of
+    their id and every user row is replicated once per salt.
+    """
+    if fits_broadcast(users, max_broadcast_rows):
+        return subs.join(F.broadcast(users), "usuario_id", "left")
+    salted = subs.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    rep = users.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(rep, ["usuario_id", "_salt"], "left").drop("_salt")
+
+
+def score_submissions(subs: DataFrame, users: DataFrame, max_broadcast_rows: int = 100_000) -> DataFrame:
+    """T1 body: decode the payload, attach the user record, validate, score."""
     payload = C.json_or_null("payload", PAYLOAD_SCHEMA)
     parsed = subs.withColumn("k", payload.getField("k"))
-    j = parsed.join(sized_broadcast(users), "usuario_id", "left")
+    j = attach_users(parsed, users, max_broadcast_rows)
     codes = F.array_compact(F.concat(
         P.validation_codes(),
         F.array(F.when(F.col("k").isNull(), F.lit("payload")))))
