@@ -32,8 +32,9 @@ def _admin_rows(spark, sf_dir):
 
 @query("admin_latest", ADMIN_LATEST_SQL)
 def admin_latest(spark, sf_dir):
-    return R.admin_latest(td.users(spark, sf_dir), td.evaluations(spark, sf_dir),
-                          td.predictions(spark, sf_dir), 50)
+    """J1 + G2 + W3: newest 50 evaluations with user, P(default) and tier."""
+    return R.admin_latest_topk(td.users(spark, sf_dir), td.evaluations(spark, sf_dir),
+                               td.predictions(spark, sf_dir), 50)
 
 
 _KPI_SELECT = """
@@ -56,7 +57,9 @@ def kpi_all(spark, sf_dir):
        " FROM (SELECT * FROM joined ORDER BY fecha DESC, evaluacion_id DESC LIMIT 50)")
 def kpi_latest50(spark, sf_dir):
     """G3 over the 50 fetched rows, as the dashboard labels them "Total"."""
-    return R.kpis(R.newest(_admin_rows(spark, sf_dir), 50))
+    latest = R.admin_latest_topk(td.users(spark, sf_dir), td.evaluations(spark, sf_dir),
+                                 td.predictions(spark, sf_dir), 50)
+    return R.kpis(latest)
 
 
 @query("credit_policy", with_(LINE_PREDICTIONS) + f"""

@@ -122,3 +122,21 @@ def test_salted_user_join_equals_plain_join(spark):
     salted = SS.attach_users(subs, users, max_broadcast_rows=1)   # forces the salted path
     plain = subs.join(users, "usuario_id", "left")
     assert sorted(salted.collect()) == sorted(plain.select(*salted.columns).collect())
+
+
+def test_iterative_newest_matches_full_join(spark):
+    import datetime as dt
+    from scorelake.operators import report as R
+    base = dt.datetime(2024, 1, 1)
+    evals = spark.createDataFrame(
+        [(i, i % 7, base + dt.timedelta(days=i // 3)) for i in range(600)],
+        "evaluacion_id long, usuario_id long, fecha timestamp_ntz")
+    # only old evaluations (id < 300) and every 5th newer one have predictions
+    preds = spark.createDataFrame([(i, (i % 10) / 10.0) for i in range(600) if i < 300 or i % 5 == 0],
+                                  "evaluacion_id long, p_default double")
+    users = spark.createDataFrame([(u, f"u{u}", 30, "d", "n") for u in range(6)],
+                                  "usuario_id long, nombre string, edad int, distrito string, nivel_educativo string")
+    fast = R.admin_latest_topk(users, evals, preds, 50, start=1)
+    full = R.admin_latest(users, evals, preds, 50)
+    assert fast.collect() == full.collect()
+    assert fast.count() == 50
