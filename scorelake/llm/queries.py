@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scorelake.llm import exact_dedup as op10
+from scorelake.llm import language as op7
+from scorelake.llm import quality as op8
 from scorelake.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -27,3 +29,13 @@ def query(name: str, sql: str | None = None):
 @query("op10_exact_dedup", op10.ORACLE_SQL)
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op7_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7.language_id(table(spark, sf_dir, "documents"))
+
+
+@query("op8_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8.score_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
