@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scorelake.llm import exact_dedup as op10
 from scorelake.llm import language as op7
+from scorelake.llm import licenses as op9
+from scorelake.llm import mixing as op4
 from scorelake.llm import quality as op8
 from scorelake.llm.common import table
 
@@ -39,3 +41,14 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_quality_classifier")
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8.score_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_mixing", op4.ORACLE_SQL)
+def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = op4.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), budget=1.5, epochs=2.0)
+    return mixed.drop("tie")
+
+
+@query("op9_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9.scan(table(spark, sf_dir, "documents"))
