@@ -12,6 +12,7 @@ from scorelake.llm import language as op7
 from scorelake.llm import licenses as op9
 from scorelake.llm import mixing as op4
 from scorelake.llm import quality as op8
+from scorelake.llm import sentencepiece_fst as op6
 from scorelake.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -52,3 +53,8 @@ def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_license_scan")
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op6_sentencepiece")
+def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6.round_trip(table(spark, sf_dir, "documents"))
