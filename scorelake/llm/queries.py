@@ -13,6 +13,7 @@ from scorelake.llm import licenses as op9
 from scorelake.llm import mixing as op4
 from scorelake.llm import quality as op8
 from scorelake.llm import sentencepiece_fst as op6
+from scorelake.llm import warc as op3
 from scorelake.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -58,3 +59,8 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_sentencepiece")
 def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query("op3_warc_salvage", op3.ORACLE_SQL)
+def warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3.through_archives(spark, table(spark, sf_dir, "pages"), min_bytes=0)
