@@ -11,6 +11,7 @@ from scorelake.llm import exact_dedup as op10
 from scorelake.llm import language as op7
 from scorelake.llm import licenses as op9
 from scorelake.llm import mixing as op4
+from scorelake.llm import order_minhash as op5
 from scorelake.llm import quality as op8
 from scorelake.llm import sentencepiece_fst as op6
 from scorelake.llm import warc as op3
@@ -64,3 +65,8 @@ def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_warc_salvage", op3.ORACLE_SQL)
 def warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3.through_archives(spark, table(spark, sf_dir, "pages"), min_bytes=0)
+
+
+@query("op5_order_minhash")
+def order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5.fingerprints(table(spark, sf_dir, "documents"))
