@@ -11,6 +11,7 @@ from scorelake.llm import exact_dedup as op10
 from scorelake.llm import language as op7
 from scorelake.llm import licenses as op9
 from scorelake.llm import mixing as op4
+from scorelake.llm import near_join as op1
 from scorelake.llm import order_minhash as op5
 from scorelake.llm import quality as op8
 from scorelake.llm import sentencepiece_fst as op6
@@ -70,3 +71,8 @@ def warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_order_minhash")
 def order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op1_near_join")
+def near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1.near_groups(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
