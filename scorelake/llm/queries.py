@@ -14,6 +14,7 @@ from scorelake.llm import mixing as op4
 from scorelake.llm import near_join as op1
 from scorelake.llm import order_minhash as op5
 from scorelake.llm import quality as op8
+from scorelake.llm import repeats as op2
 from scorelake.llm import sentencepiece_fst as op6
 from scorelake.llm import warc as op3
 from scorelake.llm.common import table
@@ -76,3 +77,8 @@ def order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_near_join")
 def near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1.near_groups(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
+@query("op2_suffix_dedup")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2.remove_repeats(table(spark, sf_dir, "documents"))
