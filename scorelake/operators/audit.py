@@ -1,9 +1,10 @@
 """Reproducibility audit of a stored scorecard.
 
-Phases, all Spark jobs: (1) artefacts exist (binaryFile listing),
-(2) stored metrics read back from JSON, (3) model read back, split rebuilt
-from scratch, test rows rescored and AUC recomputed — drift must stay below
-1e-6, (4) smoke score of the first five test rows by key.
+Phases, all Spark jobs: (1) artefacts exist, with size and the SHA-256 noted
+when they were stored, (2) stored metrics read back from JSON, (3) model read
+back, split rebuilt from scratch, test rows rescored and AUC recomputed -
+drift must stay below 1e-6, (4) smoke score of the first test rows by key (five,
+or as many as there are).
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import columns as C
 from ..functions import fixed
 from ..sources import files
 from . import metrics as M
@@ -21,7 +21,7 @@ from .split import stratified_split
 
 def metrics_row(scored: DataFrame, n_terms) -> DataFrame:
     """The stored evaluation report (unrounded, as the training job writes it)."""
-    aucs = {r["split"]: r["_auc"] for r in M.auc_exact(scored, "p", "label", ["split"]).collect()}
+    aucs = {r["split"]: r["_auc"] for r in M.auc_exact(scored, "points", "label", ["split"]).collect()}
     pick = lambda s: F.lit(aucs.get(s)).cast("double")
     cm = M.confusion(scored.filter(F.col("split") == "test"))
     tn, fp, fn, tp = (F.col(c).cast("double") for c in ("tn", "fp", "fn", "tp"))
@@ -37,31 +37,50 @@ def metrics_row(scored: DataFrame, n_terms) -> DataFrame:
 
 
 def train_and_store(labeled: DataFrame, features, alpha, test_pct, val_pct, base: str) -> dict:
-    rows = stratified_split(labeled, "label", "id", test_pct, val_pct).cache()
-    card = S.fit(rows, features, "label", alpha)
-    model_path = files.save_table_model(card, f"{base}/model")
-    n_terms = labeled.sparkSession.read.parquet(model_path).count()
-    scored = S.score(rows, labeled.sparkSession.read.parquet(model_path), features)
-    metrics_path = files.write_json(metrics_row(scored, n_terms), f"{base}/metrics")
-    return {"model": model_path, "metrics": metrics_path}
+    """Fit, store model and metrics; returns their paths and the model's digest."""
+    spark = labeled.sparkSession
+    rows = stratified_split(labeled, "label", "id", test_pct, val_pct).persist()
+    try:
+        model_path = files.save_table_model(S.fit(rows, features, "label", alpha), f"{base}/model")
+        card = spark.read.parquet(model_path)
+        scored = S.score(rows, card, features).persist()
+        metrics_path = files.write_json(metrics_row(scored, card.count()), f"{base}/metrics")
+        scored.unpersist()
+    finally:
+        rows.unpersist()
+    digest = files.artifact_digest(files.artifact_manifest(spark, model_path)).first()
+    return {"model": model_path, "metrics": metrics_path, "model_sha256": digest["sha256"]}
+
+
+AUDIT_SCHEMA = ("model_path_exists boolean, metrics_path_exists boolean, model_size_kb double, model_sha256_ok boolean, "
+                "persisted_auc_test double, recomputed_auc_test double, auc_drift double, integrity_passed boolean, "
+                "smoke_test_passed boolean, estado string")
 
 
 def audit(labeled: DataFrame, features, paths: dict, test_pct: int, val_pct: int,
           tolerance: float = fixed.AUC_TOLERANCE) -> DataFrame:
+    """One row; a lost file, a changed model or a drifting AUC fail the audit."""
     spark = labeled.sparkSession
-    model_files = files.artifact_manifest(spark, paths["model"]).select(F.count(F.lit(1))).scalar()
-    metric_files = files.artifact_manifest(spark, paths["metrics"]).select(F.count(F.lit(1))).scalar()
-    persisted = files.read_json(spark, paths["metrics"], files.METRICS_SCHEMA)
-    card = files.load_table_model(spark, paths["model"]).cache()
-    rebuilt = stratified_split(labeled, "label", "id", test_pct, val_pct).filter(F.col("split") == "test")
-    test = S.score(rebuilt, card, features).cache()
-    recomputed = F.lit(M.auc_exact(test, "p", "label").first()["_auc"]).cast("double")
-    smoke = (test.orderBy("id").limit(fixed.SMOKE_TEST_SAMPLES)
-             .select(F.count_if(F.col("p").isNotNull() & ~F.isnan("p")) == fixed.SMOKE_TEST_SAMPLES).scalar())
-    drift = F.abs(recomputed - F.col("auc_test"))
-    ok = drift < F.lit(tolerance)
-    return persisted.select(
-        (model_files > 0).alias("model_path_exists"), (metric_files > 0).alias("metrics_path_exists"),
-        C.r6("auc_test").alias("persisted_auc_test"), C.r6(recomputed).alias("recomputed_auc_test"),
-        C.r6(drift).alias("auc_drift"), ok.alias("integrity_passed"), smoke.alias("smoke_test_passed"),
-        F.when(ok & smoke, F.lit("PRODUCTION READY")).otherwise(F.lit("AUDIT FAILED")).alias("estado"))
+    stored = files.artifact_digest(files.artifact_manifest(spark, paths["model"])).first()
+    metrics_there = files.exists(spark, paths["metrics"])
+    same = stored["existe"] and paths.get("model_sha256") in (None, stored["sha256"])
+    persisted = recomputed = drift = None
+    smoke = False
+    if metrics_there:
+        persisted = files.read_json(spark, paths["metrics"], files.METRICS_SCHEMA).first()["auc_test"]
+    if stored["existe"]:
+        card = files.load_table_model(spark, paths["model"]).persist()
+        rebuilt = stratified_split(labeled, "label", "id", test_pct, val_pct).filter(F.col("split") == "test")
+        test = S.score(rebuilt, card, features).persist()
+        recomputed = M.auc_exact(test, "points", "label").first()["_auc"]
+        head = test.orderBy("id").limit(fixed.SMOKE_TEST_SAMPLES).select("p").collect()
+        smoke = bool(head) and all(r["p"] is not None and r["p"] == r["p"] for r in head)
+        test.unpersist()
+        card.unpersist()
+    if persisted is not None and recomputed is not None:
+        drift = abs(recomputed - persisted)
+    ok = same and drift is not None and drift < tolerance
+    six = lambda v: None if v is None else round(v, 6) + 0.0
+    row = (stored["existe"], metrics_there, stored["size_kb"], same, six(persisted), six(recomputed), six(drift), ok, smoke,
+           "PRODUCTION READY" if ok and smoke else "AUDIT FAILED")
+    return spark.createDataFrame([row], AUDIT_SCHEMA)

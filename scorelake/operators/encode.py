@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from .ordered import order_key, ordered_position
+from .ordered import join_null_safe, order_key, ordered_position
 
 
 def long_features(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
@@ -36,8 +36,7 @@ def ordered_target_encoding(df: DataFrame, features: list[str], label: str = "la
         id_col, "split", "feature", "level",
         ((F.col("_sum_before").cast("double") + prior) / (F.col("_pos") + F.lit(1))).alias("enc"))
     stats = train.groupBy("feature", "level").agg(F.sum(label).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    rest = (long.filter(F.col("split") != "train")
-            .join(stats, ["feature", "level"], "left")
+    rest = (join_null_safe(long.filter(F.col("split") != "train"), stats, ["feature", "level"], "left")
             .select(id_col, "split", "feature", "level",
                     ((F.coalesce("_s", F.lit(0)).cast("double") + prior)
                      / (F.coalesce("_n", F.lit(0)) + F.lit(1))).alias("enc")))

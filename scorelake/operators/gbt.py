@@ -3,16 +3,18 @@
 * categories: ``StringIndexer(handleInvalid="keep")`` — trees split on sets of
   categories and an unseen level gets its own index;
 * class balance: a ``weightCol`` from balanced class weights (train rows);
-* early stopping with patience: Spark's ``validationTol`` has none, so the
-  model is fitted for ``max_iter`` trees, the validation log-loss of every
-  prefix is read with ``evaluateEachIteration`` and the best prefix is refitted
-  (GBT without subsampling is deterministic, so the refit is that prefix).
+* early stopping: the model is fitted once, the validation log-loss of every
+  prefix of trees is read with ``evaluateEachIteration``, and the best prefix
+  before ``patience`` trees without improvement is cut from the fitted model;
+* bins: a categorical feature needs a bin per level, so the number of bins is
+  the largest fitted level count.
 """
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -21,17 +23,40 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 
 
-def build_estimator(features: list[str], max_iter: int, depth: int = 3, step: float = 0.1,
-                    min_instances: int = 25, seed: int = fixed.RANDOM_SEED,
-                    weight_col: str | None = "weight", max_bins: int = 64) -> Pipeline:
+def indexer(features: list[str]) -> Pipeline:
+    """Category indices (alphabetical; an unseen level gets its own) and their vector."""
     idx = StringIndexer(inputCols=[f"{f}_s" for f in features], outputCols=[f"{f}_idx" for f in features],
                         handleInvalid="keep", stringOrderType="alphabetAsc")
-    asm = VectorAssembler(inputCols=[f"{f}_idx" for f in features], outputCol="features")
+    return Pipeline(stages=[idx, VectorAssembler(inputCols=[f"{f}_idx" for f in features], outputCol="features")])
+
+
+def estimator(bins: int, max_iter: int, depth: int = 3, step: float = 0.1, min_instances: int = 25,
+              seed: int = fixed.RANDOM_SEED, weight_col: str | None = "weight") -> GBTClassifier:
     gbt = GBTClassifier(labelCol="label", featuresCol="features", maxDepth=depth, maxIter=max_iter,
-                        stepSize=step, minInstancesPerNode=min_instances, maxBins=max_bins, seed=seed)
-    if weight_col:
-        gbt.setWeightCol(weight_col)
-    return Pipeline(stages=[idx, asm, gbt])
+                        stepSize=step, minInstancesPerNode=min_instances, maxBins=max(32, bins), seed=seed)
+    return gbt.setWeightCol(weight_col) if weight_col else gbt
+
+
+def fit(rows: DataFrame, features: list[str], max_iter: int, weight_col: str | None = None, **kw) -> PipelineModel:
+    """Indexer and trees on ``rows``; bins follow the largest level count."""
+    data = as_strings(rows, features)
+    prep = indexer(features).fit(data)
+    bins = max(len(levels) for levels in prep.stages[0].labelsArray) + 1
+    model = estimator(bins, max_iter, weight_col=weight_col, **kw).fit(prep.transform(data))
+    return PipelineModel(stages=[*prep.stages, model])
+
+
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The model of the first ``n`` trees (boosting adds trees one by one, so a
+    prefix is what fewer iterations would have given)."""
+    jvm = model._java_obj
+    gateway = SparkContext._active_spark_context._gateway
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    for i in range(n):
+        trees[i], weights[i] = jvm.trees()[i], jvm.treeWeights()[i]
+    cut = gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel(jvm.uid(), trees, weights)
+    return GBTClassificationModel(cut)
 
 
 def as_strings(df: DataFrame, features: list[str]) -> DataFrame:
@@ -48,16 +73,30 @@ def with_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     return rows.join(F.broadcast(w), label, "left").fillna({"weight": 1.0})
 
 
-def fit_best_prefix(rows: DataFrame, features: list[str], max_iter: int = 30, **kw) -> tuple[PipelineModel, int, list[float]]:
-    data = as_strings(with_weights(rows), features).cache()
-    train = data.filter(F.col("split") == "train")
-    val = data.filter(F.col("split") == "val")
-    model = build_estimator(features, max_iter, **kw).fit(train)
-    prep = PipelineModel(stages=model.stages[:-1])
-    losses = list(model.stages[-1].evaluateEachIteration(prep.transform(val)))
-    best = min(range(len(losses)), key=lambda i: (losses[i], i)) + 1
-    if best < max_iter:
-        model = build_estimator(features, best, **kw).fit(train)
+def best_prefix(losses: list[float], patience: int) -> int:
+    """Trees up to the least loss, seen before ``patience`` trees without a better one."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def fit_best_prefix(rows: DataFrame, features: list[str], max_iter: int = 30, patience: int = 150,
+                    **kw) -> tuple[PipelineModel, int, list[float]]:
+    data = with_weights(rows).persist()
+    try:
+        model = fit(data.filter(F.col("split") == "train"), features, max_iter, "weight", **kw)
+        *prep, trees = model.stages
+        val = PipelineModel(stages=prep).transform(as_strings(data.filter(F.col("split") == "val"), features))
+        losses = list(trees.evaluateEachIteration(val))
+    finally:
+        data.unpersist()
+    best = best_prefix(losses, patience)
+    if best < trees.getNumTrees:
+        model = PipelineModel(stages=[*prep, first_trees(trees, best)])
     return model, best, losses
 
 

@@ -5,7 +5,7 @@ ROC-AUC is exact and tie-aware (Mann–Whitney):
     AUC = Σ_s pos_s · (2·neg_below_s + neg_s) / (2·P·N)
 
 computed from per-score counts.  ``neg_below`` is a running sum, done as
-(buckets of the score range → small running sum) + (running sum inside a
+(buckets at score quantiles → small running sum) + (running sum inside a
 bucket), so no window ever holds the whole table.  The numerator is an
 integer, so the result is identical in any engine.
 """
@@ -16,49 +16,50 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-
-
-TIE_DECIMALS = 12
+from .ordered import join_null_safe, quantile_bounds, range_bucket
 
 
 def auc(df: DataFrame, score: str = "p", label: str = "label", by: list[str] | None = None,
-        buckets: int = 4096, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
+        buckets: int | None = None) -> DataFrame:
     """Exact AUC per ``by`` group, rounded to 6 decimals."""
     by = by or []
-    a = auc_exact(df, score, label, by, buckets, lo, hi)
+    a = auc_exact(df, score, label, by, buckets)
     return a.select(*by, C.r6("_auc").alias("auc"), "n_pos", "n_neg")
 
 
 def auc_exact(df: DataFrame, score: str = "p", label: str = "label", by: list[str] | None = None,
-              buckets: int = 4096, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
-    """Unrounded AUC (``_auc``) per ``by`` group.  Scores are bucketed over
-    [lo, hi]; out-of-range scores fall in the edge buckets, still exact.
+              buckets: int | None = None) -> DataFrame:
+    """Unrounded AUC (``_auc``) per ``by`` group; rows without a score are left
+    out.  Scores rank and tie as they are: models that must tie in any engine
+    pass an integer score (``scorecard.score``'s ``points``).
 
-    Scores are compared at 12 decimals: sums of the same terms in another
-    order differ in the last bit, and mathematically equal scores must tie.
+    Ranges end at quantiles of the scores, so that scores bunched together
+    are still spread over the tasks; the numerator is a 38-digit integer.
     """
     by = by or []
-    df = df.withColumn(score, F.round(F.col(score), TIE_DECIMALS))
-    per = df.groupBy(*by, score).agg(
+    buckets = buckets or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    per = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    width = (hi - lo) / buckets
-    b = F.least(F.greatest(F.floor((F.col(score) - F.lit(lo)) / F.lit(width)), F.lit(0)),
-                F.lit(buckets - 1))
-    per = per.withColumn("_b", b)
+    per = per.withColumn("_b", range_bucket(F.col(score), quantile_bounds(df, score, buckets)))
     bt = per.groupBy(*by, "_b").agg(F.sum("neg").alias("_bneg"))
     bt = bt.withColumn("_neg_before_b", F.coalesce(F.sum("_bneg").over(
         Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inner = Window.partitionBy(*by, "_b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_neg_in", F.coalesce(F.sum("neg").over(inner), F.lit(0)))
-    j = per.join(bt.drop("_bneg"), [*by, "_b"])
-    num = F.col("pos") * (F.lit(2) * (F.col("_neg_before_b") + F.col("_neg_in")) + F.col("neg"))
-    agg = j.groupBy(*by).agg(F.sum(num).alias("_num"), F.sum("pos").alias("n_pos"),
-                             F.sum("neg").alias("n_neg"))
+    j = join_null_safe(per, bt.drop("_bneg"), [*by, "_b"])
+    agg = j.groupBy(*by).agg(F.sum(pair_wins("pos", F.col("_neg_before_b") + F.col("_neg_in"), "neg")).alias("_num"),
+                             F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     den = F.lit(2.0) * F.col("n_pos") * F.col("n_neg")
     return agg.select(*by, F.try_divide(F.col("_num").cast("double"), den).alias("_auc"),
                       "n_pos", "n_neg")
 
 
+def pair_wins(pos: str, neg_below, neg: str):
+    """Twice the pairs won (ties count once) of one score, beyond 64 bits."""
+    wide = lambda c: c.cast("decimal(19,0)")
+    return wide(F.col(pos)) * wide(F.lit(2) * neg_below + F.col(neg))
+
+
 def confusion(df: DataFrame, score: str = "p", label: str = "label", cut: float = 0.5) -> DataFrame:
     pred = F.col(score) >= F.lit(cut)
     pos = F.col(label) == 1

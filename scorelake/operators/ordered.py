@@ -25,6 +25,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys match each other; ``right``'s keys go."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(renamed, on, how).drop(*[f"_right_{k}" for k in keys])
+
+
+def quantile_bounds(df: DataFrame, col: str, buckets: int) -> list:
+    """At most ``buckets - 1`` ascending bounds that cut ``col`` into ranges of
+    about as many rows each (one mergeable sketch, a fixed number of values)."""
+    cuts = df.agg(F.percentile_approx(col, [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0]
+    return sorted(set(cuts or []))
+
+
+def range_bucket(col: Column, bounds: list) -> Column:
+    """Number of ``bounds`` that are at most ``col``, by a doubling search."""
+    if not bounds:
+        return F.lit(0)
+    edges = F.array(*map(F.lit, bounds))
+    steps = F.array(*[F.lit(1 << b) for b in range(len(bounds).bit_length() - 1, -1, -1)])
+    inside = lambda n, b: F.coalesce(F.get(edges, n + b - 1) <= col, F.lit(False))
+    return F.aggregate(steps, F.lit(0), lambda n, b: F.when(inside(n, b), n + b).otherwise(n))
+
+
 def order_key(seed: int, id_col: str, salt: str | None = None) -> Column:
     """md5 of ``seed~id`` (or ``seed~salt~id``): same text in Spark and DuckDB."""
     parts = [F.lit(str(seed)), F.lit("~")]
@@ -54,7 +78,7 @@ def ordered_position(df: DataFrame, groups: list[str], key: Column, tie: str,
     if value is not None:
         d = d.withColumn("_sum_in", F.coalesce(
             F.sum(value).over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = d.join(buckets.drop("_bn", "_bs"), [*groups, "_b"])
+    out = join_null_safe(d, buckets.drop("_bn", "_bs"), [*groups, "_b"])
     out = out.withColumn("_pos", F.col("_cnt_before") + F.col("_rn") - F.lit(1))
     if value is not None:
         out = out.withColumn("_sum_before", F.col("_sum_before_b") + F.col("_sum_in"))

@@ -119,24 +119,22 @@ def topk_global(df: DataFrame, value: str, key: str, k: int) -> DataFrame:
 
 
 def admin_latest_topk(users: DataFrame, evaluations: DataFrame, predictions: DataFrame, n: int = 50,
-                      start: int = 4, max_candidates: int = 1_000_000) -> DataFrame:
+                      candidates: int = 200) -> DataFrame:
     """W3 + J1 without aggregating every evaluation's lines.
 
-    The newest K evaluations (per-task top-K, K = n·start) are the only ones
-    whose predictions are computed: a broadcast semi-join that Catalyst pushes
-    below the prediction aggregate, so the line table is filtered before its
-    shuffle.  If at least ``n`` of them survive the inner joins, the newest
-    ``n`` survivors are exactly the global answer — every other evaluation is
-    older than all K under the total order (date desc, id desc).  Otherwise K
-    grows ×4; past ``max_candidates`` the full join plan is used.
+    Only the newest ``candidates`` evaluations (a per-task top) get their
+    predictions computed: a semi-join with these few keys that Catalyst pushes
+    below the prediction aggregate.  If at least ``n`` of them survive the
+    inner joins, the newest ``n`` survivors are exactly the global answer -
+    every other evaluation is older under the total order (date desc, id
+    desc).  Otherwise the full join is the plan.  The ``n`` rows found are
+    carried on, so the job runs once.
     """
-    k = n * start
-    while k <= max_candidates:
-        cands = newest(evaluations, k).cache()
-        keys = F.broadcast(cands.select("evaluacion_id"))
-        rows = admin_rows(admin_join(users, cands, predictions.join(keys, "evaluacion_id", "left_semi")))
-        if rows.limit(n).count() >= n or cands.count() < k:
-            return newest(rows, n).select(*ADMIN_COLUMNS)
-        cands.unpersist()
-        k *= 4
-    return admin_latest(users, evaluations, predictions, n)
+    cands = newest(evaluations, candidates)
+    keys = F.broadcast(cands.select("evaluacion_id"))  # at most ``candidates`` rows
+    rows = admin_rows(admin_join(users, cands, predictions.join(keys, "evaluacion_id", "left_semi")))
+    found = newest(rows, n).select(*ADMIN_COLUMNS)
+    got = found.collect()  # at most n rows
+    if len(got) < n:
+        return admin_latest(users, evaluations, predictions, n)
+    return users.sparkSession.createDataFrame(got, found.schema)

@@ -29,44 +29,46 @@ RUN_CONFIGS = [
      "oversample": False, "tags": {"oversampling": "None", "ablation": "No", "split_strategy": "3-way (60/20/20)"}},
 ]
 
-METRIC_NAMES = ["auc_train", "auc_test", "train_test_gap", "accuracy_test", "precision_viable",
-                "recall_viable", "f1_viable", "precision_riesgo", "recall_riesgo", "f1_riesgo"]
-
-
 def run_metrics(labeled: DataFrame, cfg: dict) -> DataFrame:
     """One row of rounded metrics for one configuration.
 
     AUC on training rows is measured on the rows *before* oversampling, so
-    the train-test gap compares like with like.  Split rows, scorecard and
-    scores are cached; the per-split AUCs (≤ 3 rows) and the class report
-    (5 rows) are read once and carried as literals.
+    the train-test gap compares like with like.  What is persisted for the
+    run is released at its end.
     """
-    rows = stratified_split(labeled, "label", "id", cfg["test_pct"], cfg["val_pct"]).cache()
-    card = S.fit(rows, cfg["features"], "label", cfg["alpha"], oversample=cfg["oversample"]).cache()
-    scored = S.score(rows, card, cfg["features"]).cache()
-    aucs = {r["split"]: r["auc"] for r in M.auc(scored, "p", "label", ["split"]).collect()}
-    report = M.report_from_confusion(M.confusion(scored.filter(F.col("split") == "test")))
-    rep = {r["clase"]: r for r in report.collect()}
-    lit = lambda v: F.lit(v).cast("double")
-    cols = {
-        "auc_train": lit(aucs.get("train")), "auc_test": lit(aucs.get("test")),
-        "train_test_gap": C.r6(lit(aucs.get("train")) - lit(aucs.get("test"))),
-        "precision_viable": lit(rep["0"]["precision"]), "recall_viable": lit(rep["0"]["recall"]),
-        "f1_viable": lit(rep["0"]["f1"]), "precision_riesgo": lit(rep["1"]["precision"]),
-        "recall_riesgo": lit(rep["1"]["recall"]), "f1_riesgo": lit(rep["1"]["f1"]),
-    }
-    if cfg["val_pct"]:
-        cols["auc_validation"] = lit(aucs.get("val"))
-    base = report.filter(F.col("clase") == "accuracy").select(F.col("precision").alias("accuracy_test"))
-    return base.select(F.lit(cfg["name"]).alias("run_name"), "accuracy_test",
-                       *[v.alias(k) for k, v in cols.items()])
+    rows = stratified_split(labeled, "label", "id", cfg["test_pct"], cfg["val_pct"]).persist()
+    card = S.fit(rows, cfg["features"], "label", cfg["alpha"], oversample=cfg["oversample"]).persist()
+    try:
+        scored = S.score(rows, card, cfg["features"])
+        return _summary(scored, "points", cfg["name"], bool(cfg["val_pct"]))
+    finally:
+        card.unpersist()
+        rows.unpersist()
+
+
+def _summary(scored: DataFrame, rank: str, name: str, validation: bool, **more) -> DataFrame:
+    """One row of rounded metrics of scored rows, carried as literals: AUCs
+    rank by ``rank``, classes are cut at p = 0.5 on the test rows."""
+    scored = scored.persist()
+    try:
+        aucs = {r["split"]: r["auc"] for r in M.auc(scored, rank, "label", ["split"]).collect()}
+        rep = {r["clase"]: r for r in M.report_from_confusion(M.confusion(scored.filter(F.col("split") == "test"))).collect()}
+    finally:
+        scored.unpersist()
+    gap = None if None in (aucs.get("train"), aucs.get("test")) else round(aucs["train"] - aucs["test"], 6) + 0.0
+    row = {"run_name": name, "accuracy_test": rep["accuracy"]["precision"], "auc_train": aucs.get("train"), "auc_test": aucs.get("test"),
+           "train_test_gap": gap, "precision_viable": rep["0"]["precision"], "recall_viable": rep["0"]["recall"], "f1_viable": rep["0"]["f1"],
+           "precision_riesgo": rep["1"]["precision"], "recall_riesgo": rep["1"]["recall"], "f1_riesgo": rep["1"]["f1"]}
+    if validation:
+        row["auc_validation"] = aucs.get("val")
+    row.update({k: float(v) for k, v in more.items()})
+    return scored.sparkSession.createDataFrame([tuple(row.values())], ", ".join(f"{k} {'string' if k == 'run_name' else 'double'}" for k in row))
 
 
 def run_record(metrics_row: DataFrame, cfg: dict) -> DataFrame:
     names = [c for c in metrics_row.columns if c != "run_name"]
-    params = {"alpha": str(cfg["alpha"]), "features": ",".join(cfg["features"]),
-              "test_pct": str(cfg["test_pct"]), "val_pct": str(cfg["val_pct"]),
-              "oversample": str(cfg["oversample"]).lower()}
+    params = {k: ",".join(v) if isinstance(v, list) else str(v).lower() if isinstance(v, bool) else str(v)
+              for k, v in cfg.items() if k not in ("name", "tags")}
     kv = lambda d: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(v))])
     return metrics_row.select(
         "run_name", kv(params).alias("params"),
@@ -107,50 +109,60 @@ def compare_runs(runs: DataFrame, baseline: str, final: str) -> DataFrame:
         C.r6(F.try_divide((base_gap - final_gap) * F.lit(100.0), base_gap)).alias("reduccion_pct"))
 
 
+#: Every knob of a run is in its configuration and recorded with it.
 GBT_CONFIGS = [
-    {"name": "Iteration_1_Baseline", "features": ALL_FEATURES, "depth": 6, "step": 0.1, "test_pct": 20,
-     "val_pct": 0, "oversample": False, "weights": False},
-    {"name": "Iteration_2_Oversampled", "features": ALL_FEATURES, "depth": 4, "step": 0.05, "test_pct": 20,
-     "val_pct": 0, "oversample": True, "weights": False},
-    {"name": "Iteration_3_Ablation", "features": ["nivel", "tamano"], "depth": 5, "step": 0.05, "test_pct": 20,
-     "val_pct": 0, "oversample": True, "weights": False},
-    {"name": "Iteration_4_Hardened", "features": ALL_FEATURES, "depth": 3, "step": 0.1, "test_pct": 20,
-     "val_pct": 25, "oversample": False, "weights": True},
+    {"name": "Iteration_1_Baseline", "features": ALL_FEATURES, "trees": 40, "patience": 150, "depth": 6, "step": 0.1, "test_pct": 20,
+     "val_pct": 0, "oversample": "none", "weights": False,
+     "tags": {"oversampling": "None", "ablation": "No", "split_strategy": "80/20"}},
+    {"name": "Iteration_2_Oversampled", "features": ALL_FEATURES, "trees": 40, "patience": 150, "depth": 4, "step": 0.05, "test_pct": 20,
+     "val_pct": 0, "oversample": "smote_nc", "weights": False,
+     "tags": {"oversampling": "SMOTE-NC", "ablation": "No", "split_strategy": "80/20"}},
+    {"name": "Iteration_3_Ablation", "features": ["nivel", "tamano"], "trees": 40, "patience": 150, "depth": 5, "step": 0.05, "test_pct": 20,
+     "val_pct": 0, "oversample": "smoten", "weights": False,
+     "tags": {"oversampling": "SMOTEN", "ablation": "Yes", "split_strategy": "80/20"}},
+    {"name": "Iteration_4_Hardened", "features": ALL_FEATURES, "trees": 40, "patience": 150, "depth": 3, "step": 0.1, "test_pct": 20,
+     "val_pct": 25, "oversample": "none", "weights": True,
+     "tags": {"oversampling": "None", "ablation": "No", "split_strategy": "3-way (60/20/20)"}},
 ]
 
 
-def gbt_run_metrics(labeled: DataFrame, cfg: dict, max_iter: int = 20) -> DataFrame:
-    """One GBT configuration: optional SMOTEN rows added to training, optional
-    balanced weights and best validation prefix; train AUC on original rows."""
-    from . import gbt as G
+def with_synthetic(rows: DataFrame, features: list[str], kind: str, numeric: list[str], k: int = 5) -> DataFrame:
+    """``rows`` (id, features, label, split) as strings plus synthetic training
+    rows; a synthetic id is a hash of its origin and number."""
     from .resample import oversample
 
-    rows = stratified_split(labeled, "label", "id", cfg["test_pct"], cfg["val_pct"]).cache()
+    nominal = [f for f in features if kind == "smoten" or f not in numeric]
+    mixed = [f for f in features if f not in nominal]
+    train = rows.filter(F.col("split") == "train").withColumns(
+        {f: F.col(f).cast("string") for f in nominal} | {f: F.col(f).cast("double") for f in mixed})
+    syn = oversample(train, nominal, mixed, "label", k)
+    level = lambda f: (F.round(F.col(f)).cast("long") if f in mixed else F.col(f)).cast("string").alias(f)
+    return rows.select("id", *[F.col(f).cast("string").alias(f) for f in features], "label", "split").unionByName(
+        syn.select(F.xxhash64("origen", "j").alias("id"), *[level(f) for f in features], "label", F.lit("train").alias("split")))
+
+
+def gbt_run_metrics(labeled: DataFrame, cfg: dict) -> DataFrame:
+    """One GBT configuration: optional synthetic rows added to training (nominal,
+    or mixed with ``tamano`` as the number), optional balanced weights and best
+    validation prefix; train AUC on original rows."""
+    from . import gbt as G
+
     feats = cfg["features"]
-    fit_rows = rows
-    if cfg["oversample"]:
-        train = rows.filter(F.col("split") == "train").withColumns(
-            {f: F.col(f).cast("string") for f in feats})
-        syn = oversample(train, feats, [], "label", 5).select(
-            (-F.col("origen") * 1000 - F.col("j")).alias("id"), *feats, "label",
-            F.lit("train").alias("split"))
-        fit_rows = rows.select("id", *[F.col(f).cast("string").alias(f) for f in feats], "label", "split") \
-            .unionByName(syn)
-    if cfg["weights"] and cfg["val_pct"]:
-        model, best, _ = G.fit_best_prefix(fit_rows, feats, max_iter, depth=cfg["depth"], step=cfg["step"])
-    else:
-        data = G.as_strings(fit_rows.withColumn("weight", F.lit(1.0)), feats)
-        model = G.build_estimator(feats, max_iter, depth=cfg["depth"], step=cfg["step"], weight_col=None) \
-            .fit(data.filter(F.col("split") == "train"))
-        best = max_iter
-    scored = G.score(model, rows, feats).cache()
-    aucs = {r["split"]: r["auc"] for r in M.auc(scored, "p", "label", ["split"]).collect()}
-    rep = {r["clase"]: r for r in M.report_from_confusion(
-        M.confusion(scored.filter(F.col("split") == "test"))).collect()}
-    lit = lambda v: F.lit(v).cast("double")
-    return scored.limit(1).select(
-        F.lit(cfg["name"]).alias("run_name"), lit(aucs.get("train")).alias("auc_train"),
-        lit(aucs.get("test")).alias("auc_test"),
-        C.r6(lit(aucs.get("train")) - lit(aucs.get("test"))).alias("train_test_gap"),
-        lit(rep["accuracy"]["precision"]).alias("accuracy_test"), lit(rep["1"]["f1"]).alias("f1_riesgo"),
-        F.lit(best).alias("trees_used"))
+    rows = stratified_split(labeled, "label", "id", cfg["test_pct"], cfg["val_pct"]).persist()
+    try:
+        fit_rows = rows if cfg["oversample"] == "none" else with_synthetic(rows, feats, cfg["oversample"], ["tamano"])
+        if cfg["weights"] and cfg["val_pct"]:
+            model, best, _ = G.fit_best_prefix(fit_rows, feats, cfg["trees"], cfg["patience"], depth=cfg["depth"], step=cfg["step"])
+        else:
+            model, best = G.fit(fit_rows.filter(F.col("split") == "train"), feats, cfg["trees"], depth=cfg["depth"], step=cfg["step"]), cfg["trees"]
+        return _summary(G.score(model, rows, feats), "p", cfg["name"], bool(cfg["val_pct"]), trees_used=best)
+    finally:
+        rows.unpersist()
+
+
+def gbt_runs_table(labeled: DataFrame, configs=None) -> DataFrame:
+    out = None
+    for cfg in configs or GBT_CONFIGS:
+        rec = run_record(gbt_run_metrics(labeled, cfg), cfg)
+        out = rec if out is None else out.unionByName(rec)
+    return out

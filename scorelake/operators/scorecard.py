@@ -81,27 +81,30 @@ def term_columns(df: DataFrame, card: DataFrame, features: list[str],
     out = df
     for f in features:
         lookup = card.filter(F.col("feature") == f).select(
-            F.col("level").alias(f"_lv_{f}"), F.col("weight").alias(f"_wt_{f}"))
+            F.col("level").alias(f"_lv_{f}"), F.col("weight").alias(f"_wt_{f}"), F.lit(True).alias(f"_in_{f}"))
         k = header[f].get("k")
         if k is None:
             lookup = sized_broadcast(lookup, max_broadcast_rows)
         elif k <= max_broadcast_rows:
             lookup = F.broadcast(lookup)
-        out = (out.join(lookup, F.col(f).cast("string") == F.col(f"_lv_{f}"), "left")
+        out = (out.join(lookup, F.col(f).cast("string").eqNullSafe(F.col(f"_lv_{f}")) & F.col(f"_in_{f}"), "left")
                .withColumn(f"w_{f}", F.coalesce(F.col(f"_wt_{f}"), F.lit(header[f]["unseen"])))
-               .drop(f"_lv_{f}", f"_wt_{f}"))
+               .drop(f"_lv_{f}", f"_wt_{f}", f"_in_{f}"))
     return out
 
 
 def score(df: DataFrame, card: DataFrame, features: list[str], header: dict | None = None) -> DataFrame:
-    """Add ``w_<f>``, ``logit`` and ``p`` (probability of the positive class)."""
+    """Add ``w_<f>``, ``logit``, ``p`` (probability of the positive class) and
+    ``points``, the terms in whole billionths: rows with the same terms have
+    the same points in any order of summing, so ranks and ties are exact."""
     header = header or model_header(card)
     out = term_columns(df, card, features, header)
     intercept = next(iter(header.values()))["intercept"]
     logit = F.lit(intercept)
     for f in features:
         logit = logit + F.col(f"w_{f}")
-    return out.withColumn("logit", logit).withColumn("p", C.logistic("logit"))
+    points = sum((F.round(F.col(f"w_{f}") * F.lit(1e9)).cast("long") for f in features), F.lit(0).cast("long"))
+    return out.withColumn("logit", logit).withColumn("p", C.logistic("logit")).withColumn("points", points)
 
 
 def attributions(scored: DataFrame, features: list[str], header: dict, id_col: str = "id",

@@ -1,28 +1,28 @@
-"""Path-dependent TreeSHAP for shallow boosted trees as a table job.
+"""Path-dependent TreeSHAP for boosted trees as a table job.
 
 For one leaf with value v (prediction × tree weight) whose path tests the
-distinct features S (|S| = d ≤ 3), let I_j = 1 when the row satisfies every
-split on j along the path and r_j = the product of cover fractions of the
-branches taken at those splits.  The leaf adds to E[f(x) | x_T] the term
+distinct features S (|S| = d), let I_j = 1 when the row satisfies every split
+on j along the path and r_j = the product of cover fractions of the branches
+taken at those splits.  The leaf adds to E[f(x) | x_T] the term
 v·Π_{j∈T} I_j·Π_{j∈S\\T} r_j, so its Shapley share for j ∈ S is
 
-    φ_j = v (I_j − r_j) Σ_{T ⊆ S\\{j}} |T|!(d−|T|−1)!/d! · Π_{T} I · Π_{S\\T\\{j}} r
+    φ_j = v (I_j − r_j) Σ_k k!(d−k−1)!/d! · c_k,
+    c_k = coefficient of z^k in Π_{i∈S, i≠j} (r_i + I_i z)
 
-  d=1: v(I₁−r₁);  d=2: v(I₁−r₁)(I₂+r₂)/2;
-  d=3: v(I₁−r₁)(r₂r₃/3 + (I₂r₃+r₂I₃)/6 + I₂I₃/3)
-
-and the base value is Σ v·Π r (Lundberg et al., arXiv:1802.03888).
+for any number of features on a path, and the base value is Σ v·Π r
+(Lundberg et al., arXiv:1802.03888).
 
 The model (at most trees × 2^depth leaves, fixed by hyper-parameters) is read
-from its saved node table and compiled once into a literal array of leaf
-structs; each row folds that array with ``aggregate`` (cost rows × leaves,
-as any tree explainer) into one share per feature — no explode, no shuffle.  Spark's margin F gives p = 1/(1+e^(−2F)), so shares are
-reported on the log-odds scale (×2).
+from its saved node table into one row holding an array of leaf structs, a
+scalar subquery; each row folds that array with ``aggregate`` (cost rows ×
+leaves, as any tree explainer) into one share per feature - no explode, no
+shuffle.  Spark's margin F gives p = 1/(1+e^(−2F)), so shares are reported on
+the log-odds scale (×2).
 """
 
 from __future__ import annotations
 
-from math import isinf
+from math import factorial
 
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame
@@ -73,21 +73,16 @@ def leaves_from_saved(spark, path: str) -> list[dict]:
     return leaves
 
 
-def _leaf_literal(leaf: dict):
-    feats = sorted(leaf["conds"])
-    conds = []
-    for f in feats:
-        c = leaf["conds"][f]
-        cats = sorted(c["cats"]) if c["cats"] is not None else []
-        lo = -1e308 if isinf(c["lo"]) else c["lo"]
-        hi = 1e308 if isinf(c["hi"]) else c["hi"]
-        conds.append(F.struct(
-            F.lit(f).alias("f"), F.lit(c["cats"] is not None).alias("cat"),
-            F.array(*[F.lit(float(x)) for x in cats]).cast("array<double>").alias("set"),
-            F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"), F.lit(float(c["r"])).alias("r")))
-    return F.struct(F.lit(float(leaf["v"])).alias("v"),
-                    F.array(*conds).cast("array<struct<f:int,cat:boolean,set:array<double>,lo:double,"
-                                         "hi:double,r:double>>").alias("c"))
+LEAF = "v double, c array<struct<f:int, cat:boolean, set:array<double>, lo:double, hi:double, r:double>>"
+
+
+def leaf_table(spark, leaves: list[dict]) -> DataFrame:
+    rows = []
+    for leaf in leaves:
+        conds = [(f, c["cats"] is not None, sorted(c["cats"] or ()), max(c["lo"], -1e308), min(c["hi"], 1e308), float(c["r"]))
+                 for f, c in sorted(leaf["conds"].items())]
+        rows.append((float(leaf["v"]), conds))
+    return spark.createDataFrame(rows, LEAF)
 
 
 def base_value(leaves: list[dict]) -> float:
@@ -100,36 +95,30 @@ def base_value(leaves: list[dict]) -> float:
     return 2.0 * total
 
 
-def _shares(leaf, xs):
-    """Shares of one leaf (a struct Column) for the row ``xs``: three
-    (feature index, φ) pairs, null where the path has fewer features."""
-    c = leaf.getField("c")
-    d = F.size(c)
-    v = leaf.getField("v")
-
-    def ind(k):
-        ck = F.get(c, k)
-        xv = F.get(xs, ck.getField("f"))
-        ok = F.when(ck.getField("cat"), F.array_contains(ck.getField("set"), xv)).otherwise(
-            (xv > ck.getField("lo")) & (xv <= ck.getField("hi")))
+def _leaf_shares(leaf, xs, depth: int):
+    """(feature index, φ) of every feature on a leaf's path, for the row ``xs``."""
+    def holds(c):
+        xv = F.get(xs, c.getField("f"))
+        ok = F.when(c.getField("cat"), F.array_contains(c.getField("set"), xv)).otherwise(
+            (xv > c.getField("lo")) & (xv <= c.getField("hi")))
         return F.when(ok, F.lit(1.0)).otherwise(F.lit(0.0))
 
-    I = [F.when(d > k, ind(k)) for k in range(3)]
-    R = [F.when(d > k, F.get(c, k).getField("r")) for k in range(3)]
-
-    def h(a, b):
-        return R[a] * R[b] / 3.0 + (I[a] * R[b] + R[a] * I[b]) / 6.0 + I[a] * I[b] / 3.0
+    path = F.transform(leaf.getField("c"), lambda c: F.struct(c.getField("f").alias("f"), c.getField("r").alias("r"), holds(c).alias("i")))
+    shapley = F.array(*[F.array(*[F.lit(factorial(k) * factorial(d - k - 1) / factorial(d)) for k in range(d)]) for d in range(1, depth + 1)])
 
-    def lift(p):
-        return v * (I[p] - R[p])
+    def share(items, me, j):
+        one = F.array(F.lit(1.0))
+        # multiply (r + I z) of all the others: next c_k = c_k r + c_{k-1} I
+        times = lambda c, x: F.transform(F.concat(c, F.array(F.lit(0.0))), lambda ck, k: ck * x.getField("r") + F.coalesce(F.get(c, k - 1), F.lit(0.0)) * x.getField("i"))
+        others = F.filter(items, lambda x: x.getField("f") != me.getField("f"))
+        coef = F.aggregate(others, one, times)
+        weights = F.get(shapley, F.size(items) - 1)
+        total = F.aggregate(F.zip_with(coef, weights, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
+        return leaf.getField("v") * (me.getField("i") - me.getField("r")) * total
 
-    shares = [
-        F.when(d == 1, lift(0)).when(d == 2, lift(0) * (I[1] + R[1]) / 2.0).when(d == 3, lift(0) * h(1, 2)),
-        F.when(d == 2, lift(1) * (I[0] + R[0]) / 2.0).when(d == 3, lift(1) * h(0, 2)),
-        F.when(d == 3, lift(2) * h(0, 1)),
-    ]
-    feats = [F.when(d > k, F.get(c, k).getField("f")) for k in range(3)]
-    return feats, shares
+    # bind the path once: it is used by every share
+    return F.flatten(F.transform(F.array(path), lambda items: F.transform(items, lambda me, j: F.struct(
+        me.getField("f").alias("f"), share(items, me, j).alias("phi")))))
 
 
 def attributions(df: DataFrame, leaves: list[dict], index_cols: list[str], names: list[str],
@@ -141,21 +130,19 @@ def attributions(df: DataFrame, leaves: list[dict], index_cols: list[str], names
     the leaf array), so attribution needs no shuffle: one output row per
     (row, feature) comes straight from ``posexplode``.
     """
-    if any(len(leaf["conds"]) > 3 for leaf in leaves):
-        raise ValueError("closed-form shares are implemented for paths with at most 3 features")
+    depth = max([1, *(len(leaf["conds"]) for leaf in leaves)])
     xs = F.array(*[F.col(c).cast("double") for c in index_cols])
-    leaf_arr = F.array(*[_leaf_literal(leaf) for leaf in leaves])
+    table = leaf_table(df.sparkSession, leaves)
+    leaf_arr = table.agg(F.collect_list(F.struct("v", "c"))).scalar()
     zero = F.array(*[F.lit(0.0) for _ in index_cols])
 
     def merge(acc, leaf):
-        feats, shares = _shares(leaf, F.col("_x"))
-        return F.transform(acc, lambda a, i: a + F.coalesce(
-            F.when(feats[0] == i, shares[0]).when(feats[1] == i, shares[1]).when(feats[2] == i, shares[2]),
-            F.lit(0.0)))
+        return F.aggregate(_leaf_shares(leaf, F.col("_x"), depth), acc, lambda a, s: F.transform(
+            a, lambda v, i: v + F.when(s.getField("f") == i, s.getField("phi")).otherwise(F.lit(0.0))))
 
-    phi = F.aggregate(leaf_arr, zero, merge)
+    phi = F.aggregate(F.col("_leaves"), zero, merge)
     name_arr = F.array(*[F.lit(n) for n in names])
-    out = df.select(F.col(id_col), xs.alias("_x")).select(id_col, F.posexplode(phi).alias("_f", "_phi"))
+    out = df.select(F.col(id_col), xs.alias("_x"), leaf_arr.alias("_leaves")).select(id_col, F.posexplode(phi).alias("_f", "_phi"))
     return out.select(id_col, F.get(name_arr, F.col("_f")).alias("feature"), (F.col("_phi") * 2.0).alias("phi"))
 
 

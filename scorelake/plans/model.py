@@ -3,7 +3,7 @@ W1, W2, G8, G9)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -121,7 +121,7 @@ def scorecard_score(spark, sf_dir):
 @query("auc", MODEL_SQL + ", " + auc_select() + " SELECT * FROM aucs")
 def auc(spark, sf_dir):
     """M7: exact ROC-AUC per split (tie-aware, bucketed running sums)."""
-    return metrics.auc(Model(spark, sf_dir).scored(), "p", "label", ["split"])
+    return metrics.auc(Model(spark, sf_dir).scored(), "points", "label", ["split"])
 
 
 @query("auc_gap", MODEL_SQL + ", " + auc_select() + """
@@ -133,7 +133,7 @@ SELECT max(auc) FILTER (WHERE split = 'train') AS auc_train,
 FROM aucs""")
 def auc_gap(spark, sf_dir):
     """M7: train / validation / test AUC and the train-test gap."""
-    a = metrics.auc(Model(spark, sf_dir).scored(), "p", "label", ["split"])
+    a = metrics.auc(Model(spark, sf_dir).scored(), "points", "label", ["split"])
     pick = lambda s: F.max(F.when(F.col("split") == s, F.col("auc")))
     return a.agg(pick("train").alias("auc_train"), pick("val").alias("auc_validation"),
                  pick("test").alias("auc_test"),
@@ -180,15 +180,13 @@ def shap_linear(spark, sf_dir):
     return _phi(spark, sf_dir).withColumn("phi", C.r6("phi"))
 
 
-def topk_per_row(phi: DataFrame, k: int, id_col: str = "id") -> DataFrame:
-    """W1 + W4: top-k |φ| per row with rank and direction.
-
-    The window is partitioned by row id — a group is one row's features, so
-    its size is bounded by the feature count, never by data volume.
-    """
-    w = Window.partitionBy(id_col).orderBy(F.abs("phi").desc(), F.col("feature"))
-    return (phi.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .withColumn("direccion", F.when(F.col("phi") > 0, F.lit("up")).otherwise(F.lit("down"))))
+def ranked_terms(scored: DataFrame, features: list[str], header: dict) -> F.Column:
+    """The row's contributions as one array, largest |φ| first (ties by name):
+    ranking and widths need no shuffle, as a row has all its features."""
+    items = F.array(*[F.struct(
+        (-F.abs(F.col(f"w_{f}") - F.lit(header[f]["mean_w"]))).alias("order"), F.lit(f).alias("feature"),
+        F.col(f).cast("string").alias("input_value"), (F.col(f"w_{f}") - F.lit(header[f]["mean_w"])).alias("phi")) for f in features])
+    return F.sort_array(items)
 
 
 @query("topk_attr", _PHI_SQL + f"""
@@ -198,8 +196,11 @@ FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(phi) DESC, featu
 WHERE rank <= {fixed.TOP_FEATURES}""")
 def topk_attr(spark, sf_dir):
     """The 10 largest contributions per applicant."""
-    top = topk_per_row(_phi(spark, sf_dir), fixed.TOP_FEATURES)
-    return top.select("id", "feature", "input_value", C.r6("phi").alias("phi"), "rank", "direccion")
+    m = Model(spark, sf_dir)
+    scored = m.scored()
+    top = scored.select("id", F.posexplode(F.slice(ranked_terms(scored, m.features, m.header), 1, fixed.TOP_FEATURES)).alias("pos", "t"))
+    return top.select("id", "t.feature", "t.input_value", C.r6("t.phi").alias("phi"), (F.col("pos") + 1).alias("rank"),
+                      F.when(F.col("t.phi") > 0, F.lit("up")).otherwise(F.lit("down")).alias("direccion"))
 
 
 def _importance(phi: DataFrame) -> DataFrame:
@@ -234,7 +235,9 @@ SELECT id, feature, round(COALESCE(abs(phi) / NULLIF(max(abs(phi)) OVER (PARTITI
 FROM phi""")
 def attr_width(spark, sf_dir):
     """Bar width |φ| / max |φ| of the row × 100 (0 when all φ are 0)."""
-    phi = _phi(spark, sf_dir)
-    mx = F.max(F.abs("phi")).over(Window.partitionBy("id"))
-    return phi.select("id", "feature",
-                      C.r6(F.coalesce(F.try_divide(F.abs("phi"), mx), F.lit(0.0)) * 100.0).alias("ancho"))
+    m = Model(spark, sf_dir)
+    scored = m.scored()
+    rows = scored.select("id", ranked_terms(scored, m.features, m.header).alias("t"))
+    rows = rows.select("id", F.abs(F.get("t", F.lit(0))["phi"]).alias("mx"), F.inline("t"))
+    return rows.select("id", "feature",
+                       C.r6(F.coalesce(F.try_divide(F.abs("phi"), F.col("mx")), F.lit(0.0)) * 100.0).alias("ancho"))

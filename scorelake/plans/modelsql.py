@@ -75,11 +75,12 @@ def scored_cte(features: list[str], src: str = "split", name: str = "scored",
     joins, terms = [], []
     for i, f in enumerate(features):
         val = overrides.get(f, f"s.{f}")
-        joins.append(f"LEFT JOIN {card} c{i} ON c{i}.feature = '{f}' AND c{i}.level = CAST({val} AS VARCHAR)")
+        joins.append(f"LEFT JOIN {card} c{i} ON c{i}.feature = '{f}' AND c{i}.level IS NOT DISTINCT FROM CAST({val} AS VARCHAR)")
         terms.append(f"COALESCE(c{i}.weight, (SELECT min(unseen) FROM {card} WHERE feature = '{f}')) AS w_{f}")
     logit = " + ".join([f"(SELECT min(intercept) FROM {card})"] + [f"w_{f}" for f in features])
+    points = " + ".join(f"CAST(round(w_{f} * 1e9) AS BIGINT)" for f in features)
     return f"""{name}0 AS (SELECT s.*, {', '.join(terms)} FROM {src} s {' '.join(joins)}),
-{name} AS (SELECT *, {logit} AS logit, 1.0 / (1.0 + exp(-({logit}))) AS p FROM {name}0)"""
+{name} AS (SELECT *, {logit} AS logit, {points} AS points, 1.0 / (1.0 + exp(-({logit}))) AS p FROM {name}0)"""
 
 
 def model_ctes(features, alpha=1.0, test_pct=20, val_pct=25, seed=42) -> str:
@@ -93,9 +94,9 @@ def run_ctes(pre: str, features, alpha, test_pct, val_pct, oversample, seed=42)
 
 
 def auc_select(src: str = "scored", by: str = "split", pre: str = "") -> str:
-    return f"""{pre}per AS (SELECT {by}, round(p, 12) AS p, COUNT(*) FILTER (WHERE label = 1) AS pos,
-                 COUNT(*) FILTER (WHERE label <> 1) AS neg FROM {src} GROUP BY {by}, round(p, 12)),
-{pre}cum AS (SELECT *, COALESCE(SUM(neg) OVER (PARTITION BY {by} ORDER BY p
+    return f"""{pre}per AS (SELECT {by}, points, COUNT(*) FILTER (WHERE label = 1) AS pos,
+                 COUNT(*) FILTER (WHERE label <> 1) AS neg FROM {src} GROUP BY {by}, points),
+{pre}cum AS (SELECT *, COALESCE(SUM(neg) OVER (PARTITION BY {by} ORDER BY points
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM {pre}per),
 {pre}aucx AS (SELECT {by}, CAST(SUM(pos * (2 * nb + neg)) AS DOUBLE)
                   / (CAST(2.0 AS DOUBLE) * SUM(pos) * SUM(neg)) AS auc_exact,

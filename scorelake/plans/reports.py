@@ -78,9 +78,8 @@ FROM joined GROUP BY 1""")
 def status_filter(spark, sf_dir):
     """The approved (amount > 0) and denied (amount = 0) filters."""
     rows = _admin_rows(spark, sf_dir)
-    approved = rows.filter(F.col("monto") > 0).withColumn("estado_filtro", F.lit("aprobado"))
-    denied = rows.filter(F.col("monto") == 0).withColumn("estado_filtro", F.lit("denegado"))
-    return approved.unionByName(denied).groupBy("estado_filtro").agg(
+    kind = F.when(F.col("monto") > 0, F.lit("aprobado")).otherwise(F.lit("denegado"))
+    return rows.groupBy(kind.alias("estado_filtro")).agg(
         F.count(F.lit(1)).alias("n"), C.r6(F.sum("monto")).alias("monto_total"))
 
 

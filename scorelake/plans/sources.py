@@ -190,7 +190,7 @@ def runs_compare(spark, sf_dir):
 
 
 @query("audit_report", MODEL_SQL + ", " + auc_select() + """
-SELECT true AS model_path_exists, true AS metrics_path_exists, auc AS persisted_auc_test,
+SELECT true AS model_path_exists, true AS metrics_path_exists, true AS model_sha256_ok, auc AS persisted_auc_test,
        auc AS recomputed_auc_test, 0.0::DOUBLE AS auc_drift, true AS integrity_passed,
        true AS smoke_test_passed, 'PRODUCTION READY' AS estado
 FROM aucs WHERE split = 'test'""")
@@ -198,4 +198,4 @@ def audit_report(spark, sf_dir):
     """Store model + metrics, rebuild the split, rescore, compare AUC."""
     lab = labeled(spark, sf_dir)
     paths = A.train_and_store(lab, FEATURES, ALPHA, TEST_PCT, VAL_PCT, shared_path(spark, "audit"))
-    return A.audit(lab, FEATURES, paths, TEST_PCT, VAL_PCT)
+    return A.audit(lab, FEATURES, paths, TEST_PCT, VAL_PCT).drop("model_size_kb")

@@ -40,7 +40,7 @@ answers AS (
 
 TRAINING = """training AS (
   SELECT d.doc_id AS id, d.source AS distrito, d.lang AS nivel,
-         CAST(least(floor(d.n_chars / 1000), 9) AS BIGINT) AS tamano,
+         CAST(length(bin(d.n_chars)) AS BIGINT) AS tamano,
          CASE WHEN l.quality = 0 THEN 'Sí' ELSE 'No' END AS target
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
 

@@ -6,17 +6,19 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import gbt as G
+from ..operators import runs as RN
 from ..operators import treeshap as TS
 from ..session import shared_path
-from .model import FEATURES, split_frame
+from ..sources import files
+from .model import FEATURES, labeled, split_frame
 from .registry import query
 
-MAX_ITER = 30
+HARDENED = RN.GBT_CONFIGS[-1]
 
 
 def _fit(spark, sf_dir):
-    rows = split_frame(spark, sf_dir).cache()
-    model, best, _ = G.fit_best_prefix(rows, FEATURES, MAX_ITER)
+    rows = split_frame(spark, sf_dir, HARDENED["test_pct"], HARDENED["val_pct"])
+    model, best, _ = G.fit_best_prefix(rows, FEATURES, HARDENED["trees"], HARDENED["patience"], depth=HARDENED["depth"], step=HARDENED["step"])
     return rows, model, best
 
 
@@ -56,13 +58,11 @@ def shap_tree(spark, sf_dir):
 
 @query("runs_gbt")
 def runs_gbt(spark, sf_dir):
-    """M9 (trees): the four training iterations on Spark ML GBT — oversampled
-    (SMOTEN) and ablation variants included; rows-only."""
-    from ..operators import runs as RN
-    from .model import labeled
-    lab = labeled(spark, sf_dir)
-    out = None
-    for cfg in RN.GBT_CONFIGS:
-        r = RN.gbt_run_metrics(lab, cfg)
-        out = r if out is None else out.unionByName(r)
-    return out
+    """M9 (trees): the four training iterations on Spark ML GBT, appended to a
+    run table with parameters and tags and read back in long form."""
+    path = files.append_runs(RN.gbt_runs_table(labeled(spark, sf_dir)), shared_path(spark, "runs"))
+    runs = files.read_runs(spark, path)
+    return runs.select("run_name", F.explode(F.map_concat(
+        F.transform_values("metrics", lambda _, v: v.cast("string")),
+        F.transform_keys("params", lambda k, _: F.concat(F.lit("param."), k)),
+        F.transform_keys("tags", lambda k, _: F.concat(F.lit("tag."), k)))).alias("name", "value"))

@@ -8,7 +8,6 @@ created and registered.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -39,7 +38,12 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, registering a private one if unset."""
+    """Return the shared checkpoint folder.
+
+    On a local master (tests, a laptop) a private one is registered when the
+    setting is absent; on a cluster that would be a folder of one machine, so
+    the setting is required there.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -47,6 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="scorelake-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -61,11 +67,6 @@ def shared_path(spark: SparkSession, *parts: str, unique: bool = True) -> str:
     return "/".join([base, "scorelake", *leaf])
 
 
-def local_fs_path(path: str) -> str:
-    """Strip a ``file:`` scheme for the few helpers that hash local files."""
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
 def fits_broadcast(df: DataFrame, max_rows: int = 100_000) -> bool:
     """True when ``df`` has at most ``max_rows`` rows (reads ≤ max_rows + 1)."""
     return df.limit(max_rows + 1).count() <= max_rows
@@ -86,10 +87,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default

@@ -127,9 +127,21 @@ def load_table_model(spark: SparkSession, path: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- S9
+def exists(spark: SparkSession, path: str) -> bool:
+    """Does a path exist, in whatever file system it names?"""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+MANIFEST_SCHEMA = "path string, existe boolean, size_kb double, sha256 string"
+
+
 def artifact_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Exists / size KB / SHA-256 per stored file, computed by the executors
-    that read the bytes (``binaryFile``), not by a driver-side loop."""
+    that read the bytes (``binaryFile``), not by a driver-side loop.  A path
+    that is not there is one row with ``existe`` false."""
+    if not exists(spark, path):
+        return spark.createDataFrame([(path, False, None, None)], MANIFEST_SCHEMA)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select(
         F.col("path"), F.lit(True).alias("existe"),
@@ -137,6 +149,14 @@ def artifact_manifest(spark: SparkSession, path: str) -> DataFrame:
         F.sha2(F.col("content"), 256).alias("sha256"))
 
 
+def artifact_digest(manifest: DataFrame) -> DataFrame:
+    """One row for a stored artefact: is it there, its size and a SHA-256 over
+    its files' hashes in order (the files of one model)."""
+    return manifest.agg(
+        F.coalesce(F.bool_and("existe"), F.lit(False)).alias("existe"), F.round(F.sum("size_kb"), 2).alias("size_kb"),
+        F.sha2(F.array_join(F.sort_array(F.collect_list("sha256")), ""), 256).alias("sha256"))
+
+
 # ---------------------------------------------------------------- S10
 def append_runs(runs: DataFrame, path: str) -> str:
     runs.write.mode("append").parquet(path)

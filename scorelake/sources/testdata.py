@@ -112,7 +112,7 @@ def training(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("doc_id").alias("id"),
             F.col("source").alias("distrito"),
             F.col("lang").alias("nivel"),
-            F.least(F.floor(F.col("n_chars") / 1000), F.lit(9)).cast("long").alias("tamano"),
+            F.length(F.bin("n_chars")).cast("long").alias("tamano"),
             F.when(F.col("quality") == 0, F.lit(fixed.TARGET_POSITIVE)).otherwise(F.lit("No"))
             .alias("target"),
         )

@@ -124,7 +124,8 @@ def test_salted_user_join_equals_plain_join(spark):
     assert sorted(salted.collect()) == sorted(plain.select(*salted.columns).collect())
 
 
-def test_iterative_newest_matches_full_join(spark):
+@pytest.mark.parametrize("n", [50, 400, 600])
+def test_newest_candidates_match_full_join(spark, n):
     import datetime as dt
     from scorelake.operators import report as R
     base = dt.datetime(2024, 1, 1)
@@ -136,7 +137,7 @@ def test_iterative_newest_matches_full_join(spark):
                                   "evaluacion_id long, p_default double")
     users = spark.createDataFrame([(u, f"u{u}", 30, "d", "n") for u in range(6)],
                                   "usuario_id long, nombre string, edad int, distrito string, nivel_educativo string")
-    fast = R.admin_latest_topk(users, evals, preds, 50, start=1)
+    fast = R.admin_latest_topk(users, evals, preds, 50, candidates=n)
     full = R.admin_latest(users, evals, preds, 50)
     assert fast.collect() == full.collect()
     assert fast.count() == 50

@@ -57,10 +57,10 @@ MAP = [
     ("G7", "operators.runs.compare_runs", ["runs_compare"]),
     ("G8", "mean |φ| per feature, top 15", ["global_importance"]),
     ("G9", "|φ| / max |φ| per row", ["attr_width"]),
-    ("W1", "plans.model.topk_per_row", ["topk_attr"]),
+    ("W1", "plans.model.ranked_terms", ["topk_attr"]),
     ("W2", "operators.report.topk_global", ["topk_importance", "gbt_importance"]),
     ("W3", "operators.report.newest", ["admin_latest"]),
-    ("W4", "direction flag in plans.model.topk_per_row", ["topk_attr"]),
+    ("W4", "direction flag in plans.model.ranked_terms", ["topk_attr"]),
     ("W5", "scenario columns / unionByName of runs", ["counterfactual", "runs_log"]),
     ("F1", "functions.columns.label_clean", ["label_clean"]),
     ("F2", "functions.columns.truncate", ["truncate_label"]),
