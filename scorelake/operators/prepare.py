@@ -83,21 +83,16 @@ def drop_by_rule(df: DataFrame, exact=None, prefixes=None) -> DataFrame:
 
 
 # ---------------------------------------------------------------- P4, P5
-def strip_prefix_text(name: str) -> str:
-    """Driver-side twin of :func:`columns.strip_likert_prefix` for names."""
-    import re
-    m = re.match(fixed.LIKERT_PREFIX_PATTERN, name.strip())
-    return m.group(1).strip() if m else name.strip()
-
-
 def normalize_names(df: DataFrame) -> DataFrame:
-    """P4 + P5: trim names, strip the Likert prefix, apply fixed renames."""
-    out = []
-    for c in df.columns:
-        new = strip_prefix_text(c)
-        new = fixed.COLUMN_RENAMES.get(new, new)
-        out.append(qcol(c).alias(new))
-    return df.select(*out)
+    """P4 + P5: trim names, strip the Likert prefix, apply fixed renames.
+
+    Names pass through the same Column rule as values do, as a table of one
+    row per column.
+    """
+    names = df.sparkSession.createDataFrame(list(enumerate(df.columns)), "at int, name string")
+    ruled = names.select("at", C.strip_likert_prefix("name").alias("name")).replace(fixed.COLUMN_RENAMES, subset=["name"])
+    new = {r["at"]: r["name"] for r in ruled.collect()}
+    return df.toDF(*[new[i] for i in range(len(df.columns))])
 
 
 # ---------------------------------------------------------------- P3, P7
@@ -115,11 +110,13 @@ def align(df: DataFrame, features: list[str], keep: list[str] | None = None) ->
 
 
 # ---------------------------------------------------------------- P8, P15
-def find_column(df: DataFrame, fragment: str) -> str:
-    for c in df.columns:
-        if fragment in c:
-            return c
-    raise ValueError(f"no column contains {fragment!r}")
+def column_about(df: DataFrame, fragment: str) -> str:
+    """The one column whose name has ``fragment``; none or several raise,
+    naming them."""
+    hits = sorted(filter(lambda name: fragment in name, df.schema.names))
+    if len(hits) != 1:
+        raise ValueError(f"{len(hits)} columns contain {fragment!r}: {hits}")
+    return hits[0]
 
 
 def string_columns(df: DataFrame) -> list[str]:

@@ -58,10 +58,6 @@ def values_items() -> str:
             + ", ".join(rows) + ")")
 
 
-def values_levels() -> str:
-    rows = ", ".join(f"({i + 1}, {sql_str(t)})" for i, t in enumerate(fixed.LIKERT_LEVELS))
-    return f"levels(level, answer) AS (VALUES {rows})"
-
 
 def policy_case(p: str, field: str) -> str:
     idx = {"estado": 1, "tramo": 2, "monto": 3}[field]

@@ -97,11 +97,6 @@ def answers_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def answers_wide(long_df: DataFrame) -> DataFrame:
-    """Pivot on an explicit item list (no value-discovery job)."""
-    return long_df.groupBy("applicant").pivot("item", fixed.ITEM_CODES).agg(F.first("level"))
-
-
 # ---------------------------------------------------------------- training
 def training(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
@@ -165,22 +160,5 @@ def items_df(spark: SparkSession) -> DataFrame:
               "reverse boolean, intensity string")
 
 
-def levels_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(i + 1, name) for i, name in enumerate(fixed.LIKERT_LEVELS)], "level int, answer string")
-
-
-def policy_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(fixed.POLICY, "upper double, estado string, tramo string, monto double")
-
-
 # Counterfactual scenarios override the ``nivel`` feature (FIXTURES §2).
 SCENARIOS = [("imputed", "en"), ("sin_obligaciones", "es"), ("moroso_declarado", "de")]
-
-
-def scenarios_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SCENARIOS, "scenario string, value string")
-
-
-def answers_with_text(long_df: DataFrame) -> DataFrame:
-    return long_df.withColumn("answer", level_name("level"))

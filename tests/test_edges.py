@@ -134,13 +134,13 @@ def test_money_text(spark):
     assert [r[0] for r in df.orderBy("i").select(C.fmt_money("m")).collect()] == ["S/ 1,234.50", "—"]
 
 
-def test_missing_features_and_find_column(spark):
+def test_missing_features_and_column_about(spark):
     df = spark.createDataFrame([("a", 1)], "x string, y int")
     with pytest.raises(ValueError, match="z"):
         P.align(df, ["x", "z"])
-    assert P.find_column(df.withColumnRenamed("x", fixed.PAYMENT_QUESTION), fixed.PAYMENT_FRAGMENT) == fixed.PAYMENT_QUESTION
+    assert P.column_about(df.withColumnRenamed("x", fixed.PAYMENT_QUESTION), fixed.PAYMENT_FRAGMENT) == fixed.PAYMENT_QUESTION
     with pytest.raises(ValueError):
-        P.find_column(df, "nothing")
+        P.column_about(df, "nothing")
     assert P.string_columns(df) == ["x"]
 
 

@@ -28,7 +28,7 @@ MAP = [
     ("P5", "functions.columns.strip_likert_prefix / first_bracket", ["strip_prefix", "first_answer"]),
     ("P6", "functions.columns.target_code", ["target_encode"]),
     ("P7", "operators.prepare.align / missing_features", ["(unit test)"]),
-    ("P8", "operators.prepare.find_column", ["(unit test)"]),
+    ("P8", "operators.prepare.column_about", ["(unit test)"]),
     ("P9", "operators.prepare.first_value, sources.files.flatten_request", ["first_answer"]),
     ("P10", "inject: left join user record, coalesce defaults", ["inject_demog"]),
     ("P11", "operators.prepare.fill_cast", ["fill_cast", "src_csv_survey"]),
