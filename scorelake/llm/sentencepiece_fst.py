@@ -57,19 +57,21 @@ class Transducer:
         self.surface = [bytes([int(p[3:5], 16)]) if kind == _BYTE else p.replace(SPACE, " ").encode() if kind == _NORMAL else
                         " ⁇ ".encode() if kind == _UNKNOWN else b"" for p, _, kind in pieces]
         self.text = [p for p, _, _ in pieces]
-        self.longest = max(map(len, self.ids), default=1)
         self.least = min((self.score[i] for i in self.ids.values()), default=0.0)
         spanning = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         line = "" if any("\n" in p for p in self.ids) else "\n"
         self.cut = None if spanning else re.compile(f"{SPACE}*[^{SPACE}{line}]+|{SPACE}+" + (f"|{line}" if line else ""))
+        # states of the letter automaton: {letter: (next state, id or None)}
         self.lexicon: dict = {}
         for piece, i in self.ids.items():
+            if bpe and self._merged(piece) != [piece]:
+                continue  # merging never yields it
             node = self.lexicon
-            for ch in piece:
-                node = node.setdefault(ch, {})
-            node[""] = i
-        self._pair: dict[tuple[int, int], bool] = {}
-        self._whole: dict[int, bool] = {}
+            for ch in piece[:-1]:
+                node = node.setdefault(ch, ({}, None))[0]
+            below = node.get(piece[-1], ({}, None))[0]
+            node[piece[-1]] = (below, i)
+        self._pair: dict[int, bool] = {}
         self._seen: dict[str, tuple[int, ...]] = {}
 
     # normaliser
@@ -94,54 +96,71 @@ class Transducer:
                 return parts
             parts[at: at + 2] = [parts[at] + parts[at + 1]]
 
-    def _follows(self, left: int, right: int) -> bool:
-        """Weight of the pair (left, right) is 0; -1 - c is the unknown character c."""
-        if right >= 0:
-            whole = self._whole.get(right)
-            if whole is None:
-                whole = self._whole[right] = self._merged(self.text[right]) == [self.text[right]]
-            if not whole:
-                return False
-            if left < 0:  # start of the segment, or an unknown character: no piece holds it
-                return True
-            ok = self._pair.get((left, right))
-            if ok is None:
-                if len(self._pair) > 4 * REMEMBERED:
-                    self._pair.clear()
-                a, b = self.text[left], self.text[right]
-                ok = self._pair[left, right] = self._merged(a + b) == [a, b]
-            return ok
-        return True
+    def _allowed(self, left: int, right: int) -> bool:
+        """Is the weight of the pair of pieces 0?"""
+        if len(self._pair) > 4 * REMEMBERED:
+            self._pair.clear()
+        a, b = self.text[left], self.text[right]
+        ok = self._pair[left * len(self.text) + right] = self._merged(a + b) == [a, b]
+        return ok
 
     # shortest path
+    def _arcs(self, text: str, s: int) -> list[tuple[int, int]]:
+        """(end, id) of the lexicon's arcs from position s, short to long; id
+        -1 is byte fallback for a character that is no piece."""
+        node, out = self.lexicon, []
+        for e in range(s, len(text)):
+            hit = node.get(text[e])
+            if hit is None:
+                break
+            node, k = hit
+            if k is not None:
+                out.append((e + 1, k))
+        if not out or out[0][0] != s + 1:
+            out.insert(0, (s + 1, -1))
+        return out
+
+    def _path_of_pairs(self, text: str) -> tuple[int, ...]:
+        """Merge models: weights are 0 or infinite, so the first complete path
+        that is found is the shortest. Depth first, long arcs first; a position
+        that leads nowhere is dead, as only one path of weight 0 reaches it."""
+        n, size, pair = len(text), len(self.text), self._pair
+        path: list[int] = []
+        at, left, open_, dead = [0], -1, [self._arcs(text, 0)], set()
+        while at[-1] < n:
+            arcs = open_[-1]
+            while arcs:
+                e, k = arcs.pop()
+                if e in dead:
+                    continue
+                if k >= 0 and left >= 0:
+                    ok = pair.get(left * size + k)
+                    if not (self._allowed(left, k) if ok is None else ok):
+                        continue
+                path.append(k)
+                at.append(e)
+                left = k
+                if e < n:
+                    open_.append(self._arcs(text, e))
+                break
+            else:
+                dead.add(at.pop())
+                open_.pop()
+                path.pop()
+                left = path[-1] if path else -1
+        return tuple(path) if -1 not in path else tuple(chain.from_iterable((k,) if k >= 0 else self._fallback(text[s]) for k, s in zip(path, at)))
+
     def _path(self, text: str) -> tuple[int, ...]:
+        """Unigram models: the lightest path, position by position."""
         n = len(text)
-        weight = [float("inf")] * (n + 1)
-        weight[0] = 0.0
+        weight = [0.0] + [float("inf")] * n
         last, back = [-1] * (n + 1), [0] * (n + 1)
+        unknown = UNKNOWN_PENALTY - self.least
         for s in range(n):
-            if weight[s] == float("inf"):
-                continue
-            node, e, single = self.lexicon, s, False
-            while e < n:
-                node = node.get(text[e])
-                if node is None:
-                    break
-                e += 1
-                k = node.get("")
-                if k is None:
-                    continue
-                single |= e == s + 1
-                if self.bpe:
-                    w = weight[s] if weight[e] == float("inf") and self._follows(last[s], k) else float("inf")
-                else:
-                    w = weight[s] - self.score[k]
+            for e, k in self._arcs(text, s):
+                w = weight[s] + (unknown if k < 0 else -self.score[k])
                 if w < weight[e]:
                     weight[e], last[e], back[e] = w, k, s
-            if not single:  # byte fallback (or the unknown piece) for one character
-                w = weight[s] + (0.0 if self.bpe else UNKNOWN_PENALTY - self.least)
-                if w < weight[s + 1]:
-                    weight[s + 1], last[s + 1], back[s + 1] = w, -2, s
         out: list[tuple[int, ...]] = []
         e = n
         while e > 0:
@@ -157,7 +176,7 @@ class Transducer:
     def _segment(self, text: str) -> tuple[int, ...]:
         found = self._seen.get(text)
         if found is None:
-            found = self._path(text)
+            found = self._path_of_pairs(text) if self.bpe else self._path(text)
             if len(text) <= SHORT:
                 if len(self._seen) >= REMEMBERED:
                     self._seen.clear()
