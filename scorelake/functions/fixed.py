@@ -90,12 +90,6 @@ POLICY = [
     (float("inf"), "Denegado", "S/0 — Denegado", 0.0),
 ]
 
-# --- FIXED VALUES: answer-scoring rule of the questionnaire ------------------
-# logit = 2.4 - 1.5 * mean(ORDEN, DESCUENTO, LOCUS) + 0.3 * MENTIRA
-RULE_INTERCEPT = 2.4
-RULE_GOOD_WEIGHT = -1.5
-RULE_LIE_WEIGHT = 0.3
-
 # --- FIXED VALUES: fuzzy-match cutoff and sensitivity perturbation counts ----
 FUZZY_CUTOFF = 0.85
 PERTURBATION_COUNTS = [1, 2, 3, 5]

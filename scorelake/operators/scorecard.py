@@ -7,9 +7,9 @@ Per feature f and level v, from training rows only (Laplace ``alpha``):
     logit    = ln(P / N) + Σ_f w(f, x_f),   p = 1 / (1 + e^(−logit))
 
 Fitting is one partially aggregated ``groupBy(feature, level)`` over the long
-form.  Scoring is one lookup join per feature against the scorecard, which is
-broadcast only after its row count is checked (``sized_broadcast``); above
-the bound the join is a normal shuffle join.  The model is a table, so it
+form.  Scoring looks features of few levels up in the row; a feature with many
+joins the scorecard, which is broadcast only after its row count is checked
+(``sized_broadcast``); above the bound the join is a normal shuffle join.  The model is a table, so it
 saves/loads as parquet and every number is reproducible in SQL.
 """
 
@@ -69,17 +69,39 @@ def model_header(card: DataFrame) -> dict[str, dict[str, float]]:
                            "k": r["k"]} for r in rows}
 
 
+#: Levels of a feature that are looked up in the row; beyond it a join is made.
+IN_ROW_LEVELS = 256
+
+
+def in_row_weights(card: DataFrame, header: dict) -> dict[str, list[tuple[str | None, float]]]:
+    """(level, weight) of the features with few levels: at most IN_ROW_LEVELS a feature."""
+    small = [f for f, h in header.items() if (h.get("k") or IN_ROW_LEVELS + 1) <= IN_ROW_LEVELS]
+    out: dict[str, list] = {f: [] for f in small}
+    for r in card.filter(F.col("feature").isin(small)).select("feature", "level", "weight").collect():
+        out[r["feature"]].append((r["level"], r["weight"]))
+    return out
+
+
+def weight_of(value, levels: list[tuple[str | None, float]], unseen: float):
+    """A feature's weight for ``value``; a null level is a level like others."""
+    pairs = [F.lit(x) for level, w in sorted((lv, w) for lv, w in levels if lv is not None) for x in (level, w)]
+    known = F.try_element_at(F.create_map(*pairs), value) if pairs else F.lit(None).cast("double")
+    null_weight = dict(levels).get(None, unseen)
+    return F.when(value.isNull(), F.lit(null_weight)).otherwise(F.coalesce(known, F.lit(unseen)))
+
+
 def term_columns(df: DataFrame, card: DataFrame, features: list[str],
                  header: dict | None = None, max_broadcast_rows: int = 200_000) -> DataFrame:
     """Add ``w_<feature>`` (the feature's log-odds term) for every row.
 
-    A feature's lookup table is broadcast only when its level count (known
-    from the model header) is below ``max_broadcast_rows``; otherwise the
-    lookup is a shuffle join.
+    Features with few levels (survey answers) are looked up in the row, without
+    a join. Others join the card: by broadcast while the level count known from
+    the model header is below ``max_broadcast_rows``, else by shuffle.
     """
     header = header or model_header(card)
-    out = df
-    for f in features:
+    rows = in_row_weights(card, {f: header[f] for f in features})
+    out = df.withColumns({f"w_{f}": weight_of(F.col(f).cast("string"), rows[f], header[f]["unseen"]) for f in features if f in rows})
+    for f in (f for f in features if f not in rows):
         lookup = card.filter(F.col("feature") == f).select(
             F.col("level").alias(f"_lv_{f}"), F.col("weight").alias(f"_wt_{f}"), F.lit(True).alias(f"_in_{f}"))
         k = header[f].get("k")

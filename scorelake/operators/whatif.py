@@ -71,19 +71,6 @@ def pillar_scores(adjusted: DataFrame, keys: list[str]) -> DataFrame:
     return sub.groupBy(*keys, "pillar").agg(F.avg("_s").alias("score"))
 
 
-def rule_probability(pillars: DataFrame, keys: list[str]) -> DataFrame:
-    """Questionnaire rule: logit = 2.4 − 1.5·mean(ORDEN, DESCUENTO, LOCUS) + 0.3·MENTIRA.
-
-    Missing pillars give a null probability, which the policy denies.
-    """
-    good = F.avg(F.when(F.col("pillar") != "MENTIRA", F.col("score")))
-    lie = F.max(F.when(F.col("pillar") == "MENTIRA", F.col("score")))
-    w = pillars.groupBy(*keys).agg(good.alias("bueno"), lie.alias("mentira"))
-    logit = (F.lit(fixed.RULE_INTERCEPT) + F.lit(fixed.RULE_GOOD_WEIGHT) * F.col("bueno")
-             + F.lit(fixed.RULE_LIE_WEIGHT) * F.col("mentira"))
-    return w.withColumn("p", C.logistic(logit))
-
-
 # ------------------------------------------------------------------ M11
 def perturbation_hash(seed: int, applicant: str, n: str, item: str) -> Column:
     return F.md5(F.concat_ws("~", F.lit(str(seed)), F.col(applicant).cast("string"),
@@ -110,23 +97,34 @@ def perturb(answers: DataFrame, counts=None, seed: int = fixed.RANDOM_SEED) -> D
                     changed.alias("cambiado"))
 
 
-def sensitivity(answers: DataFrame, items: DataFrame, counts=None, seed: int = fixed.RANDOM_SEED) -> DataFrame:
-    """Per (applicant, n): original p, perturbed p, delta, tier change.
+def sensitivity(answers: DataFrame, scored: DataFrame, weights: dict, header: dict, counts=None,
+                seed: int = fixed.RANDOM_SEED) -> DataFrame:
+    """Per (applicant, n): p of the trained scorecard, p with n answers
+    changed, delta, tier change.
 
-    One pass: n = 0 is carried as the unperturbed replica, every replica is
-    scored by the same aggregates, and the original p reaches its siblings
-    through a window partitioned by applicant (five rows per group).
+    An additive score moves by the changed items' weights only, so an
+    applicant's answers (at most 30) are gathered once, and inside the row the
+    n smallest hashes are picked for each n: no replicas and no sort across
+    the network.  ``scored`` has id, logit and p; answers levels are 1..5.
     """
     counts = counts or fixed.PERTURBATION_COUNTS
-    # answers hold ≤ one row per (applicant, item), so hashing by applicant is
-    # skew-safe here; one exchange of 1× rows then serves the per-(applicant, n)
-    # window, every aggregate and the final per-applicant window
-    pert = perturb(answers.repartition("applicant"), [0, *counts], seed)
-    scored = rule_probability(pillar_scores(adjusted_answers(pert, items), ["applicant", "n"]),
-                              ["applicant", "n"])
-    base = F.max(F.when(F.col("n") == 0, F.col("p"))).over(Window.partitionBy("applicant"))
-    j = (scored.withColumn("_po", base).filter(F.col("n") > 0)
-         .select("applicant", "n", F.col("p").alias("_pn"), "_po"))
+    items = answers.groupBy("applicant").agg(F.collect_list(F.struct("item", "level")).alias("a"))
+    rows = items.join(scored.select(F.col("id").alias("applicant"), "logit", "p"), "applicant")
+    table = {f"{f}~{i + 1}": dict(weights[f]).get(name, header[f]["unseen"]) for f in fixed.ITEM_CODES for i, name in enumerate(fixed.LIKERT_LEVELS)}
+    card = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    weight = lambda x, level: F.try_element_at(card, F.concat_ws("~", x["item"], level.cast("string")))
+
+    def moved(n: int) -> Column:
+        hashed = F.transform("a", lambda x: F.struct(
+            F.md5(F.concat_ws("~", F.lit(str(seed)), F.col("applicant").cast("string"), F.lit(str(n)), x["item"])).alias("h"), x["item"].alias("item"), x["level"].alias("level")))
+        def shift(x):
+            alt = F.conv(F.substring(x["h"], 1, 8), 16, 10).cast("long") % 4
+            return weight(x, ((x["level"] - 1) + 1 + alt) % 5 + 1) - weight(x, x["level"])
+        return F.aggregate(F.slice(F.array_sort(hashed), 1, n), F.lit(0.0), lambda s, x: s + shift(x))
+
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), moved(n).alias("d")) for n in counts]))
+    j = rows.select("applicant", F.col("p").alias("_po"), "logit", each.alias("e")).select(
+        "applicant", "e.n", "_po", C.logistic(F.col("logit") + F.col("e.d")).alias("_pn"))
     t0 = C.policy_column("_po", "tramo")
     t1 = C.policy_column("_pn", "tramo")
     return j.select(

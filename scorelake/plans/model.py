@@ -38,9 +38,10 @@ class Model:
     its training input for the same reason).
     """
 
-    def __init__(self, spark, sf_dir, features=FEATURES, alpha=ALPHA, test_pct=TEST_PCT, val_pct=VAL_PCT):
+    def __init__(self, spark, sf_dir, features=FEATURES, alpha=ALPHA, test_pct=TEST_PCT, val_pct=VAL_PCT, training=td.training):
         self.features = list(features)
-        self.rows = split_frame(spark, sf_dir, test_pct, val_pct).cache()
+        rows = training(spark, sf_dir).withColumn("label", C.target_code("target"))
+        self.rows = split.stratified_split(rows, "label", "id", test_pct, val_pct).cache()
         self.card = scorecard.fit(self.rows, self.features, "label", alpha).cache()
         self.header = scorecard.model_header(self.card)
 

@@ -83,8 +83,8 @@ def scored_cte(features: list[str], src: str = "split", name: str = "scored",
 {name} AS (SELECT *, {logit} AS logit, {points} AS points, 1.0 / (1.0 + exp(-({logit}))) AS p FROM {name}0)"""
 
 
-def model_ctes(features, alpha=1.0, test_pct=20, val_pct=25, seed=42) -> str:
-    return with_(TRAINING, *split_ctes(test_pct, val_pct, seed), *card_ctes(features, alpha),
+def model_ctes(features, alpha=1.0, test_pct=20, val_pct=25, seed=42, training=(TRAINING,)) -> str:
+    return with_(*training, *split_ctes(test_pct, val_pct, seed), *card_ctes(features, alpha),
                  scored_cte(features))
 
 

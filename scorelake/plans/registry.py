@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every plan module so that it registers its queries."""
-    for mod in ("reports", "prepare", "reconcile", "model", "whatif", "sources", "stream", "trees", "resample"):
+    for mod in ("reports", "prepare", "reconcile", "model", "whatif", "sources", "stream", "trees", "resample", "survey"):
         try:
             __import__(f"{__package__}.{mod}")
         except ModuleNotFoundError as exc:  # module not written yet

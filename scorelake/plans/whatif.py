@@ -124,29 +124,3 @@ def perturb(spark, sf_dir):
     p = W.perturb(td.answers_long(spark, sf_dir))
     return p.filter("cambiado").select("applicant", "n", "item", "nivel_original",
                                        F.col("level").alias("nivel_nuevo"))
-
-
-def _rule_sql(src: str, keys: str, name: str) -> str:
-    return f"""{name}_adj AS (
-  SELECT {keys}, i.pillar, i.subdim, CASE WHEN i.reverse THEN 6 - a.level ELSE a.level END AS ajustado
-  FROM {src} a JOIN items i ON a.item = i.item),
-{name}_sub AS (SELECT {keys}, pillar, subdim, avg(ajustado) AS s FROM {name}_adj GROUP BY ALL),
-{name}_pil AS (SELECT {keys}, pillar, avg(s) AS score FROM {name}_sub GROUP BY ALL),
-{name} AS (
-  SELECT {keys}, 1.0 / (1.0 + exp(-({fixed.RULE_INTERCEPT!r} + ({fixed.RULE_GOOD_WEIGHT!r}) * bueno
-                                      + {fixed.RULE_LIE_WEIGHT!r} * mentira))) AS p
-  FROM (SELECT {keys}, avg(score) FILTER (WHERE pillar <> 'MENTIRA') AS bueno,
-               max(score) FILTER (WHERE pillar = 'MENTIRA') AS mentira
-        FROM {name}_pil GROUP BY ALL))"""
-
-
-@query("sensitivity", _PERTURB_SQL + ", " + _rule_sql("answers", "applicant", "base") + ",\n"
-       + _rule_sql("pert", "applicant, n", "new") + f"""
-SELECT n.applicant, n.n, round(b.p, 6) AS p_original, round(n.p, 6) AS p_perturbada,
-       {r6('n.p - b.p')} AS delta,
-       {policy_case('b.p', 'tramo')} <> {policy_case('n.p', 'tramo')} AS tramo_cambio,
-       {policy_case('n.p', 'tramo')} AS nuevo_tramo
-FROM new n JOIN base b ON n.applicant = b.applicant""")
-def sensitivity(spark, sf_dir):
-    """Rescore every applicant with 1, 2, 3, 5 perturbed answers."""
-    return W.sensitivity(td.answers_long(spark, sf_dir), td.items_df(spark))

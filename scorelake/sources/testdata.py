@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import columns as C
 from ..functions import fixed
 from ..functions.columns import level_name
 
@@ -97,6 +98,27 @@ def answers_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- survey training
+SURVEY_FEATURES = ["distrito", "nivel", *fixed.ITEM_CODES]
+#: Positive: mean of round(100 * discount) over an applicant's lines of SURVEY_CUT / 10 or more.
+SURVEY_CUT = 52
+
+
+def survey_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per applicant: district, education, 30 answers as texts
+    (unanswered: "Desconocido") and a target from the applicant's own lines."""
+    level = lambda code: F.max(F.when(F.col("item") == code, F.col("level")))
+    wide = answers_long(spark, sf_dir).groupBy("applicant").agg(*[level(c).alias(c) for c in fixed.ITEM_CODES])
+    lines = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_suppkey") * 6 + F.col("l_orderkey") % 6).alias("applicant"), F.round(F.col("l_discount") * 100).cast("long").alias("d"))
+    total = lines.groupBy("applicant").agg(F.sum("d").alias("s"), F.count(F.lit(1)).alias("n"))
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("applicant") % len(values)).cast("int"))
+    return wide.join(total, "applicant").select(
+        F.col("applicant").alias("id"), pick(fixed.TRAIN_DISTRICTS).alias("distrito"), pick(fixed.TRAIN_EDUCATION).alias("nivel"),
+        *[F.coalesce(C.level_name(c), F.lit("Desconocido")).alias(c) for c in fixed.ITEM_CODES],
+        F.when(F.col("s") * 10 >= F.col("n") * SURVEY_CUT, F.lit(fixed.TARGET_POSITIVE)).otherwise(F.lit("No")).alias("target"))
+
+
 # ---------------------------------------------------------------- training
 def training(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
