@@ -390,7 +390,7 @@ def near_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_
                          .withColumn("pivot", (F.col("tiles") > 1) & (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.ceil(F.col("count") / PIVOTS)) == 0)))
     at = F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("own")))
     first = placed.select("doc_id", "block", at.alias("t")).select("doc_id", F.concat_ws(".", "block", "t").alias("tile"), F.lit(0).alias("side"), F.col("doc_id").alias("grp"))
-    sets = _shipped(with_id, placed.select("doc_id"), k)
+    sets = cut_lineage(_shipped(with_id, placed.select("doc_id"), k))  # read by both rounds of tiles
     links = _tile_links(sets, first, num, den)
     wide = placed.where("tiles > 1").select("doc_id", "block", "own")
     if wide.limit(1).count():
