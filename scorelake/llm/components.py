@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from scorelake.llm.common import cut_lineage
 
 
+#: Edges that a task contracts at most on average.
+EDGES = 1 << 19
+
+
 class Forest:
     """Union-find over hashable items; the root is the smallest member."""
 
@@ -67,27 +71,31 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (u long, v long); the
     component is its smallest node.
 
-    Tasks first contract their own edges. Then large-star and small-star
-    rounds, each a minimum per node and a join with it, run until nothing
+    Tasks of at most ``EDGES`` edges contract theirs to stars; one task is the
+    whole answer when all edges fit in it. Otherwise large-star and small-star
+    rounds follow, each a minimum per node and a join with it, until nothing
     changes: a number of rounds logarithmic in the longest path. A hub's edges
     meet one row per node, which Spark's skew join may split.
     """
     def bigger_first(df: DataFrame) -> DataFrame:
         return df.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
-    def state(df: DataFrame):
-        return tuple(df.agg(F.count(F.lit(1)), F.expr("sum(cast(xxhash64(u, v) as decimal(38, 0)))")).first())
-
-    now = cut_lineage(bigger_first(bigger_first(edges).mapInArrow(_contract, "u long, v long")))
-    was = state(now)
-    while was[0]:
+    now, was = cut_lineage(edges.select("u", "v")), None
+    while True:
+        state = tuple(now.agg(F.count(F.lit(1)), F.expr("sum(cast(xxhash64(u, v) as decimal(38, 0)))")).first())
+        if state == was:
+            break
+        tasks = -(-state[0] // EDGES) or 1
+        stars = now.coalesce(tasks).mapInArrow(_contract, "u long, v long")
+        if tasks == 1:
+            now = cut_lineage(stars)
+            break
+        was = state
+        now = bigger_first(stars)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         now = cut_lineage(bigger_first(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))))
-        if (is_ := state(now)) == was:
-            break
-        was = is_
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

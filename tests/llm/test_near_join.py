@@ -114,7 +114,9 @@ def test_tree_join_against_all_pairs():
         assert sorted(got) == sorted(want)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("per_task", [60, C.EDGES])
+def test_components(spark, monkeypatch, per_task):
+    monkeypatch.setattr(C, "EDGES", per_task)
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 2000 + i) for i in range(200)] + [(rng.randint(5000, 5400), rng.randint(5000, 5400)) for _ in range(250)] + [(7, 7)]
     forest = C.Forest()
