@@ -56,8 +56,9 @@ def _unpartitioned_window_lines(plan: str):
 
 
 # windows without PARTITION BY are allowed only over an already bounded input
-BOUNDED_WINDOWS = {"topk_importance"}  # rank over the k rows of TakeOrderedAndProject
-SLOW = {"runs_gbt"}  # its rows are read back from a stored table
+BOUNDED_WINDOWS = {"topk_importance", "survey_topk_importance", "gbt_importance"}  # a rank over k rows, or one per feature
+# rows read back from a stored table, or the model of gbt_score once more
+SLOW = {"runs_gbt", "runs_log", "runs_compare", "shap_tree"}
 
 
 def test_no_single_task_window_over_data(spark):
