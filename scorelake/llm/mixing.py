@@ -10,9 +10,9 @@ the words taken are the target, to the nearest word, and no document exceeds
 ``epochs`` repetitions.
 
 Only DataFrame functions are used. The seeded order is an MD5 of seed and id;
-its running sum is taken in two steps, over ``2 ** BITS`` hash buckets per
-source and then inside the one bucket where the source's rest ends, so that a
-source with a third of all rows is never one group.
+its running sum is taken over ``16 ** DIGITS`` hash buckets per source, over as
+many inside the one bucket where the source's rest ends, and then over the rows
+of one of those, so that a source with a third of all rows is never one group.
 
 Cases: null and blank texts have size 0 and take 0 words; null is a source of
 its own, last in order; repeated rows share the id's place in the order and
@@ -23,13 +23,16 @@ other columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelake.llm.common import cut_lineage
 
-#: Buckets of the seeded order: 2 ** BITS for each source (BITS a multiple of 4).
-BITS = 16
+#: Hex digits of the seeded order that a level of buckets takes: 16 ** DIGITS
+#: buckets for each source, and as many inside the one that is cut.
+DIGITS = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -76,35 +79,45 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1
     text = F.col(text_col).cast("string")
     sizes = cut_lineage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(text).alias("size"),
                                     F.md5(F.concat_ws("~", F.lit(str(seed)), F.col(id_col).cast("string"))).alias("order"),
-                                    F.xxhash64(text).alias("tie")).withColumn("bucket", F.substring("order", 1, BITS // 4)))
+                                    F.xxhash64(text).alias("tie"))
+                        .withColumn("b1", F.substring("order", 1, DIGITS)).withColumn("b2", F.substring("order", 1 + DIGITS, DIGITS)))
     filled = water_fill(source_sizes(sizes, weights), budget, epochs)
     plan = (filled.withColumn("repeats", F.floor(F.col("target") / F.greatest("source_size", F.lit(1))).cast("long"))
             .withColumn("rest", F.round(F.col("target")).cast("long") - F.col("repeats") * F.col("source_size")).drop("weight"))
-    # where each source's rest ends: whole buckets before it, one bucket cut
-    by_bucket = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
-    run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    by_bucket = by_bucket.withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0))).withColumnRenamed("source", "_s")
-    left = F.col("rest") - F.col("before")
-    by_bucket = (by_bucket.join(plan, F.col("_s").eqNullSafe(F.col("source"))).drop("_s")
-                 .withColumn("left", left).withColumn("cut", (left > 0) & (left < F.col("n"))))
-    cuts = by_bucket.where("cut").select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), "left")
-    inside = sizes.join(cuts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b"))).drop("_s", "_b")
-    order = Window.partitionBy("source", "bucket").orderBy("order", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    # where each source's rest ends: whole buckets before it, one bucket cut, twice over, then rows
+    keep = ["source_size", "target", "repeats"]
+    first = sizes.groupBy("source", "b1").agg(F.sum("size").alias("n")).withColumnRenamed("source", "_s")
+    first = first.join(plan, F.col("_s").eqNullSafe(F.col("source"))).drop("_s").withColumnRenamed("rest", "room")
+    first = _cut(first, ["source"], "b1")
+    whole = _at(sizes, first.where("not cut"), ["source", "b1"], [*keep, "full"])
+    inner = _at(sizes, first.where("cut"), ["source", "b1"], [*keep, "left"])
+    second = inner.groupBy("source", "b1", "b2").agg(F.sum("size").alias("n"), F.first("left").alias("room"))
+    second = _cut(second, ["source", "b1"], "b2")
+    inner = inner.drop("left")
+    whole = whole.unionByName(_at(inner, second.where("not cut"), ["source", "b1", "b2"], ["full"]))
+    last = _at(inner, second.where("cut"), ["source", "b1", "b2"], ["left"])
+    order = Window.partitionBy("source", "b1", "b2").orderBy("order", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
     room = F.col("left") - F.coalesce(F.sum("size").over(order), F.lit(0))
-    inside = inside.withColumn("more", F.greatest(F.lit(0), F.least("size", room))).drop("left")
-    return _join(sizes, by_bucket, inside)
-
-
-def _join(sizes: DataFrame, by_bucket: DataFrame, inside: DataFrame) -> DataFrame:
-    """Rows of whole buckets take all or nothing more, those of cut buckets
-    what ``inside`` says."""
-    keys = by_bucket.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), "source_size", "target", "repeats", "cut",
-                            (F.col("left") > 0).alias("all"))
-    on = F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b"))
-    whole = sizes.join(keys.where("not cut"), on).withColumn("more", F.when(F.col("all"), F.col("size")).otherwise(F.lit(0)).cast("long"))
-    cut = inside.join(keys.where("cut"), on)
+    last = last.withColumn("more", F.greatest(F.lit(0), F.least("size", room)))
+    whole = whole.withColumn("more", F.when(F.col("full"), F.col("size")).otherwise(F.lit(0)).cast("long"))
     cols = ["doc_id", "source", "size", "source_size", "target", "repeats", "more", "tie"]
-    return whole.select(cols).unionByName(cut.select(cols)).withColumn("taken", F.col("repeats") * F.col("size") + F.col("more"))
+    return whole.select(cols).unionByName(last.select(cols)).withColumn("taken", F.col("repeats") * F.col("size") + F.col("more"))
+
+
+def _cut(buckets: DataFrame, group: list[str], order: str) -> DataFrame:
+    """Buckets (n words; the group's ``room``) with ``left``, the room that is
+    left where a bucket begins, ``full`` if it is taken whole, and ``cut`` if
+    the room ends inside it."""
+    run = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("room") - F.coalesce(F.sum("n").over(run), F.lit(0))
+    return buckets.withColumn("left", left).withColumn("full", F.col("left") >= F.col("n")).withColumn("cut", (F.col("left") > 0) & ~F.col("full"))
+
+
+def _at(rows: DataFrame, buckets: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``rows`` of the given buckets, with the buckets' columns (sources may be null)."""
+    found = buckets.select(*[F.col(k).alias(f"_{k}") for k in keys], *columns)
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return rows.join(found, on).drop(*[f"_{k}" for k in keys])
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
