@@ -13,7 +13,8 @@ blocks, and a block is joined by a signature tree:
    meet by their smallest shingles, of which similar sets must share one.
    (With 28 parts or more all non-empty ones would each have to hold a
    difference, a chance below 1e-11.) Keys travel packed, a task's equal keys
-   as one, and sets that meet, directly or through others, form a block.
+   as one, and sets that meet in a size class, directly or through others, form
+   a block.
 3. Joining. Sets are shipped once to their block. A block with more than
    ``TILE`` sets is cut into tiles, each of which gets some common pivots;
    tiles are joined with themselves, and then only those pairs of tiles with
@@ -99,10 +100,6 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _node(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "big", signed=True)
-
-
 # size classes and keys
 @lru_cache(maxsize=None)
 def size_classes(num: int, den: int) -> tuple[list[int], list[int]]:
@@ -119,15 +116,27 @@ def size_classes(num: int, den: int) -> tuple[list[int], list[int]]:
     return low, parts
 
 
-def keys_of(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The meeting keys of a set (see the module's text)."""
+def classes_of(n: int, num: int, den: int) -> list[int]:
+    """The size classes in which a set of n shingles meets others."""
     low, parts = size_classes(num, den)
-    n = len(s)
     own = bisect_right(low, n) - 1
-    out = []
-    for c in (own, own - 1):
-        if c < 0 or parts[c] == 1:
-            continue
+    return [c for c in (own, own - 1) if c >= 0 and parts[c] > 1] if n else []
+
+
+def nodes_of(digest: bytes, n: int, num: int, den: int) -> list[int]:
+    """A set's node in each of its classes: what meets in one class says
+    nothing about the other, so blocks don't grow from size to size."""
+    base = np.uint64(int.from_bytes(digest[:8], "big"))
+    return [int(mix64(np.array([base ^ np.uint64(c + 1)], np.uint64))[0].astype(np.int64)) for c in classes_of(n, num, den)]
+
+
+def keys_of(s: np.ndarray, num: int, den: int) -> list[np.ndarray]:
+    """The meeting keys of a set in each of its classes (see the module's text)."""
+    _, parts = size_classes(num, den)
+    n = len(s)
+    every = []
+    for c in classes_of(n, num, den):
+        out = []
         count = np.uint64(parts[c])
         part = ((s >> np.uint64(32)) * count) >> np.uint64(32)
         start = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
@@ -138,7 +147,8 @@ def keys_of(s: np.ndarray, num: int, den: int) -> np.ndarray:
             prefix = s[: n - (num * n + den - 1) // den + 1]
             tag = mix64(empty * np.uint64(2) + np.uint64((c << 40) + 1))
             out.append(mix64(prefix[None, :] * _M + tag[:, None]).ravel())
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        every.append(np.concatenate(out))
+    return every
 
 
 # signature tree
@@ -282,17 +292,19 @@ def _join_tiles(num: int, den: int):
 
 
 # Spark stages
-def _classes(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, digest of every row, written once."""
+def _classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, n, digest and nodes of every row, written once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digests = [], []
+            n, digests, nodes = [], [], []
             for _, s in _sets_of(batch, k):
                 n.append(len(s))
                 digests.append(_digest(s))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "n", "digest"])
+                nodes.append(nodes_of(digests[-1], len(s), num, den))
+            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))],
+                                  ["doc_id", "n", "digest", "nodes"])
 
-    return cut_lineage(docs.mapInArrow(run, "doc_id long, n long, digest binary"))
+    return cut_lineage(docs.mapInArrow(run, "doc_id long, n long, digest binary, nodes array<long>"))
 
 
 def _meetings(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -305,13 +317,13 @@ def _meetings(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             for _, s in _sets_of(batch, k):
                 if not len(s):
                     continue
-                node = _node(_digest(s))
-                if node in seen:  # a copy in the same batch has the same keys
+                digest = _digest(s)
+                if digest in seen:  # a copy in the same batch has the same keys
                     continue
-                seen.add(node)
-                keys.append(keys_of(s, num, den))
-                nodes.append(node)
-                held += len(keys[-1])
+                seen.add(digest)
+                keys += keys_of(s, num, den)
+                nodes += nodes_of(digest, len(s), num, den)
+                held += sum(map(len, keys[len(keys) - len(classes_of(len(s), num, den)):]))
                 if held > 2_000_000:
                     yield pack(keys, nodes)
                     keys, nodes, held = [], [], 0
@@ -375,13 +387,12 @@ def near_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_
     word ``k``-grams."""
     docs = keyed(docs, id_col, text_col)
     with_id = docs.where("doc_id is not null")
-    rows = _classes(docs, k)
+    rows = _classes(docs, k, num, den)
     salted = rows.where("doc_id is not null and n > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-    parts = salted.groupBy("digest", "salt").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    reps = cut_lineage(parts.groupBy("digest").agg(F.min("rep").alias("rep"), F.first("n").alias("n")))
-    node = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
+    parts = salted.groupBy("digest", "salt").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("nodes").alias("nodes"))
+    reps = cut_lineage(parts.groupBy("digest").agg(F.min("rep").alias("rep"), F.first("n").alias("n"), F.first("nodes").alias("nodes")))
     blocks = components(_meetings(with_id, k, num, den))
-    members = cut_lineage(reps.withColumn("node", node).join(blocks, "node").select(F.col("rep").alias("doc_id"), "n", F.col("component").alias("block")))
+    members = cut_lineage(reps.withColumn("node", F.explode("nodes")).join(blocks, "node").select(F.col("rep").alias("doc_id"), "n", F.col("component").alias("block")))
     size = members.groupBy("block").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("total"))
     tiles = F.ceil(F.greatest(F.col("count") / TILE, F.col("total") / TILE_SHINGLES)).cast("int")
     spread = F.xxhash64("doc_id", F.lit(1))
