@@ -13,7 +13,7 @@ from scorelake.session import cut_lineage, ensure_checkpoint_dir, shared_path  #
 
 #: Texts are handled in groups of about this many bytes, so that a task's
 #: numpy buffers stay small whatever the batch holds.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
