@@ -3,9 +3,11 @@
 * categories: ``StringIndexer(handleInvalid="keep")`` — trees split on sets of
   categories and an unseen level gets its own index;
 * class balance: a ``weightCol`` from balanced class weights (train rows);
-* early stopping: the model is fitted once, the validation log-loss of every
-  prefix of trees is read with ``evaluateEachIteration``, and the best prefix
-  before ``patience`` trees without improvement is cut from the fitted model;
+* early stopping: a model is fitted, the validation log-loss of every prefix of
+  trees is read with ``evaluateEachIteration``, and the best prefix before
+  ``patience`` trees without improvement is cut from it; while patience has not
+  run out, a model of twice the trees is fitted, up to the configured number;
+* the boosting is checkpointed every ten trees, so its lineage stays short;
 * bins: a categorical feature needs a bin per level, so the number of bins is
   the largest fitted level count.
 """
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..session import ensure_checkpoint_dir
 
 
 def indexer(features: list[str]) -> Pipeline:
@@ -32,13 +35,14 @@ def indexer(features: list[str]) -> Pipeline:
 
 def estimator(bins: int, max_iter: int, depth: int = 3, step: float = 0.1, min_instances: int = 25,
               seed: int = fixed.RANDOM_SEED, weight_col: str | None = "weight") -> GBTClassifier:
-    gbt = GBTClassifier(labelCol="label", featuresCol="features", maxDepth=depth, maxIter=max_iter,
-                        stepSize=step, minInstancesPerNode=min_instances, maxBins=max(32, bins), seed=seed)
+    gbt = GBTClassifier(labelCol="label", featuresCol="features", maxDepth=depth, maxIter=max_iter, stepSize=step,
+                        minInstancesPerNode=min_instances, maxBins=max(32, bins), checkpointInterval=10, seed=seed)
     return gbt.setWeightCol(weight_col) if weight_col else gbt
 
 
 def fit(rows: DataFrame, features: list[str], max_iter: int, weight_col: str | None = None, **kw) -> PipelineModel:
     """Indexer and trees on ``rows``; bins follow the largest level count."""
+    ensure_checkpoint_dir(rows.sparkSession)
     data = as_strings(rows, features)
     prep = indexer(features).fit(data)
     bins = max(len(levels) for levels in prep.stages[0].labelsArray) + 1
@@ -84,14 +88,26 @@ def best_prefix(losses: list[float], patience: int) -> int:
     return best + 1
 
 
+def ran_out(losses: list[float], patience: int) -> bool:
+    """``patience`` trees have gone by without a better one."""
+    return len(losses) - best_prefix(losses, patience) >= patience
+
+
 def fit_best_prefix(rows: DataFrame, features: list[str], max_iter: int = 30, patience: int = 150,
                     **kw) -> tuple[PipelineModel, int, list[float]]:
+    """The best prefix of at most ``max_iter`` trees, its number of trees, and the
+    losses that were read: no more trees are grown than twice what the stop needs."""
     data = with_weights(rows).persist()
+    n = min(max_iter, patience + patience // 3 + 1)
     try:
-        model = fit(data.filter(F.col("split") == "train"), features, max_iter, "weight", **kw)
-        *prep, trees = model.stages
-        val = PipelineModel(stages=prep).transform(as_strings(data.filter(F.col("split") == "val"), features))
-        losses = list(trees.evaluateEachIteration(val))
+        while True:
+            model = fit(data.filter(F.col("split") == "train"), features, n, "weight", **kw)
+            *prep, trees = model.stages
+            val = PipelineModel(stages=prep).transform(as_strings(data.filter(F.col("split") == "val"), features))
+            losses = list(trees.evaluateEachIteration(val))
+            if n == max_iter or ran_out(losses, patience):
+                break
+            n = min(max_iter, 2 * n)
     finally:
         data.unpersist()
     best = best_prefix(losses, patience)
