@@ -18,7 +18,8 @@ A. Each task lists its texts' minimizers (about one per 14 bytes), packed by
    hash, which splits any hot group. D. A bucket sorts its suffixes (by SPAN
    bytes) and takes previous and next smaller positions, with documents as
    positions, to get longest previous factors; those of SPAN bytes go. E. A
-   document gets its windows back and drops the bytes they cover.
+   document gets its windows back and drops the bytes they cover; what it keeps
+   and the spans it lost leave the stage as its row, without another exchange.
 
 Equal texts are one: only the smallest id takes part, and later copies of
 SPAN bytes or more lose every byte. All exchanges carry compressed blocks of
@@ -27,7 +28,8 @@ arrays, and every stage holds a slice of a bucket at a time.
 Cases: null texts count as empty; texts under SPAN bytes keep everything;
 texts of any length are handled in overlapping pieces; rows with one id are
 never each other's earlier document; null ids come after all others; an empty
-table gives an empty result; other columns are not read.
+table gives an empty result; other columns are not read. A span may begin or end
+inside a character, so kept texts are bytes.
 """
 
 from __future__ import annotations
@@ -290,14 +292,20 @@ def _ship_texts(labels: np.ndarray):
 
 
 def _ship_ids(labels: np.ndarray):
-    """The first id and the digest of every text that takes part."""
+    """The first id and the digest of every text that takes part, and how many
+    of its rows have that id, or none."""
     n = len(labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("first_id").to_numpy(zero_copy_only=False).astype(np.int64)
             tags = np.array([_tag(d) for d in batch.column("digest").to_pylist()], np.uint32)
-            rows = [(int(labels[b]), _IDS, _pack(_gaps(np.sort(ids[at])), tags[at][np.argsort(ids[at], kind="stable")])) for b, at in _by_label(_doc_bucket(ids, n), n)]
+            count = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) if c in batch.schema.names else np.full(len(ids), one, np.int64)
+                     for c, one in (("n_ids", 1), ("n_nulls", 0))]
+            rows = []
+            for b, at in _by_label(_doc_bucket(ids, n), n):
+                at = at[np.argsort(ids[at], kind="stable")]
+                rows.append((int(labels[b]), _IDS, _pack(_gaps(ids[at]), tags[at], *(c[at] for c in count))))
             if rows:
                 yield _blocks(rows)
 
@@ -309,7 +317,7 @@ class _Part:
 
     def __init__(self, batches: Iterator[pa.RecordBatch]):
         self.batches = batches
-        self.ids: set[tuple[int, int]] = set()
+        self.ids: dict[tuple[int, int], tuple[int, int]] = {}
         self.other: dict[int, list[list[np.ndarray]]] = defaultdict(list)
 
     def texts(self) -> Iterator[tuple[int, int, bytes]]:
@@ -319,7 +327,7 @@ class _Part:
             for kind, raw in zip(batch.column("kind").to_pylist(), batch.column("payload").to_pylist()):
                 arrays = _unpack(raw)
                 if kind == _IDS:
-                    self.ids.update(zip(np.cumsum(arrays[0]).tolist(), arrays[1].tolist()))
+                    self.ids.update(zip(zip(np.cumsum(arrays[0]).tolist(), arrays[1].tolist()), zip(arrays[2].tolist(), arrays[3].tolist())))
                 elif kind != _TEXTS:
                     self.other[kind].append(arrays)
                 else:
@@ -557,50 +565,77 @@ class _Removed(_Part):
         return start[a:b][mine], length[a:b][mine].astype(np.int64)
 
 
-def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, rows = _Removed(batches), []
+def _left(part: _Removed) -> Iterator[tuple[int, int, bytes, bytes, np.ndarray]]:
+    """(id, tag, text, kept bytes, removed spans as rows of begin and end)."""
     for doc_id, tag, text in part.texts():
         start, length = part.of(doc_id, tag)
-        removed, spans, kept = 0, 0, text
+        spans, kept = np.zeros((0, 2), np.int64), text
         if len(start):
             edge = np.zeros(len(text) + 1, np.int32)
             np.add.at(edge, start, 1)
             np.add.at(edge, start + length - 1 + SPAN, -1)
-            cover = np.cumsum(edge[:-1]) > 0
-            removed = int(cover.sum())
-            spans = int(cover[0]) + int((cover[1:] & ~cover[:-1]).sum())
-            kept = np.frombuffer(text, np.uint8)[~cover].tobytes()
-        rows.append((_digest(text), removed, spans, hashlib.sha256(kept).hexdigest()))
-        if len(rows) == 1024:
-            yield _results(rows)
-            rows = []
+            cover = np.zeros(len(text) + 2, np.int8)
+            cover[1:-1] = np.cumsum(edge[:-1]) > 0
+            spans = np.flatnonzero(np.diff(cover)).reshape(-1, 2)
+            kept = np.frombuffer(text, np.uint8)[cover[1:-1] == 0].tobytes()
+        yield doc_id, tag, text, kept, spans
+
+
+def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of every text's first id."""
+    part, rows, held = _Removed(batches), [], 0
+    for doc_id, tag, text, kept, spans in _left(part):
+        n_ids, n_nulls = part.ids[doc_id, tag]
+        for own, count in ((doc_id, n_ids), (None, n_nulls)):
+            for _ in range(count):
+                rows.append((own, len(text), kept, spans))
+                held += len(kept) + 1024
+                if held > PIECE:
+                    yield _kept_rows(rows)
+                    rows, held = [], 0
     if rows:
-        yield _results(rows)
+        yield _kept_rows(rows)
+
+
+def _kept_rows(rows: list[tuple]) -> pa.RecordBatch:
+    ids, size, kept, spans = zip(*rows)
+    begin, end = np.concatenate(spans).T
+    offsets = np.cumsum([0, *map(len, spans)]).astype(np.int32)
+    each = pa.StructArray.from_arrays([pa.array(begin, pa.int64()), pa.array(end, pa.int64())], ["begin", "end"])
+    return pa.record_batch([pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(kept, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), each)],
+                           ["doc_id", "n_bytes", "kept", "spans"])
 
 
-def _results(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.binary(), pa.int64(), pa.int64(), pa.string())
-    return pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], ["digest", "first_removed", "first_spans", "first_sha"])
+def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of what stage E keeps, a row for every text."""
+    for _, _, text, kept, spans in _left(_Removed(batches)):
+        yield pa.record_batch([[_digest(text)], [len(text) - len(kept)], [len(spans)], [hashlib.sha256(kept).hexdigest()]], ["digest", "first_removed", "first_spans", "first_sha"])
 
 
 def _text_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids, sizes and digests, and the texts under SPAN bytes themselves."""
     for batch in batches:
         data, off = utf8(batch.column("text"))
         view = memoryview(data)
-        digests = [_digest(view[off[i]: off[i + 1]]) for i in range(batch.num_rows)]
-        yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(off)), pa.array(digests, pa.binary())], ["doc_id", "n_bytes", "digest"])
+        texts = [view[off[i]: off[i + 1]] for i in range(batch.num_rows)]
+        short = pa.array([bytes(t) if len(t) < SPAN else None for t in texts], pa.binary())
+        yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(off)), pa.array(map(_digest, texts), pa.binary()), short], ["doc_id", "n_bytes", "digest", "short"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, kept (the bytes that stay), spans (begin and end of each
+    removed stretch in the text's bytes) of every row."""
     docs = keyed(docs, id_col, text_col)
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     labels = bucket_labels(spark, n)
-    salted = cut_lineage(docs.mapInArrow(_text_digests, "doc_id long, n_bytes long, digest binary")
+    salted = cut_lineage(docs.mapInArrow(_text_digests, "doc_id long, n_bytes long, digest binary, short binary")
                          .withColumn("place", F.coalesce("doc_id", F.lit(LAST))).withColumn("salt", F.pmod(F.xxhash64("place"), F.lit(SALTS))))
-    parts = salted.groupBy("digest", "salt").agg(F.min("place").alias("first_id"))
-    firsts = parts.groupBy("digest").agg(F.min("first_id").alias("first_id"))
+    long = salted.where(F.col("n_bytes") >= SPAN)
+    # a place has one salt, so its rows are counted there
+    places = long.groupBy("digest", "salt", "place").agg(F.count("doc_id").alias("n_ids"), F.count_if(F.col("doc_id").isNull()).alias("n_nulls"))
+    parts = places.groupBy("digest", "salt").agg(F.min(F.struct("place", "n_ids", "n_nulls")).alias("first"))
+    firsts = parts.groupBy("digest").agg(F.min("first").alias("first")).select("digest", F.col("first.place").alias("first_id"), "first.n_ids", "first.n_nulls")
 
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition(n, "label").sortWithinPartitions("kind")
@@ -610,10 +645,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = docs.mapInArrow(_list_minimizers(labels), BLOCKS).repartition(n, "label").mapInArrow(_find_shared(labels), BLOCKS)
     contexts = dealt(ids.unionByName(shared).unionByName(texts)).mapInArrow(_find_contexts(labels), BLOCKS)
     factors = contexts.repartition(n, "label").mapInArrow(_find_factors(labels), BLOCKS)
-    results = dealt(ids.unionByName(factors).unionByName(texts)).mapInArrow(_drop, "digest binary, first_removed long, first_spans long, first_sha string")
-    by_text = firsts.join(results, "digest")
-    rows = salted.join(parts.select("digest", "salt").join(by_text, "digest"), ["digest", "salt"])
-    copy = (F.col("place") > F.col("first_id")) & (F.col("n_bytes") >= SPAN)
-    return rows.select("doc_id", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.col("first_removed")).alias("n_removed"),
-                       F.when(copy, F.lit(1).cast("long")).otherwise(F.col("first_spans")).alias("n_spans"),
-                       F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("first_sha")).alias("kept_sha256"))
+    spans = "array<struct<begin: long, end: long>>"
+    first = dealt(ids.unionByName(factors).unionByName(texts)).mapInArrow(_keep, f"doc_id long, n_bytes long, kept binary, spans {spans}")
+    copies = long.join(parts.select("digest", "salt").join(firsts.select("digest", "first_id"), "digest"), ["digest", "salt"]).where("place > first_id")
+    copies = copies.select("doc_id", "n_bytes", F.lit(b"").alias("kept"), F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n_bytes").alias("end"))).alias("spans"))
+    short = salted.where(F.col("n_bytes") < SPAN).select("doc_id", "n_bytes", F.col("short").alias("kept"), F.array().cast(spans).alias("spans"))
+    return first.unionByName(copies).unionByName(short)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, from the
+    kept texts and spans."""
+    return without_repeats(docs, id_col, text_col).select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
