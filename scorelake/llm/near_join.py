@@ -15,24 +15,28 @@ blocks, and a block is joined by a signature tree:
    difference, a chance below 1e-11.) Keys travel packed, a task's equal keys
    as one, and sets that meet in a size class, directly or through others, form
    a block.
-3. Joining. Sets are shipped once to their block. A block with more than
-   ``TILE`` sets is cut into tiles, each of which gets some common pivots;
-   tiles are joined with themselves, and then only those pairs of tiles with
-   each other that do not already lie in one component.
+3. Joining. A block with more than ``TILE`` sets is cut into tiles, and all
+   tiles are joined with themselves and with each other, so every pair is in
+   one tile or pair of tiles. Two sets can meet in the blocks of two size
+   classes; they count in that of the smaller set's class.
+   Where only one text of each group is wanted (``keep_one_of_each``), tiles get
+   some common pivots and are joined with themselves, and then only those pairs
+   of tiles with each other that do not already lie in one component.
 4. In a tile sets are sorted by size and packed into a tree. A node holds the
    OR of its members' token bitmaps, their size range and the largest number
    of tokens that share a bit. Node pairs are visited together: a pair whose
    sizes cannot reach the threshold, or whose largest possible overlap (common
-   bits plus shared-bit excess) is too small, is pruned, as is one that lies in
-   one component already. At the leaves bitmaps bound each pair and the sets
-   themselves decide.
-5. Links make components; no link between different texts is lost and copies
-   are never expanded into pairs.
+   bits plus shared-bit excess) is too small, is pruned (for
+   ``keep_one_of_each`` also one that lies in one component already). At the
+   leaves bitmaps bound each pair and the sets themselves decide.
+5. Links are counted for both ends, weighted by the rows of the other class,
+   and make components; copies are never expanded into pairs.
 
 Cases: null texts, and texts without words, have an empty set and link with
 nothing; with fewer words than a shingle the whole sequence is the one
 shingle; rows with equal ids are one node; a row with a null id takes no part
-in links and has a null component; an empty table gives an empty result;
+in links and has a null component and no links; rows with equal ids count as
+rows in the number of links; an empty table gives an empty result;
 other columns are not read.
 """
 
@@ -42,6 +46,7 @@ import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -271,6 +276,69 @@ def _join_tile(ids: list, groups: list, sides: list, sets: list[np.ndarray], num
     yield from links
 
 
+class _Counted:
+    """Pairs that count in a tile: one of the two is of the block's size class."""
+
+    def __init__(self, left: np.ndarray, right: np.ndarray):
+        self.left, self.right = left, right
+
+    def apart(self, p: int, q: int) -> bool:
+        return bool(self.left[p] or self.right[q])
+
+    def any_apart(self, mine, other) -> bool:
+        return bool(self.left[mine].any() or self.right[other].any())
+
+
+def _count_tile(rows: list[tuple], num: int, den: int) -> Iterator[tuple]:
+    """Of a tile's (doc_id, digest, weight, native, side, shingles): its spanning
+    links (u, v, None, None) and each class's links (None, None, digest, n)."""
+    rows = list({(r[4], r[1]): r for r in rows}.values())  # a class once, whatever ids repeat
+    two = any(r[4] for r in rows)
+    sides = [[r for r in rows if r[4] == side] for side in ((0, 1) if two else (0, 0))]
+    if not sides[0] or not sides[1]:
+        return
+    sets = [[np.frombuffer(r[5], np.uint64) for r in side] for side in sides]
+    bits = bitmap_bits([s for side in sets[:1 + two] for s in side])
+    trees = [SignatureTree(side, bits) for side in sets[:1 + two]]
+    weight = [[r[2] for r in side] for side in sides]
+    count = [[0] * len(side) for side in sides]
+    if not two:
+        count[1] = count[0]
+    forest, links = Forest(), []
+
+    def link(p: int, q: int) -> None:
+        count[0][p] += weight[1][q]
+        count[1][q] += weight[0][p]
+        if forest.join((0, p), (int(two), q)):
+            links.append((sides[0][p][0], sides[1][q][0], None, None))
+
+    tree_join(trees[0], trees[-1], num, den, _Counted(*(np.array([r[3] for r in side]) for side in sides)), link)
+    yield from links
+    for side, counted in list(zip(sides, count))[:1 + two]:
+        yield from ((None, None, r[1], c) for r, c in zip(side, counted) if c)
+
+
+def _count_tiles(num: int, den: int):
+    """mapInArrow function over rows sorted by tile."""
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        now, held = None, []
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("tile", "doc_id", "digest", "weight", "native", "side", "shingles")]
+            for tile, *row in zip(*cols):
+                if tile != now:
+                    yield from _count_tile(held, num, den)
+                    now, held = tile, []
+                held.append(tuple(row))
+        yield from _count_tile(held, num, den)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = counted(batches)
+        while part := list(islice(found, 65536)):
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*part), (pa.int64(), pa.int64(), pa.binary(), pa.int64()))], ["u", "v", "digest", "links"])
+
+    return run
+
+
 def _join_tiles(num: int, den: int):
     """mapInArrow function over rows sorted by tile: tile, side, id, grp, shingles."""
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
@@ -365,43 +433,37 @@ def _meetings(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def _shipped(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """members (doc_id, tile, side, grp) with the shingles of their text."""
+    """The shingles, and their digest, of the members' texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.tobytes() for _, s in _sets_of(batch, k)]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+            sets = [s for _, s in _sets_of(batch, k)]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(map(_digest, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "digest", "shingles"])
 
     wanted = members.select("doc_id").distinct()
-    return docs.join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary")
+    return docs.join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, digest binary, shingles binary")
 
 
 def _tile_links(sets: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
-    rows = sets.join(members, "doc_id").select("tile", "side", "doc_id", "grp", "shingles")
+    rows = sets.select("doc_id", "shingles").join(members, "doc_id").select("tile", "side", "doc_id", "grp", "shingles")
     rows = rows.repartition(shuffle_partitions(sets.sparkSession), "tile").sortWithinPartitions("tile")
     return cut_lineage(rows.mapInArrow(_join_tiles(num, den), "u long, v long"))
 
 
-def near_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: the smallest id that is
-    reachable by links of Jaccard similarity num/den or more over the distinct
-    word ``k``-grams."""
-    docs = keyed(docs, id_col, text_col)
-    with_id = docs.where("doc_id is not null")
-    rows = _classes(docs, k, num, den)
-    salted = rows.where("doc_id is not null and n > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-    parts = salted.groupBy("digest", "salt").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("nodes").alias("nodes"))
-    reps = cut_lineage(parts.groupBy("digest").agg(F.min("rep").alias("rep"), F.first("n").alias("n"), F.first("nodes").alias("nodes")))
-    blocks = components(_meetings(with_id, k, num, den))
-    members = cut_lineage(reps.withColumn("node", F.explode("nodes")).join(blocks, "node").select(F.col("rep").alias("doc_id"), "n", F.col("component").alias("block")))
-    size = members.groupBy("block").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("total"))
-    tiles = F.ceil(F.greatest(F.col("count") / TILE, F.col("total") / TILE_SHINGLES)).cast("int")
-    spread = F.xxhash64("doc_id", F.lit(1))
-    placed = cut_lineage(members.join(size, "block").where("count > 1").withColumn("tiles", tiles)
-                         .withColumn("own", F.pmod(spread, F.col("tiles")).cast("int"))
-                         .withColumn("pivot", (F.col("tiles") > 1) & (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.ceil(F.col("count") / PIVOTS)) == 0)))
+def _all_links(sets: DataFrame, placed: DataFrame, num: int, den: int) -> DataFrame:
+    """Spanning links (u, v) and links by class (digest, links): every pair of a
+    block's sets is looked at in one tile or pair of tiles."""
+    other = placed.select("doc_id", "digest", "weight", "native", "block", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    members = other.select("doc_id", "digest", "weight", "native", F.concat_ws(".", "block", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
+                           (F.col("own") > F.col("other")).cast("int").alias("side"))
+    rows = sets.join(members, ["doc_id", "digest"]).select("tile", "doc_id", "digest", "weight", "native", "side", "shingles")
+    rows = rows.repartition(shuffle_partitions(sets.sparkSession), "tile").sortWithinPartitions("tile")
+    return cut_lineage(rows.mapInArrow(_count_tiles(num, den), "u long, v long, digest binary, links long"))
+
+
+def _spanning_links(sets: DataFrame, placed: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (u, v) that connect what all links connect."""
     at = F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("own")))
     first = placed.select("doc_id", "block", at.alias("t")).select("doc_id", F.concat_ws(".", "block", "t").alias("tile"), F.lit(0).alias("side"), F.col("doc_id").alias("grp"))
-    sets = cut_lineage(_shipped(with_id, placed.select("doc_id"), k))  # read by both rounds of tiles
     links = _tile_links(sets, first, num, den)
     wide = placed.where("tiles > 1").select("doc_id", "block", "own")
     if wide.limit(1).count():
@@ -414,17 +476,51 @@ def near_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_
         open_ = open_.select("block", F.concat_ws(".", "block", "a_own", "b_own").alias("tile"), F.explode(F.array(*[F.struct(F.col(f"{x}_own").alias("own"), F.lit(i).alias("side")) for i, x in enumerate("ab")])).alias("e"))
         second = wide.join(open_.select("block", "tile", "e.*"), ["block", "own"]).select("doc_id", "tile", "side", "grp")
         links = links.unionByName(_tile_links(sets, second, num, den))
-    groups = components(links).withColumnsRenamed({"node": "rep", "component": "component_id"})
-    by_class = reps.join(groups, "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
+    return links
+
+
+def near_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links of every row: the smallest id
+    that is reachable by links of Jaccard similarity num/den or more over the
+    distinct word ``k``-grams, and the number of other rows it has a link with."""
+    return _groups(keyed(docs, id_col, text_col), k, num, den, True)
+
+
+def _groups(docs: DataFrame, k: int, num: int, den: int, counted: bool) -> DataFrame:
+    """near_groups of (doc_id, text) rows; without counting, n_links is null."""
+    with_id = docs.where("doc_id is not null")
+    rows = _classes(docs, k, num, den)
+    salted = rows.where("doc_id is not null and n > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    parts = salted.groupBy("digest", "salt").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("nodes").alias("nodes"), F.count(F.lit(1)).alias("weight"))
+    reps = cut_lineage(parts.groupBy("digest").agg(F.min("rep").alias("rep"), F.first("n").alias("n"), F.first("nodes").alias("nodes"), F.sum("weight").alias("weight")))
+    blocks = components(_meetings(with_id, k, num, den))
+    members = cut_lineage(reps.select("rep", "digest", "n", "weight", F.posexplode("nodes").alias("place", "node")).join(blocks, "node")
+                          .select(F.col("rep").alias("doc_id"), "digest", "n", "weight", (F.col("place") == 0).alias("native"), F.col("component").alias("block")))
+    size = members.groupBy("block").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("total"))
+    tiles = F.ceil(F.greatest(F.col("count") / TILE, F.col("total") / TILE_SHINGLES)).cast("int")
+    spread = F.xxhash64("doc_id", F.lit(1))
+    placed = cut_lineage(members.join(size, "block").where("count > 1").withColumn("tiles", tiles)
+                         .withColumn("own", F.pmod(spread, F.col("tiles")).cast("int"))
+                         .withColumn("pivot", (F.col("tiles") > 1) & (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.ceil(F.col("count") / PIVOTS)) == 0)))
+    sets = cut_lineage(_shipped(with_id, placed.select("doc_id"), k))  # read by both rounds of tiles
+    links = (_all_links if counted else _spanning_links)(sets, placed, num, den)
+    groups = components(links.where("u is not null").select("u", "v")).withColumnsRenamed({"node": "rep", "component": "component_id"})
+    by_class = reps.join(groups, "rep", "left").select("digest", "weight", F.coalesce("component_id", "rep").alias("component_id"))
+    if counted:
+        others = links.where("digest is not null").groupBy("digest").agg(F.sum("links").alias("links"))
+        by_class = by_class.join(others, "digest", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("weight") - 1)
+    else:
+        by_class = by_class.withColumn("n_links", F.lit(None).cast("long"))
+    by_class = by_class.select("digest", "component_id", "n_links")
     named = salted.select("doc_id", "n", "digest", "salt").join(parts.select("digest", "salt").join(by_class, "digest"), ["digest", "salt"])
     # rows that share an id are one node: the smallest component of any
-    rest = rows.where("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return named.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(rest)
+    rest = rows.where("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0 if counted else None).cast("long").alias("n_links"))
+    return named.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links").unionByName(rest)
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """``docs`` with one row of each group: that of the smallest id (rows
     without an id or without words all stay)."""
-    groups = near_groups(docs, k, num, den)
+    groups = _groups(keyed(docs), k, num, den, False)
     gone = groups.where("component_id is not null and component_id != doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")
