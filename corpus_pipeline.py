@@ -38,8 +38,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text (operator 6), beside the columns of documents."""
-    return sentencepiece_fst.encode(docs).withColumn("n_ids", F.size("ids").cast("long"))
+    """Ids of every text (operator 6) and whether they give the text back,
+    beside the columns of documents."""
+    return sentencepiece_fst.encode(docs, same_col="same").withColumn("n_ids", F.size("ids").cast("long"))
 
 
 STAGES = [

@@ -240,18 +240,25 @@ def _slices(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[
             yield batch.slice(a, per)
 
 
-def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """``docs`` with the column ``out_col``, the ids of the text."""
+def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", out_col: str = "ids", same_col: str | None = None) -> DataFrame:
+    """``docs`` with the column ``out_col``, the ids of the text, and if it is
+    named ``same_col``: decoding gave the text back (null counts as empty)."""
     path = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = transducer(path)
         for batch in _slices(batches):
-            ids = [fst.encode(t or "") for t in batch.column(text_col).to_pylist()]
-            yield batch.append_column("_ids", _lists(ids))
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != out_col)
-    return docs.drop(out_col).mapInArrow(run, f"{fields}, _ids array<int>").withColumnRenamed("_ids", out_col)
+            texts = [t or "" for t in batch.column(text_col).to_pylist()]
+            ids = [fst.encode(t) for t in texts]
+            out = batch.append_column("_ids", _lists(ids))
+            if same_col:
+                out = out.append_column("_same", pa.array([fst.decode(i.tolist()) == t for i, t in zip(ids, texts)], pa.bool_()))
+            yield out
+
+    added = {"_ids": out_col} | ({"_same": same_col} if same_col else {})
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in added.values())
+    more = ", _same boolean" if same_col else ""
+    return docs.drop(*added.values()).mapInArrow(run, f"{fields}, _ids array<int>{more}").withColumnsRenamed(added)
 
 
 def decode(rows: DataFrame, model: str | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
