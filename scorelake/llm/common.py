@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.session import cut_lineage, ensure_checkpoint_dir, shared_path  # noqa: F401
@@ -30,6 +30,18 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def packed(docs: DataFrame, text_col: str) -> Column:
+    """All columns but the text as one struct, its fields named by place, so
+    that no name of the caller's meets an operator's own."""
+    fields = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col]
+    return F.struct(*fields, F.lit(0).alias("n"))
+
+
+def unpacked(docs: DataFrame, text_col: str, row: str, text: Column) -> list[Column]:
+    """The columns of ``docs`` from what ``packed`` made of them and a text."""
+    return [(text.cast(docs.schema[c].dataType) if c == text_col else F.col(row).getField(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)]
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column's bytes and its n + 1 offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -24,8 +24,9 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scorelake.llm.common import cut_lineage, keyed, utf8
+from scorelake.llm.common import cut_lineage, keyed, packed, unpacked, utf8
 
 #: Keys over which the rows of one text are spread before they are joined.
 SALTS = 32
@@ -182,22 +183,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, row), row being the caller's columns as one."""
     for batch in batches:
         data, off = utf8(batch.column("text"))
         view = memoryview(data)
         ids = batch.column("doc_id").to_pylist()
         keys = [hashlib.sha256(bytes(view[off[i]: off[i + 1]]).lower()).digest() + (b"n" if k is None else b"%d" % k) for i, k in enumerate(ids)]
-        yield batch.append_column("_key", pa.array(keys, pa.binary()))
+        yield pa.record_batch([pa.array(keys, pa.binary()), batch.column("row"), batch.column("text")], ["key", "row", "text"])
 
 
-def keep_last_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id long, text, any others) without the rows that
-    ``exact_dedup`` drops, all columns kept."""
+def keep_last_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that ``exact_dedup`` drops, all columns kept;
+    they travel as one struct, so that their names don't matter."""
     key = F.concat(F.unhex("text_sha256"), F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("n")), "utf-8"))
-    kept = exact_dedup(docs).where("kept").select(key.alias("_key"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    rows = docs.mapInArrow(_with_key, f"{fields}, _key binary")
-    return rows.join(kept, "_key").dropDuplicates(["_key"]).select(*docs.columns)
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(key.alias("key"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), packed(docs, text_col).alias("row"))
+    rows = rows.mapInArrow(_with_key, T.StructType([T.StructField("key", T.BinaryType()), rows.schema["row"], rows.schema["text"]]))
+    rows = rows.join(kept, "key").dropDuplicates(["key"])
+    return rows.select(*unpacked(docs, text_col, "row", F.col("text")))
 
 
 ORACLE_SQL = """

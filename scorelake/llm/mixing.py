@@ -9,29 +9,28 @@ seeded order until the rest of the target is used up, the last one in part. So
 the words taken are the target, to the nearest word, and no document exceeds
 ``epochs`` repetitions.
 
-Only DataFrame functions are used. The seeded order is an MD5 of seed and id;
-its running sum is taken over ``16 ** DIGITS`` hash buckets per source, over as
-many inside the one bucket where the source's rest ends, and then over the rows
-of one of those, so that a source with a third of all rows is never one group.
+Only DataFrame functions are used. The seeded order is an MD5 of seed and id.
+Its running sum is taken over ``16 ** DIGITS`` hash buckets per source and then
+over the rows inside each bucket, so that a source with a third of all rows is
+never one group. Sources are numbered by ranges: inside each, and by the
+running count of the ranges, so that a source per domain is no one-task sort.
 
 Cases: null and blank texts have size 0 and take 0 words; null is a source of
 its own, last in order; repeated rows share the id's place in the order and
 are then ordered by text, equal ones being interchangeable; a budget above
 ``epochs`` leaves all sources clamped; an empty table gives an empty result;
-other columns are not read.
+other columns are not read by ``mix`` and kept by ``mixed_documents``, whatever
+their names.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import cut_lineage
+from scorelake.llm.common import cut_lineage, packed, shuffle_partitions, unpacked
 
-#: Hex digits of the seeded order that a level of buckets takes: 16 ** DIGITS
-#: buckets for each source, and as many inside the one that is cut.
+#: Hex digits of the seeded order that a bucket takes: 16 ** DIGITS for each source.
 DIGITS = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -41,21 +40,26 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_sizes(sizes: DataFrame, weights: tuple[int, ...]) -> DataFrame:
-    """source, source_size, weight: one row per source, weighted by turns in
-    code-point order, null last."""
-    total = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # one row per source, already summed
-    return total.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (place % len(weights)).cast("int") + 1))
+def source_sizes(buckets: DataFrame, weights: tuple[int, ...]) -> DataFrame:
+    """key, source_size, weight of ``buckets`` (key, n): one row per source,
+    weighted by turns in the order of their keys."""
+    total = buckets.groupBy("key").agg(F.sum("n").alias("source_size"))
+    ranged = cut_lineage(total.repartitionByRange(shuffle_partitions(total.sparkSession), "key").withColumn("part", F.spark_partition_id()))
+    parts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))  # as many rows as there are shuffle partitions, at most
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("key")) - 1
+    place = F.col("before") + inside
+    turn = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights)).cast("int") + 1)
+    return ranged.join(F.broadcast(parts.select("part", before.alias("before"))), "part").select("key", "source_size", turn.alias("weight"))
 
 
 def water_fill(sources: DataFrame, budget: float, epochs: float) -> DataFrame:
-    """``sources`` (source, source_size, weight) with a ``target`` column.
+    """``sources`` (source_size, weight and others) with a ``target`` column.
 
     Each round clamps the sources whose share is above their cap and shares
     the rest again; a round needs three sums, and clamps one source at least.
     """
-    sources = sources.persist()
+    sources = cut_lineage(sources)
     cap, level, clamped = F.col("source_size") * F.lit(float(epochs)), None, None
     while True:
         over = F.lit(False) if level is None else F.col("weight") * F.lit(level) >= cap
@@ -76,72 +80,52 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1
 
     ``taken`` = repeats * size + the words of a last partial repetition.
     """
-    text = F.col(text_col).cast("string")
-    sizes = cut_lineage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(text).alias("size"),
+    text, source = F.col(text_col).cast("string"), F.col(source_col).cast("string")
+    # keys sort as sources do, by code point, and null comes last
+    key = F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
+    sizes = cut_lineage(docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), size_of(text).alias("size"),
                                     F.md5(F.concat_ws("~", F.lit(str(seed)), F.col(id_col).cast("string"))).alias("order"),
-                                    F.xxhash64(text).alias("tie"))
-                        .withColumn("b1", F.substring("order", 1, DIGITS)).withColumn("b2", F.substring("order", 1 + DIGITS, DIGITS)))
-    filled = water_fill(source_sizes(sizes, weights), budget, epochs)
+                                    F.xxhash64(text).alias("tie"))).withColumn("bucket", F.substring("order", 1, DIGITS))
+    buckets = cut_lineage(sizes.groupBy("key", "bucket").agg(F.sum("size").alias("n")))
+    filled = water_fill(source_sizes(buckets, weights), budget, epochs)
     plan = (filled.withColumn("repeats", F.floor(F.col("target") / F.greatest("source_size", F.lit(1))).cast("long"))
             .withColumn("rest", F.round(F.col("target")).cast("long") - F.col("repeats") * F.col("source_size")).drop("weight"))
-    # where each source's rest ends: whole buckets before it, one bucket cut, twice over, then rows
-    keep = ["source_size", "target", "repeats"]
-    first = sizes.groupBy("source", "b1").agg(F.sum("size").alias("n")).withColumnRenamed("source", "_s")
-    first = first.join(plan, F.col("_s").eqNullSafe(F.col("source"))).drop("_s").withColumnRenamed("rest", "room")
-    first = _cut(first, ["source"], "b1")
-    whole = _at(sizes, first.where("not cut"), ["source", "b1"], [*keep, "full"])
-    inner = _at(sizes, first.where("cut"), ["source", "b1"], [*keep, "left"])
-    second = inner.groupBy("source", "b1", "b2").agg(F.sum("size").alias("n"), F.first("left").alias("room"))
-    second = _cut(second, ["source", "b1"], "b2")
-    inner = inner.drop("left")
-    whole = whole.unionByName(_at(inner, second.where("not cut"), ["source", "b1", "b2"], ["full"]))
-    last = _at(inner, second.where("cut"), ["source", "b1", "b2"], ["left"])
-    order = Window.partitionBy("source", "b1", "b2").orderBy("order", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    room = F.col("left") - F.coalesce(F.sum("size").over(order), F.lit(0))
-    last = last.withColumn("more", F.greatest(F.lit(0), F.least("size", room)))
-    whole = whole.withColumn("more", F.when(F.col("full"), F.col("size")).otherwise(F.lit(0)).cast("long"))
-    cols = ["doc_id", "source", "size", "source_size", "target", "repeats", "more", "tie"]
-    return whole.select(cols).unionByName(last.select(cols)).withColumn("taken", F.col("repeats") * F.col("size") + F.col("more"))
-
-
-def _cut(buckets: DataFrame, group: list[str], order: str) -> DataFrame:
-    """Buckets (n words; the group's ``room``) with ``left``, the room that is
-    left where a bucket begins, ``full`` if it is taken whole, and ``cut`` if
-    the room ends inside it."""
-    run = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("room") - F.coalesce(F.sum("n").over(run), F.lit(0))
-    return buckets.withColumn("left", left).withColumn("full", F.col("left") >= F.col("n")).withColumn("cut", (F.col("left") > 0) & ~F.col("full"))
-
-
-def _at(rows: DataFrame, buckets: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """``rows`` of the given buckets, with the buckets' columns (sources may be null)."""
-    found = buckets.select(*[F.col(k).alias(f"_{k}") for k in keys], *columns)
-    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    return rows.join(found, on).drop(*[f"_{k}" for k in keys])
-
-
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself, in the columns of ``docs`` (doc_id, text, source and any
-    others): a row per whole repetition, and one with the first words of the
-    text per partial one. Blank texts, of which nothing can be taken, go.
+    # the room that is left where a bucket begins, then where a row begins
+    above = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.join(plan, "key").select("key", "bucket", "source_size", "target", "repeats", (F.col("rest") - F.coalesce(F.sum("n").over(above), F.lit(0))).alias("left"))
+    inside = Window.partitionBy("key", "bucket").orderBy("order", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.col("left") - F.coalesce(F.sum("size").over(inside), F.lit(0))
+    rows = sizes.join(buckets, ["key", "bucket"]).withColumn("more", F.greatest(F.lit(0).cast("long"), F.least("size", room)))
+    name = F.when(F.col("key").startswith("0"), F.expr("substring(key, 2)"))
+    return rows.select("doc_id", name.alias("source"), "size", "source_size", "target", "repeats", "more", "tie",
+                       (F.col("repeats") * F.col("size") + F.col("more")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The mix itself, in the columns of ``docs``: a row per whole repetition,
+    and one with the first words of the text per partial one. Blank texts, of
+    which nothing can be taken, go.
 
     Equal rows share one plan row; what it grants beyond whole repetitions is
-    dealt to them in turn.
+    dealt to them in turn. The caller's columns travel as one struct.
     """
-    key = F.md5(F.to_json(F.struct(F.col("doc_id").alias("a"), F.col("source").alias("b"), F.col("tie").alias("c"))))
-    plan = (mix(docs, **how).groupBy(key.alias("_key"))
-            .agg(F.first("size").alias("_size"), F.first("repeats").alias("_repeats"), F.sum("more").alias("_more")))
-    tie = F.xxhash64(F.col("text").cast("string"))
-    key = F.md5(F.to_json(F.struct(F.col("doc_id").alias("a"), F.col("source").cast("string").alias("b"), tie.alias("c"))))
-    rows = docs.withColumn("_key", key).join(plan, "_key")
-    turn = F.row_number().over(Window.partitionBy("_key").orderBy("_key")) - 1
-    part = F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_more") - turn * F.col("_size")))
-    rows = rows.withColumn("_part", part).where("_size > 0")
-    copies = F.col("_repeats") + F.when(F.col("_part") > 0, 1).otherwise(0)
-    rows = rows.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("_part").cast("int")), "")
-    text = F.when((F.col("_copy") > F.col("_repeats")) & (F.col("_part") < F.col("_size")), cut).otherwise(F.col("text"))
-    return rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
+    plan = plan.groupBy(_row_key("doc_id", "source", F.col("tie")).alias("key")).agg(F.first("size").alias("size"), F.first("repeats").alias("repeats"), F.sum("more").alias("more"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(_row_key(id_col, source_col, F.xxhash64(text)).alias("key"), text.alias("text"),
+                       packed(docs, text_col).alias("row"))
+    turn = F.row_number().over(Window.partitionBy("key").orderBy("key")) - 1
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("more") - turn * F.col("size")))
+    rows = rows.join(plan, "key").withColumn("part", part).where("size > 0")
+    copies = F.col("repeats") + F.when(F.col("part") > 0, 1).otherwise(0)
+    rows = rows.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("part").cast("int")), "")
+    text = F.when((F.col("copy") > F.col("repeats")) & (F.col("part") < F.col("size")), cut).otherwise(F.col("text"))
+    return rows.select(*unpacked(docs, text_col, "row", text))
+
+
+def _row_key(id_col: str, source_col: str, tie: Column) -> Column:
+    return F.md5(F.to_json(F.struct(F.col(id_col).cast("string").alias("a"), F.col(source_col).cast("string").alias("b"), tie.alias("c"))))
 
 
 ORACLE_SQL = r"""

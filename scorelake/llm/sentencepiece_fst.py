@@ -16,12 +16,14 @@ segment by segment, and the path of least weight in the tropical semiring
   Pairs are judged once and remembered.
 
 No piece spans a cut between a non-space and a space, so segments are
-composed one at a time; those that recur are looked up. Both memories have
-a fixed number of entries. Rows are handled in place, without any shuffle.
+composed one at a time; those that recur are looked up. Both memories are
+bounded in bytes and emptied at the end of a partition, so that a worker keeps
+only the compiled model. Rows are handled in place, without any shuffle.
 
 Cases: null texts count as empty and have no ids; texts of any length are
 encoded whole (time and memory in proportion); repeated rows are encoded
-alike; an empty table gives an empty result; other columns stay as they are.
+alike; an empty table gives an empty result; other columns stay as they are,
+whatever their names, but for one that has the output's name, which is replaced.
 Models with a compiled character map (NFKC and the like) are refused.
 """
 
@@ -36,10 +38,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = "▁"
-#: Segments up to this long are remembered, so many at most per worker.
-SHORT, REMEMBERED = 48, 400_000
+#: Segments up to this long are remembered.
+SHORT = 48
+#: Bytes that each of a worker's two memories may take, by the estimates below.
+MEMORY = 12 << 20
+#: Bytes of an entry: a dictionary's slot with its key and value, and a piece of
+#: a remembered path.
+_ENTRY, _PIECE = 250, 8
 UNKNOWN_PENALTY = 10.0
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 _BPE, _UNIGRAM = 2, 1
@@ -71,8 +79,13 @@ class Transducer:
                 node = node.setdefault(ch, ({}, None))[0]
             below = node.get(piece[-1], ({}, None))[0]
             node[piece[-1]] = (below, i)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the memories of pairs and segments."""
         self._pair: dict[int, bool] = {}
         self._seen: dict[str, tuple[int, ...]] = {}
+        self._held = 0
 
     # normaliser
     def normalise(self, text: str) -> str:
@@ -98,7 +111,7 @@ class Transducer:
 
     def _allowed(self, left: int, right: int) -> bool:
         """Is the weight of the pair of pieces 0?"""
-        if len(self._pair) > 4 * REMEMBERED:
+        if len(self._pair) * _ENTRY // 2 > MEMORY:
             self._pair.clear()
         a, b = self.text[left], self.text[right]
         ok = self._pair[left * len(self.text) + right] = self._merged(a + b) == [a, b]
@@ -178,8 +191,10 @@ class Transducer:
         if found is None:
             found = self._path_of_pairs(text) if self.bpe else self._path(text)
             if len(text) <= SHORT:
-                if len(self._seen) >= REMEMBERED:
+                self._held += _ENTRY + 2 * len(text) + _PIECE * len(found)
+                if self._held > MEMORY:
                     self._seen.clear()
+                    self._held = 0
                 self._seen[text] = found
         return found
 
@@ -232,7 +247,7 @@ def _lists(ids: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of about ``size`` bytes, so that what a batch yields is bounded too."""
     for batch in batches:
         per = max(1, int(size * batch.num_rows / max(1, batch.nbytes)))
@@ -244,34 +259,49 @@ def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", ou
     """``docs`` with the column ``out_col``, the ids of the text, and if it is
     named ``same_col``: decoding gave the text back (null counts as empty)."""
     path = model or default_model()
+    added = [out_col] + ([same_col] if same_col else [])
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = transducer(path)
         for batch in _slices(batches):
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
+            texts = [t or "" for t in batch.column(at).to_pylist()]
             ids = [fst.encode(t) for t in texts]
-            out = batch.append_column("_ids", _lists(ids))
+            new = [_lists(ids)]
             if same_col:
-                out = out.append_column("_same", pa.array([fst.decode(i.tolist()) == t for i, t in zip(ids, texts)], pa.bool_()))
-            yield out
+                new.append(pa.array([fst.decode(i.tolist()) == t for i, t in zip(ids, texts)], pa.bool_()))
+            yield pa.record_batch([*batch.columns, *new], [f"c{i}" for i in range(batch.num_columns + len(new))])
+        fst.forget()
+
+    kept = [(i, f) for i, f in enumerate(docs.schema) if f.name not in added]
+    return _by_place(docs, run, [T.ArrayType(T.IntegerType()), T.BooleanType()][: len(added)], added, kept)
 
-    added = {"_ids": out_col} | ({"_same": same_col} if same_col else {})
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in added.values())
-    more = ", _same boolean" if same_col else ""
-    return docs.drop(*added.values()).mapInArrow(run, f"{fields}, _ids array<int>{more}").withColumnsRenamed(added)
+
+def _by_place(rows: DataFrame, run, types: list[T.DataType], names: list[str], kept: list) -> DataFrame:
+    """``rows`` through ``run``, which adds columns of ``types``: inside, columns
+    have names by place, so that no name of theirs meets another; of the
+    own ones those in ``kept`` come back under their names, then the new ones."""
+    n = len(rows.columns)
+    inner = rows.toDF(*[f"c{i}" for i in range(n)])
+    schema = T.StructType([*inner.schema, *[T.StructField(f"c{n + i}", t) for i, t in enumerate(types)]])
+    out = inner.mapInArrow(run, schema)
+    return out.select(*[F.col(f"c{i}").alias(f.name) for i, f in kept], *[F.col(f"c{n + i}").alias(c) for i, c in enumerate(names)])
 
 
 def decode(rows: DataFrame, model: str | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``rows`` with the column ``out_col``, the text of the ids; null ids are none."""
     path = model or default_model()
 
+    at = rows.columns.index(ids_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = transducer(path)
         for batch in _slices(batches):
-            yield batch.append_column("_text", pa.array([fst.decode(i or ()) for i in batch.column(ids_col).to_pylist()], pa.string()))
+            texts = pa.array([fst.decode(i or ()) for i in batch.column(at).to_pylist()], pa.string())
+            yield pa.record_batch([*batch.columns, texts], [f"c{i}" for i in range(batch.num_columns + 1)])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != out_col)
-    return rows.drop(out_col).mapInArrow(run, f"{fields}, _text string").withColumnRenamed("_text", out_col)
+    kept = [(i, f) for i, f in enumerate(rows.schema) if f.name != out_col]
+    return _by_place(rows, run, [T.StringType()], [out_col], kept)
 
 
 def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
@@ -289,5 +319,6 @@ def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), _lists(ids), pa.array([len(i) for i in ids], pa.int64()),
                                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]), pa.array([a == b for a, b in zip(texts, back)])],
                                   ["doc_id", "ids", "n_ids", "decoded_sha256", "same"])
+        fst.forget()
 
     return rows.mapInArrow(run, "doc_id long, ids array<int>, n_ids long, decoded_sha256 string, same boolean")
