@@ -8,11 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scorelake.llm import exact_dedup as op10
+from scorelake.llm import hard_negatives as op12
+from scorelake.llm import importance as op13
 from scorelake.llm import language as op7
 from scorelake.llm import licenses as op9
 from scorelake.llm import mixing as op4
 from scorelake.llm import near_join as op1
 from scorelake.llm import order_minhash as op5
+from scorelake.llm import ppm as op11
 from scorelake.llm import quality as op8
 from scorelake.llm import repeats as op2
 from scorelake.llm import sentencepiece_fst as op6
@@ -82,3 +85,18 @@ def near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_suffix_dedup")
 def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op11_ppm_scoring", op11.ORACLE_SQL)
+def ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11.score(table(spark, sf_dir, "documents"))
+
+
+@query("op12_hard_negatives", op12.ORACLE_SQL)
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_importance_resampling", op13.ORACLE_SQL)
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
