@@ -58,6 +58,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
+def squeeze(raw) -> bytes:
+    """Compressed bytes, for what travels; ``unsqueeze`` gives them back."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True) if len(raw) else b""
+
+
+def unsqueeze(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True) if packed else b""
+
+
 def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges [a, b) of about ``size`` bytes, one row at least."""
     n, a = len(offsets) - 1, 0

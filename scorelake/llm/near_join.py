@@ -12,7 +12,7 @@ blocks, and a block is joined by a signature tree:
    meeting; where that could matter (few parts), sets with empty parts also
    meet by their smallest shingles, of which similar sets must share one.
    (With 28 parts or more all non-empty ones would each have to hold a
-   difference, a chance below 1e-11.) Keys travel packed, a task's equal keys
+   difference, a chance below 1e-11.) Keys travel packed, a pack's equal keys
    as one, and sets that meet in a size class, directly or through others, form
    a block.
 3. Joining. A block with more than ``TILE`` sets is cut into tiles, and all
@@ -53,12 +53,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import chunks, cut_lineage, keyed, lower_ascii, mix64, shuffle_partitions, utf8, word_hashes
+from scorelake.llm.common import chunks, cut_lineage, keyed, lower_ascii, mix64, shuffle_partitions, squeeze, unsqueeze, utf8, word_hashes
 from scorelake.llm.components import Forest, components, edge_batches
 
 #: Sets, and shingles, that a tile holds on average at most.
 TILE, TILE_SHINGLES = 512, 1 << 21
 PIVOTS = 4
+#: Keys that a task gathers before it sends them.
+PACK = 2_000_000
 LEAF, FAN = 16, 4
 SALTS = 32
 #: From this many parts on, empty parts need no further keys.
@@ -101,6 +103,13 @@ def _sets_of(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
             yield i, s
 
 
+def _unpacked(texts: list[bytes], k: int) -> list[np.ndarray]:
+    """Shingle sets of compressed texts."""
+    raw = [unsqueeze(t) for t in texts]
+    off = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
+    return [s for a, b in chunks(off) for s in shingle_sets(np.frombuffer(b"".join(raw[a:b]), np.uint8), off[a: b + 1] - off[a], k)]
+
+
 def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
@@ -254,9 +263,9 @@ class _Groups:
         return any(root(self.left[i]) != first for i in mine) or any(root(self.right[j]) != first for j in other)
 
 
-def _join_tile(ids: list, groups: list, sides: list, sets: list[np.ndarray], num: int, den: int) -> Iterator[tuple[int, int]]:
+def _join_tile(ids: list, groups: list, sides: list, texts: list[bytes], num: int, den: int, k: int) -> Iterator[tuple[int, int]]:
     """Spanning links of a tile (side 0 only) or a pair of tiles (0 with 1)."""
-    forest, links = Forest(), []
+    sets, forest, links = _unpacked(texts, k), Forest(), []
     for i, g in zip(ids, groups):
         forest.join(("g", g), ("i", i))
     names = [("i", i) for i in ids]
@@ -289,17 +298,17 @@ class _Counted:
         return bool(self.left[mine].any() or self.right[other].any())
 
 
-def _count_tile(rows: list[tuple], num: int, den: int) -> Iterator[tuple]:
-    """Of a tile's (doc_id, digest, weight, native, side, shingles): its spanning
+def _count_tile(rows: list[tuple], num: int, den: int, k: int) -> Iterator[tuple]:
+    """Of a tile's (doc_id, digest, weight, native, side, text): its spanning
     links (u, v, None, None) and each class's links (None, None, digest, n)."""
     rows = list({(r[4], r[1]): r for r in rows}.values())  # a class once, whatever ids repeat
     two = any(r[4] for r in rows)
     sides = [[r for r in rows if r[4] == side] for side in ((0, 1) if two else (0, 0))]
     if not sides[0] or not sides[1]:
         return
-    sets = [[np.frombuffer(r[5], np.uint64) for r in side] for side in sides]
-    bits = bitmap_bits([s for side in sets[:1 + two] for s in side])
-    trees = [SignatureTree(side, bits) for side in sets[:1 + two]]
+    sets = [_unpacked([r[5] for r in side], k) for side in sides[:1 + two]]
+    bits = bitmap_bits([s for side in sets for s in side])
+    trees = [SignatureTree(side, bits) for side in sets]
     weight = [[r[2] for r in side] for side in sides]
     count = [[0] * len(side) for side in sides]
     if not two:
@@ -318,18 +327,18 @@ def _count_tile(rows: list[tuple], num: int, den: int) -> Iterator[tuple]:
         yield from ((None, None, r[1], c) for r, c in zip(side, counted) if c)
 
 
-def _count_tiles(num: int, den: int):
+def _count_tiles(num: int, den: int, k: int):
     """mapInArrow function over rows sorted by tile."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         now, held = None, []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("tile", "doc_id", "digest", "weight", "native", "side", "shingles")]
+            cols = [batch.column(c).to_pylist() for c in ("tile", "doc_id", "digest", "weight", "native", "side", "text")]
             for tile, *row in zip(*cols):
                 if tile != now:
-                    yield from _count_tile(held, num, den)
+                    yield from _count_tile(held, num, den, k)
                     now, held = tile, []
                 held.append(tuple(row))
-        yield from _count_tile(held, num, den)
+        yield from _count_tile(held, num, den, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = counted(batches)
@@ -339,22 +348,21 @@ def _count_tiles(num: int, den: int):
     return run
 
 
-def _join_tiles(num: int, den: int):
-    """mapInArrow function over rows sorted by tile: tile, side, id, grp, shingles."""
+def _join_tiles(num: int, den: int, k: int):
+    """mapInArrow function over rows sorted by tile: tile, side, id, grp, text."""
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
         now, held = None, ([], [], [], [])
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("tile", "doc_id", "grp", "side", "shingles")]
+            cols = [batch.column(c).to_pylist() for c in ("tile", "doc_id", "grp", "side", "text")]
             for tile, *row in zip(*cols):
                 if tile != now:
                     if len(held[0]) > 1:
-                        yield from _join_tile(*held, num, den)
+                        yield from _join_tile(*held, num, den, k)
                     now, held = tile, ([], [], [], [])
-                for part, v in zip(held, row[:3]):
+                for part, v in zip(held, row):
                     part.append(v)
-                held[3].append(np.frombuffer(row[3], np.uint64))
         if len(held[0]) > 1:
-            yield from _join_tile(*held, num, den)
+            yield from _join_tile(*held, num, den, k)
 
     return lambda batches: edge_batches(pairs(batches))
 
@@ -375,8 +383,22 @@ def _classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return cut_lineage(docs.mapInArrow(run, "doc_id long, n long, digest binary, nodes array<long>"))
 
 
+def _least_of_each(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys with their least node, and distinct edges (u, v) from the
+    other nodes of a key to that one."""
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    least = np.repeat(node[start], np.diff(np.append(start, len(key))))
+    other = node != least
+    pair = np.unique(np.column_stack((node[other], least[other])), axis=0) if other.any() else np.zeros((0, 2), np.int64)
+    return key[start], node[start], np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1])
+
+
 def _meetings(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Edges (u, v) between nodes that share a key."""
+    """Edges (u, v) between nodes that share a key. Nodes of a pack (a task's
+    sets, about ``PACK`` keys) that share a key are joined there: the key
+    travels once, and one spanning edge for each node of theirs."""
     buckets = 4 * shuffle_partitions(docs.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,7 +414,7 @@ def _meetings(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 keys += keys_of(s, num, den)
                 nodes += nodes_of(digest, len(s), num, den)
                 held += sum(map(len, keys[len(keys) - len(classes_of(len(s), num, den)):]))
-                if held > 2_000_000:
+                if held > PACK:
                     yield pack(keys, nodes)
                     keys, nodes, held = [], [], 0
             if held:
@@ -401,70 +423,84 @@ def _meetings(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def pack(keys: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
         key = np.concatenate(keys)
         node = np.repeat(np.array(nodes, np.int64), [len(x) for x in keys])
-        bucket = (key % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        key, node, bucket = key[order], node[order], bucket[order]
-        cut = np.searchsorted(bucket, np.arange(buckets + 1))
-        full = np.flatnonzero(np.diff(cut))
-        return pa.record_batch([pa.array(full.astype(np.int32)), pa.array([key[cut[b]: cut[b + 1]].tobytes() for b in full], pa.binary()),
-                                pa.array([node[cut[b]: cut[b + 1]].tobytes() for b in full], pa.binary())], ["bucket", "key", "node"])
+        key, node, u, v = _least_of_each(key, node)
+        parts = [("key", key, node), ("edge", u.view(np.uint64), v)]  # edges only pass through a bucket
+        columns: dict[str, list] = {"bucket": [], "edges": [], "key": [], "node": []}
+        for kind, x, y in parts:
+            bucket = (x % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            x, y, bucket = x[order], y[order], bucket[order]
+            cut = np.searchsorted(bucket, np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(cut)).tolist():
+                columns["bucket"].append(b)
+                columns["edges"].append(kind == "edge")
+                columns["key"].append(x[cut[b]: cut[b + 1]].tobytes())
+                columns["node"].append(y[cut[b]: cut[b + 1]].tobytes())
+        types = (pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns.values(), types)], list(columns))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes = [], []
+        keys, nodes, forest = [], [], Forest()
         for batch in batches:
-            keys += [np.frombuffer(x, np.uint64) for x in batch.column("key").to_pylist()]
-            nodes += [np.frombuffer(x, np.int64) for x in batch.column("node").to_pylist()]
-        if not keys:
-            return
-        key, node = np.concatenate(keys), np.concatenate(nodes)
-        del keys, nodes
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
-        start = np.concatenate(([True], key[1:] != key[:-1]))
-        least = node[np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))]
-        pair = np.unique(np.column_stack((node, least))[node != least], axis=0)
-        forest = Forest()
-        for u, v in pair.tolist():
-            forest.join(u, v)
+            for edges, x, y in zip(*(batch.column(c).to_pylist() for c in ("edges", "key", "node"))):
+                if edges:
+                    for u, v in zip(np.frombuffer(x, np.int64).tolist(), np.frombuffer(y, np.int64).tolist()):
+                        forest.join(u, v)
+                else:
+                    keys.append(np.frombuffer(x, np.uint64))
+                    nodes.append(np.frombuffer(y, np.int64))
+        if keys:
+            _, _, us, vs = _least_of_each(np.concatenate(keys), np.concatenate(nodes))
+            del keys, nodes
+            for u, v in zip(us.tolist(), vs.tolist()):
+                forest.join(u, v)
         yield from edge_batches(forest.stars())
 
-    packed = docs.mapInArrow(emit, "bucket int, key binary, node binary")
+    packed = docs.mapInArrow(emit, "bucket int, edges boolean, key binary, node binary")
     return packed.repartition(shuffle_partitions(docs.sparkSession), "bucket").mapInArrow(meet, "u long, v long")
 
 
 def _shipped(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """The shingles, and their digest, of the members' texts."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members' texts, compressed, and the digests of their sets: less than
+    half the bytes of the sets, which each tile makes again."""
+    def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = utf8(batch.column("text"))
+            view = memoryview(data)
+            yield pa.record_batch([batch.column("doc_id"), pa.array([squeeze(view[off[i]: off[i + 1]]) for i in range(batch.num_rows)], pa.binary())], ["doc_id", "text"])
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for _, s in _sets_of(batch, k)]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(map(_digest, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "digest", "shingles"])
+            digests = [_digest(s) for at in range(0, batch.num_rows, 256) for s in _unpacked(batch.column("text").slice(at, 256).to_pylist(), k)]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(digests, pa.binary()), batch.column("text")], ["doc_id", "digest", "text"])
 
     wanted = members.select("doc_id").distinct()
-    return docs.join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, digest binary, shingles binary")
+    packed = docs.mapInArrow(squeezed, "doc_id long, text binary")
+    return packed.join(wanted, "doc_id", "left_semi").mapInArrow(marked, "doc_id long, digest binary, text binary")
 
 
-def _tile_links(sets: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
-    rows = sets.select("doc_id", "shingles").join(members, "doc_id").select("tile", "side", "doc_id", "grp", "shingles")
+def _tile_links(sets: DataFrame, members: DataFrame, num: int, den: int, k: int) -> DataFrame:
+    rows = sets.select("doc_id", "text").join(members, "doc_id").select("tile", "side", "doc_id", "grp", "text")
     rows = rows.repartition(shuffle_partitions(sets.sparkSession), "tile").sortWithinPartitions("tile")
-    return cut_lineage(rows.mapInArrow(_join_tiles(num, den), "u long, v long"))
+    return cut_lineage(rows.mapInArrow(_join_tiles(num, den, k), "u long, v long"))
 
 
-def _all_links(sets: DataFrame, placed: DataFrame, num: int, den: int) -> DataFrame:
+def _all_links(sets: DataFrame, placed: DataFrame, num: int, den: int, k: int) -> DataFrame:
     """Spanning links (u, v) and links by class (digest, links): every pair of a
     block's sets is looked at in one tile or pair of tiles."""
     other = placed.select("doc_id", "digest", "weight", "native", "block", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     members = other.select("doc_id", "digest", "weight", "native", F.concat_ws(".", "block", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
                            (F.col("own") > F.col("other")).cast("int").alias("side"))
-    rows = sets.join(members, ["doc_id", "digest"]).select("tile", "doc_id", "digest", "weight", "native", "side", "shingles")
+    rows = sets.join(members, ["doc_id", "digest"]).select("tile", "doc_id", "digest", "weight", "native", "side", "text")
     rows = rows.repartition(shuffle_partitions(sets.sparkSession), "tile").sortWithinPartitions("tile")
-    return cut_lineage(rows.mapInArrow(_count_tiles(num, den), "u long, v long, digest binary, links long"))
+    return cut_lineage(rows.mapInArrow(_count_tiles(num, den, k), "u long, v long, digest binary, links long"))
 
 
-def _spanning_links(sets: DataFrame, placed: DataFrame, num: int, den: int) -> DataFrame:
+def _spanning_links(sets: DataFrame, placed: DataFrame, num: int, den: int, k: int) -> DataFrame:
     """Links (u, v) that connect what all links connect."""
     at = F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("own")))
     first = placed.select("doc_id", "block", at.alias("t")).select("doc_id", F.concat_ws(".", "block", "t").alias("tile"), F.lit(0).alias("side"), F.col("doc_id").alias("grp"))
-    links = _tile_links(sets, first, num, den)
+    links = _tile_links(sets, first, num, den, k)
     wide = placed.where("tiles > 1").select("doc_id", "block", "own")
     if wide.limit(1).count():
         found = components(links)
@@ -475,7 +511,7 @@ def _spanning_links(sets: DataFrame, placed: DataFrame, num: int, den: int) -> D
         open_ = a.join(b, "block").where("a_own < b_own and not (a_lo = a_hi and b_lo = b_hi and a_lo = b_lo)")
         open_ = open_.select("block", F.concat_ws(".", "block", "a_own", "b_own").alias("tile"), F.explode(F.array(*[F.struct(F.col(f"{x}_own").alias("own"), F.lit(i).alias("side")) for i, x in enumerate("ab")])).alias("e"))
         second = wide.join(open_.select("block", "tile", "e.*"), ["block", "own"]).select("doc_id", "tile", "side", "grp")
-        links = links.unionByName(_tile_links(sets, second, num, den))
+        links = links.unionByName(_tile_links(sets, second, num, den, k))
     return links
 
 
@@ -496,14 +532,16 @@ def _groups(docs: DataFrame, k: int, num: int, den: int, counted: bool) -> DataF
     blocks = components(_meetings(with_id, k, num, den))
     members = cut_lineage(reps.select("rep", "digest", "n", "weight", F.posexplode("nodes").alias("place", "node")).join(blocks, "node")
                           .select(F.col("rep").alias("doc_id"), "digest", "n", "weight", (F.col("place") == 0).alias("native"), F.col("component").alias("block")))
-    size = members.groupBy("block").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("total"))
+    members = members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    part = members.groupBy("block", "salt").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("total"))
+    size = part.select("block", "salt").join(part.groupBy("block").agg(F.sum("count").alias("count"), F.sum("total").alias("total")), "block")
     tiles = F.ceil(F.greatest(F.col("count") / TILE, F.col("total") / TILE_SHINGLES)).cast("int")
     spread = F.xxhash64("doc_id", F.lit(1))
-    placed = cut_lineage(members.join(size, "block").where("count > 1").withColumn("tiles", tiles)
+    placed = cut_lineage(members.join(size, ["block", "salt"]).where("count > 1").withColumn("tiles", tiles)
                          .withColumn("own", F.pmod(spread, F.col("tiles")).cast("int"))
                          .withColumn("pivot", (F.col("tiles") > 1) & (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.ceil(F.col("count") / PIVOTS)) == 0)))
     sets = cut_lineage(_shipped(with_id, placed.select("doc_id"), k))  # read by both rounds of tiles
-    links = (_all_links if counted else _spanning_links)(sets, placed, num, den)
+    links = (_all_links if counted else _spanning_links)(sets, placed, num, den, k)
     groups = components(links.where("u is not null").select("u", "v")).withColumnsRenamed({"node": "rep", "component": "component_id"})
     by_class = reps.join(groups, "rep", "left").select("digest", "weight", F.coalesce("component_id", "rep").alias("component_id"))
     if counted:

@@ -44,10 +44,9 @@ SPACE = "▁"
 #: Segments up to this long are remembered.
 SHORT = 48
 #: Bytes that each of a worker's two memories may take, by the estimates below.
-MEMORY = 12 << 20
-#: Bytes of an entry: a dictionary's slot with its key and value, and a piece of
-#: a remembered path.
-_ENTRY, _PIECE = 250, 8
+MEMORY = 40 << 20
+#: Bytes of a pair's entry and of a segment's, without its letters and ids.
+_PAIR, _ENTRY = 110, 190
 UNKNOWN_PENALTY = 10.0
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 _BPE, _UNIGRAM = 2, 1
@@ -82,9 +81,13 @@ class Transducer:
         self.forget()
 
     def forget(self) -> None:
-        """Empty the memories of pairs and segments."""
+        """Empty the memories of pairs and segments: of each a young and an old
+        half; when the young one is full it becomes the old, and what is found
+        in the old returns to the young."""
         self._pair: dict[int, bool] = {}
-        self._seen: dict[str, tuple[int, ...]] = {}
+        self._old_pair: dict[int, bool] = {}
+        self._seen: dict[str, bytes] = {}
+        self._old_seen: dict[str, bytes] = {}
         self._held = 0
 
     # normaliser
@@ -111,10 +114,14 @@ class Transducer:
 
     def _allowed(self, left: int, right: int) -> bool:
         """Is the weight of the pair of pieces 0?"""
-        if len(self._pair) * _ENTRY // 2 > MEMORY:
-            self._pair.clear()
-        a, b = self.text[left], self.text[right]
-        ok = self._pair[left * len(self.text) + right] = self._merged(a + b) == [a, b]
+        key = left * len(self.text) + right
+        ok = self._old_pair.get(key)
+        if ok is None:
+            a, b = self.text[left], self.text[right]
+            ok = self._merged(a + b) == [a, b]
+        if len(self._pair) * _PAIR > MEMORY // 2:
+            self._pair, self._old_pair = {}, self._pair
+        self._pair[key] = ok
         return ok
 
     # shortest path
@@ -137,7 +144,7 @@ class Transducer:
         """Merge models: weights are 0 or infinite, so the first complete path
         that is found is the shortest. Depth first, long arcs first; a position
         that leads nowhere is dead, as only one path of weight 0 reaches it."""
-        n, size, pair = len(text), len(self.text), self._pair
+        n, size = len(text), len(self.text)
         path: list[int] = []
         at, left, open_, dead = [0], -1, [self._arcs(text, 0)], set()
         while at[-1] < n:
@@ -147,7 +154,7 @@ class Transducer:
                 if e in dead:
                     continue
                 if k >= 0 and left >= 0:
-                    ok = pair.get(left * size + k)
+                    ok = self._pair.get(left * size + k)
                     if not (self._allowed(left, k) if ok is None else ok):
                         continue
                 path.append(k)
@@ -186,22 +193,25 @@ class Transducer:
             return tuple(self.bytes[b] for b in ch.encode())
         return (self.unknown,)
 
-    def _segment(self, text: str) -> tuple[int, ...]:
+    def _segment(self, text: str) -> bytes:
+        """A segment's ids, as the bytes of 32-bit numbers."""
         found = self._seen.get(text)
         if found is None:
-            found = self._path_of_pairs(text) if self.bpe else self._path(text)
+            found = self._old_seen.get(text)
+            if found is None:
+                found = np.array(self._path_of_pairs(text) if self.bpe else self._path(text), np.int32).tobytes()
             if len(text) <= SHORT:
-                self._held += _ENTRY + 2 * len(text) + _PIECE * len(found)
-                if self._held > MEMORY:
-                    self._seen.clear()
-                    self._held = 0
+                self._held += _ENTRY + 2 * len(text) + len(found)
+                if self._held > MEMORY // 2:
+                    self._seen, self._old_seen, self._held = {}, self._seen, 0
                 self._seen[text] = found
         return found
 
     def encode(self, text: str) -> np.ndarray:
         norm = self.normalise(text)
         parts = self.cut.findall(norm) if self.cut else [norm]
-        return np.fromiter(chain.from_iterable(map(self._segment, parts)), np.int32)
+        seen, segment = self._seen.get, self._segment
+        return np.frombuffer(b"".join([seen(p) or segment(p) for p in parts]), np.int32)
 
     def decode(self, ids) -> str:
         raw = b"".join(map(self.surface.__getitem__, ids))

@@ -47,9 +47,10 @@ def test_memories_are_bounded_and_emptied():
     try:
         words = [f"w{i}x{i % 7}" for i in range(3000)]
         first = [list(fst.encode(w)) for w in words]
-        assert len(fst._seen) * sentencepiece_fst._ENTRY <= 1 << 16 and len(fst._pair) * sentencepiece_fst._ENTRY // 2 <= (1 << 16) + 200
+        assert (len(fst._seen) + len(fst._old_seen)) * sentencepiece_fst._ENTRY <= 1 << 16
+        assert (len(fst._pair) + len(fst._old_pair)) * sentencepiece_fst._PAIR <= (1 << 16) + 400
     finally:
         sentencepiece_fst.MEMORY = small
     assert [list(fst.encode(w)) for w in words] == first
     fst.forget()
-    assert not fst._seen and not fst._pair
+    assert not (fst._seen or fst._pair or fst._old_seen or fst._old_pair)
