@@ -101,6 +101,38 @@ def fuzzy_map(inputs: DataFrame, canonical: DataFrame, cutoff: float = fixed.FUZ
     return out_exact.unionByName(out_rest)
 
 
+def known_name(key, names: dict[str, str], cutoff: float = fixed.FUZZY_CUTOFF):
+    """J2 inside a row: the code that ``names`` (a fixed vocabulary, name → code)
+    gives a key, exactly or by its most similar name (ties to the smaller name)
+    at ``cutoff``; null when there is none. Only keys without an exact match
+    are compared."""
+    ordered = sorted(names)
+    exact = F.try_element_at(F.create_map(*[F.lit(x) for n in ordered for x in (n, names[n])]), key)
+    close = F.array_max(F.array(*[F.struct(similarity(key, F.lit(n)).alias("sim"), F.lit(-i).alias("at"), F.lit(names[n]).alias("code"))
+                                  for i, n in enumerate(ordered)]))
+    return F.when(exact.isNotNull(), exact).when(close["sim"] >= cutoff, close["code"])
+
+
+def named_entries(data, names: dict[str, str], cutoff: float = fixed.FUZZY_CUTOFF):
+    """A document's map of answer lists as an array of (code, key, values), in
+    the order of arrival; the code is null where the vocabulary has no name."""
+    return F.transform(F.map_entries(data), lambda e: F.struct(
+        known_name(C.strip_likert_prefix(e["key"]), names, cutoff).alias("code"), e["key"].alias("key"), e["value"].alias("values")))
+
+
+def last_entry(entries, code: str):
+    """Of several inputs on one feature the last wins; null when there is none."""
+    return F.try_element_at(F.filter(entries, lambda e: e["code"] == code), F.lit(-1))
+
+
+def last_wins(inputs: DataFrame, doc: str, position: str, mapping: DataFrame, value: str) -> DataFrame:
+    """J2's conflict rule on a table of inputs (``doc``, ``position``, input,
+    ``value``): renamed by ``mapping`` (``fuzzy_map``'s input, mapeado), the
+    value at the largest position stays for each document and feature."""
+    named = inputs.join(mapping.select("input", "mapeado"), "input", "left").withColumn("feature", F.coalesce("mapeado", "input"))
+    return named.groupBy(doc, "feature").agg(F.max_by(value, position).alias(value), F.count(F.lit(1)).alias("entradas"))
+
+
 def fuzzy_reconcile(columns: DataFrame, features: DataFrame, cutoff: float = fixed.FUZZY_CUTOFF,
                     fail: bool = True) -> DataFrame:
     """Each expected feature → the input column that carries it.

@@ -15,6 +15,8 @@ saves/loads as parquet and every number is reproducible in SQL.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,12 +117,42 @@ def term_columns(df: DataFrame, card: DataFrame, features: list[str],
     return out
 
 
+@dataclass(frozen=True)
+class Loaded:
+    """A stored scorecard as constants of a plan (bounded by the schema and by
+    ``IN_ROW_LEVELS`` a feature): what a stream scores with, without a join."""
+
+    version: str
+    features: list[str]
+    header: dict
+    weights: dict
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """``score`` of a batch or streaming frame, with ``model_version``."""
+        terms = {f"w_{f}": weight_of(F.col(f).cast("string"), self.weights[f], self.header[f]["unseen"]) for f in self.features}
+        return _summed(df.withColumns(terms), self.features, self.header).withColumn("model_version", F.lit(self.version))
+
+
+def load(card: DataFrame, version: str, features: list[str]) -> Loaded:
+    """A stored card for scoring in the row; a feature that it lacks, or one of
+    too many levels, is an error before any row is read."""
+    header = model_header(card)
+    weights = in_row_weights(card, header)
+    lost = [f for f in features if f not in weights]
+    if lost:
+        raise ValueError(f"stored model {version} can't score features in the row: {lost}")
+    return Loaded(version, list(features), header, weights)
+
+
 def score(df: DataFrame, card: DataFrame, features: list[str], header: dict | None = None) -> DataFrame:
     """Add ``w_<f>``, ``logit``, ``p`` (probability of the positive class) and
     ``points``, the terms in whole billionths: rows with the same terms have
     the same points in any order of summing, so ranks and ties are exact."""
     header = header or model_header(card)
-    out = term_columns(df, card, features, header)
+    return _summed(term_columns(df, card, features, header), features, header)
+
+
+def _summed(out: DataFrame, features: list[str], header: dict) -> DataFrame:
     intercept = next(iter(header.values()))["intercept"]
     logit = F.lit(intercept)
     for f in features:
@@ -142,6 +174,16 @@ def attributions(scored: DataFrame, features: list[str], header: dict, id_col: s
     return scored.select(id_col, *(keep or []), F.inline(pairs))
 
 
+def explanation(features: list[str], header: dict, k: int = 10):
+    """W1 as a nested document of a scored row: the base value and the ``k``
+    largest contributions, (feature, shap_value, input_value), ties by name."""
+    phi = lambda f: F.col(f"w_{f}") - F.lit(header[f]["mean_w"])
+    items = F.sort_array(F.array(*[F.struct((-F.round(F.abs(phi(f)), 9)).alias("order"), F.lit(f).alias("feature"), phi(f).alias("shap_value"),
+                                            F.col(f).cast("string").alias("input_value")) for f in features]))
+    top = F.transform(F.slice(items, 1, k), lambda x: F.struct(x["feature"].alias("feature"), x["shap_value"].alias("shap_value"), x["input_value"].alias("input_value")))
+    return F.struct(F.lit(base_value(header)).alias("base_value"), top.alias("top_features"))
+
+
 def base_value(header: dict) -> float:
     intercept = next(iter(header.values()))["intercept"]
     return intercept + sum(h["mean_w"] for h in header.values())

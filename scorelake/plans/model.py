@@ -45,6 +45,11 @@ class Model:
         self.card = scorecard.fit(self.rows, self.features, "label", alpha).cache()
         self.header = scorecard.model_header(self.card)
 
+    def release(self) -> None:
+        """Drop the cached rows and card, once what was made of them is stored."""
+        self.rows.unpersist()
+        self.card.unpersist()
+
     def scored(self, df: DataFrame | None = None) -> DataFrame:
         return scorecard.score(self.rows if df is None else df, self.card, self.features, self.header)
 

@@ -158,10 +158,41 @@ def artifact_digest(manifest: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- S10
-def append_runs(runs: DataFrame, path: str) -> str:
-    runs.write.mode("append").parquet(path)
+def finished(spark: SparkSession, path: str) -> bool:
+    """Has a writer finished this folder? Spark's committer leaves ``_SUCCESS``
+    when all of a table's files are in place."""
+    return exists(spark, f"{path}/_SUCCESS")
+
+
+def finished_under(spark: SparkSession, base: str, key: str) -> list[str]:
+    """The finished folders ``<key>=...`` of a table (their number is that of
+    the writes, not of the rows)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{key}=*/_SUCCESS")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []
+    return sorted(str(f.getPath().getParent()) for f in found)
+
+
+def append_runs(runs: DataFrame, path: str, experiment: str | None = None) -> str:
+    """Add an experiment's runs to the registry at ``path``.
+
+    Every experiment is a folder of its own with its own commit, so writers
+    never share one; readers see finished folders only. ``experiment`` names it
+    (default: a digest of its runs' names, parameters and tags): repeating a
+    finished one leaves the registry as it is.
+    """
+    if experiment is None:
+        content = F.to_json(F.struct("run_name", F.sort_array(F.map_entries("params")).alias("p"), F.sort_array(F.map_entries("tags")).alias("t")))
+        experiment = runs.agg(F.md5(F.array_join(F.sort_array(F.collect_list(content)), "")).alias("d")).first()["d"]
+    folder = f"{path}/experiment={experiment}"
+    if not finished(runs.sparkSession, folder):
+        runs.write.mode("overwrite").parquet(folder)
     return path
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RUNS_SCHEMA).parquet(path)
+    """All runs of the finished experiments, with ``experiment``."""
+    folders = finished_under(spark, path, "experiment")
+    schema = T.StructType([*RUNS_SCHEMA, T.StructField("experiment", T.StringType())])
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(*folders)

@@ -162,6 +162,36 @@ SUBMISSION_SCHEMA = T.StructType([
 ])
 
 
+def request_stream(spark: SparkSession, sf_dir: str, question_key) -> DataFrame:
+    """Request documents (id, time, data, user_info) as a form sends them: for
+    every question the latest answer under its header, and where an applicant
+    answered it more than once an earlier answer under a header with a typing
+    error, after or before the other; some lists of two, some unknown keys,
+    blank names and missing jobs. ``question_key`` turns a question into a header."""
+    a, item_no = F.col("applicant"), F.substring("item", 2, 2).cast("int")
+    latest = answer_events(spark, sf_dir).groupBy("applicant", "item").agg(
+        F.max_by("level", "version").alias("level"), F.min_by("level", "version").alias("first"), F.count(F.lit(1)).alias("n"),
+        F.max("version").getField("l_shipdate").alias("at"))
+    j = latest.join(F.broadcast(items_df(spark).select("item", "question")), "item")
+    value = F.when((a + item_no) % 97 == 0, F.array(C.level_name("level"), C.level_name("first"))).otherwise(F.array(C.level_name("level")))
+    main = F.struct((2 * item_no).alias("at"), question_key(F.col("question")).alias("key"), value.alias("value"))
+    typo = F.struct((2 * item_no + F.when((a + item_no) % 2 == 0, 1).otherwise(-1)).alias("at"),
+                    question_key(F.concat("question", F.lit("x"))).alias("key"), F.array(C.level_name("first")).alias("value"))
+    sent = j.select("applicant", "at", F.when(F.col("n") > 1, F.array(main, typo)).otherwise(F.array(main)).alias("e"))
+    docs = sent.groupBy("applicant").agg(F.sort_array(F.flatten(F.collect_list("e"))).alias("e"), F.max("at").alias("time"))
+    none = F.array().cast("array<string>")
+    extra = F.when(a % 17 == 0, F.array(F.struct(F.lit(999).alias("at"), F.lit("Comentario libre").alias("key"), F.array(F.lit("ninguno")).alias("value"))))
+    paid = F.array(F.struct(F.lit(1000).alias("at"), F.lit(fixed.PAYMENT_QUESTION).alias("key"), none.alias("value")))
+    entries = F.concat("e", F.coalesce(extra, F.slice(paid, 1, 0)), paid)
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (a % len(values)).cast("int"))
+    return docs.select(a.alias("id"), F.col("time").cast("timestamp").alias("time"),
+                       F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], e["value"]))).alias("data"),
+                       F.struct(F.when(a % 11 == 0, F.lit(" ")).otherwise(F.concat(F.lit("Postulante "), a.cast("string"))).alias("nombre"),
+                                (F.lit(10) + a % 80).cast("long").alias("edad"), pick(fixed.TRAIN_DISTRICTS).alias("distrito"),
+                                pick(fixed.TRAIN_EDUCATION).alias("nivel_educativo"),
+                                F.when(a % 13 != 0, pick(fixed.TRAIN_JOBS)).alias("situacion_laboral")).alias("user_info"))
+
+
 # ---------------------------------------------------------------- keys
 def keys(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(inputs, canonical): distinct part names and the same names + 'x'."""

@@ -1,5 +1,5 @@
 """Cases beyond the clean test tables: tiny scores, null groups, many levels,
-deep trees, resubmissions, lost and changed artefacts."""
+deep trees, lost and changed artefacts."""
 
 import math
 import random
@@ -13,7 +13,6 @@ from scorelake.operators import gbt as G
 from scorelake.operators import metrics as M
 from scorelake.operators import treeshap as TS
 from scorelake.sources import files
-from scorelake.streaming import submissions as SS
 
 
 def test_auc_of_tiny_and_bunched_scores(spark):
@@ -84,20 +83,6 @@ def test_first_trees_are_a_prefix(spark):
     assert G.best_prefix([3.0, 2.0, 2.5, 2.6, 1.0], 2) == 2 and G.best_prefix([3.0, 2.0, 2.5, 2.6, 1.0], 3) == 5
 
 
-def test_a_submission_is_stored_once(spark, tmp_path):
-    base, cols = f"file://{tmp_path}", sorted({c for t in SS.TABLES.values() for c in t})
-    kinds = {"id": "long", "usuario_id": "long", "time": "timestamp", "edad": "int", "k": "int", "p_default": "double", "monto": "double", "valido": "boolean"}
-    def batch(ids):
-        rows = spark.createDataFrame([(i, t) for i, t in ids], "id long, n int")
-        return rows.select(*[F.col("id") if c == "id" else F.timestamp_seconds("n").alias(c) if c == "time" else F.col("n").cast(kinds.get(c, "string")).alias(c) for c in cols])
-    SS.write_batch(batch([(1, 5), (1, 3), (2, 1)]), 0, base)
-    SS.write_batch(batch([(2, 9), (3, 1)]), 1, base)
-    SS.write_batch(batch([(1, 3), (2, 1), (1, 5)]), 0, base)  # replayed
-    for name in SS.TABLES:
-        assert sorted(r.id for r in SS.read_table(spark, base, name).collect()) == [1, 2, 3]
-    assert {r.id: r.k for r in SS.read_table(spark, base, "predictions").collect()} == {1: 3, 2: 1, 3: 1}
-
-
 def test_audit_sees_lost_and_changed_models(spark, tmp_path):
     df = spark.createDataFrame([(i, "ab"[i % 2], int(i % 3 == 0)) for i in range(60)], "id long, f string, label int")
     paths = A.train_and_store(df, ["f"], 1.0, 20, 25, f"file://{tmp_path}/a")
