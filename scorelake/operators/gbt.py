@@ -7,6 +7,9 @@
   trees is read with ``evaluateEachIteration``, and the best prefix before
   ``patience`` trees without improvement is cut from it; while patience has not
   run out, a model of twice the trees is fitted, up to the configured number;
+* a tree is a job per level, so the rows are held in as few tasks as they need
+  (``ROWS_A_TASK``), and a fit is stored under a digest of its settings and its
+  rows: whoever asks for the same model again loads it;
 * the boosting is checkpointed every ten trees, so its lineage stays short;
 * bins: a categorical feature needs a bin per level, so the number of bins is
   the largest fitted level count.
@@ -14,6 +17,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
+
 from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -24,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..session import ensure_checkpoint_dir
+from ..sources import files
 
 
 def indexer(features: list[str]) -> Pipeline:
@@ -33,7 +41,11 @@ def indexer(features: list[str]) -> Pipeline:
     return Pipeline(stages=[idx, VectorAssembler(inputCols=[f"{f}_idx" for f in features], outputCol="features")])
 
 
-def estimator(bins: int, max_iter: int, depth: int = 3, step: float = 0.1, min_instances: int = 25,
+#: Training rows of a task: a boosting job reads all rows once per tree level.
+ROWS_A_TASK = 50_000
+
+
+def estimator(bins: int, max_iter: int, depth: int = 3, step: float = 0.1, min_instances: int = 1,
               seed: int = fixed.RANDOM_SEED, weight_col: str | None = "weight") -> GBTClassifier:
     gbt = GBTClassifier(labelCol="label", featuresCol="features", maxDepth=depth, maxIter=max_iter, stepSize=step,
                         minInstancesPerNode=min_instances, maxBins=max(32, bins), checkpointInterval=10, seed=seed)
@@ -46,7 +58,13 @@ def fit(rows: DataFrame, features: list[str], max_iter: int, weight_col: str | N
     data = as_strings(rows, features)
     prep = indexer(features).fit(data)
     bins = max(len(levels) for levels in prep.stages[0].labelsArray) + 1
-    model = estimator(bins, max_iter, weight_col=weight_col, **kw).fit(prep.transform(data))
+    keep = ["label", "features", *([weight_col] if weight_col else [])]
+    ready = prep.transform(data).select(*keep)
+    ready = ready.repartition(max(1, -(-ready.count() // ROWS_A_TASK))).persist()
+    try:
+        model = estimator(bins, max_iter, weight_col=weight_col, **kw).fit(ready)
+    finally:
+        ready.unpersist()
     return PipelineModel(stages=[*prep.stages, model])
 
 
@@ -116,6 +134,44 @@ def fit_best_prefix(rows: DataFrame, features: list[str], max_iter: int = 30, pa
     return model, best, losses
 
 
+def fit_settings(cfg: dict) -> dict:
+    """The learner's part of a run's configuration."""
+    return {k: cfg[k] for k in ("depth", "step", "min_instances")}
+
+
+def fit_run(rows: DataFrame, cfg: dict) -> tuple[PipelineModel, int]:
+    """A run's model and its trees: the best validation prefix where the
+    configuration has a patience, else all trees."""
+    if "patience" in cfg:
+        model, best, _ = fit_best_prefix(rows, cfg["features"], cfg["trees"], cfg["patience"], **fit_settings(cfg))
+        return model, best
+    return fit(rows.filter(F.col("split") == "train"), cfg["features"], cfg["trees"], **fit_settings(cfg)), cfg["trees"]
+
+
+def fingerprint(rows: DataFrame, cfg: dict) -> str:
+    """Digest of a run's settings and of the rows it is fitted on, in any order."""
+    columns = ["id", *cfg["features"], "label", "split"]
+    total = rows.agg(F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("s"), F.count(F.lit(1)).alias("n")).first()
+    said = json.dumps([{k: v for k, v in cfg.items() if k not in ("name", "tags")}, str(total["s"]), total["n"]], sort_keys=True)
+    return hashlib.sha256(said.encode()).hexdigest()[:32]
+
+
+def stored_fit(rows: DataFrame, cfg: dict, base: str) -> tuple[PipelineModel, int]:
+    """``fit_run``, once for the same settings and rows: the model lies under
+    its fingerprint, and a note that names it, written last, says it is whole.
+    Each fit has a folder of its own, so two writers don't meet."""
+    spark = rows.sparkSession
+    home = f"{base}/fit-{fingerprint(rows, cfg)}"
+    for note in files.finished_under(spark, home, "done"):
+        found = spark.read.parquet(note).first()
+        return PipelineModel.load(found["model"]), found["trees"]
+    model, trees = fit_run(rows, cfg)
+    name = uuid.uuid4().hex
+    model.write().save(f"{home}/model={name}")
+    spark.createDataFrame([(f"{home}/model={name}", trees)], "model string, trees int").coalesce(1).write.parquet(f"{home}/done={name}")
+    return model, trees
+
+
 def score(model: PipelineModel, df: DataFrame, features: list[str]) -> DataFrame:
     out = model.transform(as_strings(df, features))
     return out.withColumn("p", vector_to_array("probability")[1])

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import fixed
 from . import metrics as M
 from . import scorecard as S
 from .split import stratified_split
@@ -109,22 +110,27 @@ def compare_runs(runs: DataFrame, baseline: str, final: str) -> DataFrame:
         C.r6(F.try_divide((base_gap - final_gap) * F.lit(100.0), base_gap)).alias("reduccion_pct"))
 
 
-#: Every knob of a run is in its configuration and recorded with it. Trees and
-#: steps are the reference's; patience belongs to the run that has a validation
-#: split, the others grow all their trees, as there.
+SURVEY = ["distrito", "nivel", *fixed.ITEM_CODES]
+
+#: The four training iterations on the survey, trees: every knob is in the
+#: configuration and recorded with the run. Depths, minimum leaf, ablations and
+#: class balance are the application's; it grows 1,000 trees, and 3,000 at step
+#: 0.005 with patience 150, which as a Spark job per tree level is replaced by
+#: ``TREES`` at the same or ten times the step and a patience below.
+TREES, PATIENCE = 100, 20
 GBT_CONFIGS = [
-    {"name": "Iteration_1_Baseline", "features": ALL_FEATURES, "trees": 1000, "depth": 6, "step": 0.1, "test_pct": 20,
-     "val_pct": 0, "oversample": "none", "weights": False,
+    {"name": "Iteration_1_Baseline", "features": [*SURVEY, "situacion", "edad"], "trees": TREES, "depth": 6, "step": 0.1, "min_instances": 1,
+     "test_pct": 20, "val_pct": 0, "oversample": "none", "weights": False,
      "tags": {"oversampling": "None", "ablation": "No", "split_strategy": "80/20"}},
-    {"name": "Iteration_2_Oversampled", "features": ALL_FEATURES, "trees": 1000, "depth": 4, "step": 0.05, "test_pct": 20,
-     "val_pct": 0, "oversample": "smote_nc", "weights": False,
+    {"name": "Iteration_2_Oversampled", "features": [*SURVEY, "situacion", "edad"], "trees": TREES, "depth": 4, "step": 0.05, "min_instances": 1,
+     "test_pct": 20, "val_pct": 0, "oversample": "smote_nc", "weights": False,
      "tags": {"oversampling": "SMOTE-NC", "ablation": "No", "split_strategy": "80/20"}},
-    {"name": "Iteration_3_Ablation", "features": ["nivel", "tamano"], "trees": 1000, "depth": 5, "step": 0.05, "test_pct": 20,
-     "val_pct": 0, "oversample": "smoten", "weights": False,
+    {"name": "Iteration_3_Ablation", "features": SURVEY, "trees": TREES, "depth": 5, "step": 0.05, "min_instances": 1,
+     "test_pct": 20, "val_pct": 0, "oversample": "smoten", "weights": False,
      "tags": {"oversampling": "SMOTEN", "ablation": "Yes", "split_strategy": "80/20"}},
-    {"name": "Iteration_4_Hardened", "features": ALL_FEATURES, "trees": 3000, "patience": 150, "depth": 3, "step": 0.005, "test_pct": 20,
-     "val_pct": 25, "oversample": "none", "weights": True,
-     "tags": {"oversampling": "None", "ablation": "No", "split_strategy": "3-way (60/20/20)"}},
+    {"name": "Iteration_4_Hardened", "features": SURVEY, "trees": TREES, "patience": PATIENCE, "depth": 3, "step": 0.05, "min_instances": 25,
+     "test_pct": 20, "val_pct": 25, "oversample": "none", "weights": True,
+     "tags": {"oversampling": "None", "ablation": "Yes", "balancing": "Balanced", "split_strategy": "3-way (60/20/20)"}},
 ]
 
 
@@ -139,32 +145,30 @@ def with_synthetic(rows: DataFrame, features: list[str], kind: str, numeric: lis
         {f: F.col(f).cast("string") for f in nominal} | {f: F.col(f).cast("double") for f in mixed})
     syn = oversample(train, nominal, mixed, "label", k)
     level = lambda f: (F.round(F.col(f)).cast("long") if f in mixed else F.col(f)).cast("string").alias(f)
-    return rows.select("id", *[F.col(f).cast("string").alias(f) for f in features], "label", "split").unionByName(
+    return rows.select("id", *[level(f) for f in features], "label", "split").unionByName(
         syn.select(F.xxhash64("origen", "j").alias("id"), *[level(f) for f in features], "label", F.lit("train").alias("split")))
 
 
-def gbt_run_metrics(labeled: DataFrame, cfg: dict) -> DataFrame:
-    """One GBT configuration: optional synthetic rows added to training (nominal,
-    or mixed with ``tamano`` as the number), optional balanced weights and best
-    validation prefix; train AUC on original rows."""
+def gbt_run_metrics(labeled: DataFrame, cfg: dict, base: str) -> DataFrame:
+    """One configuration of trees: optional synthetic rows added to training
+    (nominal, or mixed with ``edad`` as the number), optional balanced weights
+    and best validation prefix; train AUC on original rows. The model is stored
+    under ``base`` and loaded where it is there already."""
     from . import gbt as G
 
     feats = cfg["features"]
     rows = stratified_split(labeled, "label", "id", cfg["test_pct"], cfg["val_pct"]).persist()
     try:
-        fit_rows = rows if cfg["oversample"] == "none" else with_synthetic(rows, feats, cfg["oversample"], ["tamano"])
-        if cfg["weights"] and cfg["val_pct"]:
-            model, best, _ = G.fit_best_prefix(fit_rows, feats, cfg["trees"], cfg["patience"], depth=cfg["depth"], step=cfg["step"])
-        else:
-            model, best = G.fit(fit_rows.filter(F.col("split") == "train"), feats, cfg["trees"], depth=cfg["depth"], step=cfg["step"]), cfg["trees"]
+        fit_rows = rows if cfg["oversample"] == "none" else with_synthetic(rows, feats, cfg["oversample"], [f for f in ("edad",) if f in feats])
+        model, best = G.stored_fit(fit_rows, cfg, base)
         return _summary(G.score(model, rows, feats), "p", cfg["name"], bool(cfg["val_pct"]), trees_used=best)
     finally:
         rows.unpersist()
 
 
-def gbt_runs_table(labeled: DataFrame, configs=None) -> DataFrame:
+def gbt_runs_table(labeled: DataFrame, base: str, configs=None) -> DataFrame:
     out = None
     for cfg in configs or GBT_CONFIGS:
-        rec = run_record(gbt_run_metrics(labeled, cfg), cfg)
+        rec = run_record(gbt_run_metrics(labeled, cfg, base), cfg)
         out = rec if out is None else out.unionByName(rec)
     return out

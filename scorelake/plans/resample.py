@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import resample as RS
+from ..operators.split import stratified_split
+from ..sources import testdata as td
 from .model import split_frame
 from .modelsql import split_ctes
 from .registry import query
@@ -31,16 +33,20 @@ def vdm_table(spark, sf_dir):
     return RS.vdm_table(_train(spark, sf_dir), NOMINAL)
 
 
+def _survey(spark, sf_dir):
+    rows = td.survey_applicants(spark, sf_dir).withColumn("label", C.target_code("target"))
+    return stratified_split(rows, "label", "id", 20, 0).filter(F.col("split") == "train")
+
+
 @query("smoten")
 def smoten(spark, sf_dir):
-    """M8: SMOTEN on the 80 % training rows — every feature nominal."""
-    rows = _train(spark, sf_dir).withColumn("tamano", F.col("tamano").cast("string"))
-    return RS.oversample(rows, NOMINAL, [], "label", 5)
+    """M8: SMOTEN on the 80 % training rows of the survey, 32 nominal features."""
+    return RS.oversample(_survey(spark, sf_dir), td.SURVEY_FEATURES, [], "label", 5)
 
 
 @query("smote_nc")
 def smote_nc(spark, sf_dir):
-    """M8: SMOTE-NC — ``tamano`` numeric (interpolated), the rest nominal."""
-    rows = _train(spark, sf_dir).withColumn("tamano", F.col("tamano").cast("double"))
-    out = RS.oversample(rows, ["distrito", "nivel"], ["tamano"], "label", 5)
-    return out.withColumn("tamano", C.r6("tamano"))
+    """M8: SMOTE-NC on the survey: 33 nominal features, ``edad`` interpolated."""
+    rows = _survey(spark, sf_dir).withColumn("edad", F.col("edad").cast("double"))
+    out = RS.oversample(rows, [*td.SURVEY_FEATURES, "situacion"], ["edad"], "label", 5)
+    return out.withColumn("edad", C.r6("edad"))

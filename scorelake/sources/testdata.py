@@ -119,6 +119,17 @@ def survey_training(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("s") * 10 >= F.col("n") * SURVEY_CUT, F.lit(fixed.TARGET_POSITIVE)).otherwise(F.lit("No")).alias("target"))
 
 
+DEMOGRAPHIC = ["situacion", "edad"]
+
+
+def survey_applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``survey_training`` with the two demographic columns that the last two
+    training iterations leave out: job type (text) and age (number)."""
+    a = F.col("id")
+    job = F.get(F.array(*map(F.lit, fixed.TRAIN_JOBS)), (a % len(fixed.TRAIN_JOBS)).cast("int"))
+    return survey_training(spark, sf_dir).withColumn("situacion", job).withColumn("edad", (F.lit(10) + a % 80).cast("long"))
+
+
 # ---------------------------------------------------------------- training
 def training(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")

@@ -58,7 +58,7 @@ def _unpartitioned_window_lines(plan: str):
 # windows without PARTITION BY are allowed only over an already bounded input
 BOUNDED_WINDOWS = {"topk_importance", "survey_topk_importance", "gbt_importance"}  # a rank over k rows, or one per feature
 # rows read back from a stored table, or the model of gbt_score once more
-SLOW = {"runs_gbt", "runs_log", "runs_compare", "shap_tree"}
+SLOW = {"runs_gbt", "runs_log", "runs_compare", "shap_tree", "stream_score", "stream_quarantine", "stream_explained", "persist_three"}
 
 
 def test_no_single_task_window_over_data(spark):

@@ -2,52 +2,91 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from scorelake.operators import neighbours as N
 from scorelake.operators import resample as RS
 
 
-def test_ring_knn_matches_brute_force(spark):
-    rnd = random.Random(5)
-    pts = [(f"p{i}", rnd.randint(1, 3), rnd.random(), rnd.random()) for i in range(60)]
-    prof = spark.createDataFrame(pts, "_pid string, c long, x double, y double")
-    k = 4
-    got = {}
-    for r in RS.knn_profiles(prof, ["x", "y"], k, cell=0.05).collect():
-        got.setdefault(r["pid"], []).append((r["dist"], r["nid"], r["w"]))
-    for pid, c, x, y in pts:
-        cands = []
-        for nid, nc, nx, ny in pts:
-            avail = nc - 1 if nid == pid else nc
-            if avail > 0:
-                cands.append((abs(x - nx) + abs(y - ny), nid, avail))
-        cands.sort()
+def brute(pts, k):
+    out = {}
+    for pid, c, v in pts:
+        near = sorted((sum(abs(a - b) for a, b in zip(v, w)), nid, n - (nid == pid)) for nid, n, w in pts if n - (nid == pid) > 0)
         want, taken = [], 0
-        for d, nid, a in cands:
+        for d, nid, a in near:
             if taken >= k:
                 break
-            w = min(a, k - taken)
-            want.append((d, nid, w))
-            taken += w
+            want.append((nid, min(a, k - taken), d))
+            taken += want[-1][1]
+        out[pid] = want
+    return out
+
+
+@pytest.mark.parametrize("dims,n,block,clusters", [(2, 90, 16, 5), (32, 150, 20, 6), (32, 150, 2048, 1), (3, 4, 2, 1)])
+def test_knn_matches_brute_force(spark, dims, n, block, clusters):
+    rnd = random.Random(5)
+    centres = [[rnd.random() * 4 for _ in range(dims)] for _ in range(clusters)]
+    pts = [(f"p{i}", rnd.choice([1, 1, 2, 9]), [x + rnd.random() * 0.2 for x in rnd.choice(centres)]) for i in range(n)]
+    pts += [("twin", 1, pts[0][2]), ("alone", 1, [9.0] * dims)]
+    got = {}
+    for r in N.knn(spark.createDataFrame(pts, "pid string, c long, vec array<double>"), 4, block).collect():
+        got.setdefault(r["pid"], []).append((r["dist"], r["nid"], r["w"]))
+    for pid, want in brute(pts, 4).items():
         mine = sorted(got[pid])
-        assert [(n, w) for _, n, w in mine] == [(n, w) for _, n, w in want]
-        assert all(abs(a[0] - b[0]) < 1e-12 for a, b in zip(mine, want))
+        assert [(n, w) for _, n, w in mine] == [(n, w) for n, w, _ in want]
+        assert all(abs(a[0] - d) < 1e-9 for a, (_, _, d) in zip(mine, want))
+
 
+def test_no_block_holds_all_and_few_are_visited(spark):
+    rnd = random.Random(1)
+    pts = [(f"p{c}_{i}", 1, [c * 5 + rnd.random() for _ in range(32)]) for c in range(8) for i in range(40)]
+    seen = spark.sparkContext.accumulator(0)
+    visit = N._visit
 
-def _rows(spark):
+    def counting(dims, k):
+        inner = visit(dims, k)
+
+        def run(batches):
+            def spy():
+                for b in batches:
+                    seen.add(int((b.column("side").to_numpy() == 1).sum()))
+                    yield b
+            return inner(spy())
+        return run
+
+    N._visit = counting
+    try:
+        assert N.knn(spark.createDataFrame(pts, "pid string, c long, vec array<double>"), 5, 20).count() == 320 * 5
+    finally:
+        N._visit = visit
+    assert 320 <= seen.value < 320 * 8  # of 16 blocks or more, each point visits those of its own cluster
+
+
+def test_empty_and_single(spark):
+    none = spark.createDataFrame([], "pid string, c long, vec array<double>")
+    assert N.knn(none, 3).count() == 0
+    assert N.knn(spark.createDataFrame([("a", 1, [0.0])], none.schema), 3).count() == 0
+    assert [(r.nid, r.w) for r in N.knn(spark.createDataFrame([("a", 3, [0.0])], none.schema), 5).collect()] == [("a", 2)]
+
+
+def _rows(spark, share=0.2):
     rnd = random.Random(9)
-    rows = [(i, rnd.choice("abcd"), rnd.choice("xy"), float(rnd.randint(0, 9)), 1 if rnd.random() < 0.2 else 0)
+    rows = [(i, rnd.choice("abcd"), rnd.choice("xy"), float(rnd.randint(0, 9)), 1 if rnd.random() < share else 0)
             for i in range(400)]
     return spark.createDataFrame(rows, "id long, f1 string, f2 string, t double, label int")
 
 
-def test_smoten_balances_classes(spark):
-    df = _rows(spark)
+@pytest.mark.parametrize("share", [0.2, 0.8])
+def test_smoten_balances_classes(spark, share):
+    df = _rows(spark, share)
     n_pos = df.filter("label = 1").count()
     n_neg = df.filter("label = 0").count()
     syn = RS.oversample(df, ["f1", "f2"], [], "label", 5)
-    assert syn.count() == n_neg - n_pos
+    assert syn.count() == abs(n_neg - n_pos) and {r.label for r in syn.select("label").distinct().collect()} == {int(share < 0.5)}
     assert syn.filter(F.col("f1").isNull() | ~F.col("f1").isin(list("abcd"))).count() == 0
+    each = [r["count"] for r in syn.groupBy("origen").count().collect()]
+    assert max(each) - min([*each, min(n_pos, n_neg) and max(each) - 1]) <= 1
 
 
 def test_smote_nc_interpolates_inside_minority_range(spark):
@@ -55,4 +94,10 @@ def test_smote_nc_interpolates_inside_minority_range(spark):
     lo, hi = df.filter("label = 1").agg(F.min("t"), F.max("t")).first()
     syn = RS.oversample(df, ["f1", "f2"], ["t"], "label", 5)
     assert syn.count() == df.filter("label = 0").count() - df.filter("label = 1").count()
-    assert syn.filter((F.col("t") < lo) | (F.col("t") > hi)).count() == 0
+    assert syn.filter((F.col("t") < lo) | (F.col("t") > hi) | F.col("t").isNull()).count() == 0
+
+
+def test_a_single_minority_row_is_copied(spark):
+    df = spark.createDataFrame([(1, "a", 2.0, 1), (2, "b", 3.0, 0), (3, "b", 4.0, 0), (4, None, 5.0, 0)], "id long, f string, t double, label int")
+    assert sorted((r.f, r.t) for r in RS.oversample(df, ["f"], ["t"], "label", 5).collect()) == [("a", 2.0), ("a", 2.0)]
+    assert RS.oversample(df.where("label = 0"), ["f"], ["t"], "label", 5).count() == 0

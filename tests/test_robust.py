@@ -58,12 +58,12 @@ def test_many_levels(spark):
 
 def test_tree_shap_of_deep_trees_sums_to_the_logit(spark, tmp_path):
     df, names, model = trained(spark, 4, 3, 6)
-    leaves = TS.leaves_from_saved(spark, TS.save_model(model.stages[-1], str(tmp_path / "m")))
-    assert max(len(x["conds"]) for x in leaves) > 3
+    trees = TS.trees_from_saved(spark, TS.save_model(model.stages[-1], str(tmp_path / "m")))
+    assert max(len(x["conds"]) for x in trees.leaves) > 3
     rows = model.stages[0].transform(G.as_strings(df, names)).limit(60)
-    phi = TS.attributions(rows, leaves, [f"{n}_idx" for n in names], names)
+    phi = TS.attributions(rows, trees, [f"{n}_idx" for n in names], names)
     total = {r.id: r.s for r in phi.groupBy("id").agg(F.sum("phi").alias("s")).collect()}
-    base = TS.base_value(leaves)
+    base = TS.base_value(trees)
     for r in G.score(model, df, names).where(F.col("id").isin(list(total))).collect():
         assert base + total[r.id] == pytest.approx(math.log(r.p / (1 - r.p)), abs=1e-9)
 
