@@ -8,12 +8,16 @@ gzip members, one per record, under names of its own in the shared folder, and
 returns a manifest; only files that the manifest of a finished task names are
 read, so a lost executor's files don't count.
 
-Reading. A record is taken if its member inflates, its header parses, its
-length fits and its block digest agrees. After a failed check the reader
+Reading. A record is taken if its member inflates, its header parses with all
+its fields, its length fits and the digests of block and header agree (the
+writer adds one of the header, which plain records don't have otherwise). The
+rows hold url and payload. After a failed check the reader
 searches for the next gzip member or version line and goes on there; the
 bytes in between are logged as a gap (path, offset, length, reason). Both
 compressed and plain records are read. A file is read in blocks, and one
-record at a time is held.
+record at a time is held. A ``strict`` reader compares the records of each
+archive with the manifest's and fails where any is missing: so it reads what was
+just written, where a gap would be a loss and not damage of long ago.
 
 Cases: a null payload counts as empty; ``min_bytes`` is the size under which
 equal payloads are not revisits; rows that agree in id and payload are copies,
@@ -45,8 +49,10 @@ BLOCK = 1 << 20
 _MAGIC, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
 
 MANIFEST = "path string, bytes long, records long"
-ROW = ("page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
+ROW = ("page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, "
        "path string, at long, length long, gap string")
+#: Bytes of payloads that a batch of rows holds.
+BATCH_BYTES = 4 << 20
 
 
 def base32_sha1(block: bytes) -> str:
@@ -65,6 +71,7 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, digest: st
     if revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Page: {'' if refers_to is None else refers_to}"]
     head.append(f"Content-Length: {len(block)}")
+    head.append(f"WARC-Header-Digest: sha1:{base32_sha1(chr(10).join(head).encode())}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -133,11 +140,31 @@ def _parse_head(head: bytes) -> dict[str, str]:
     return fields
 
 
-def _checked(fields: dict[str, str], block: bytes) -> dict:
+def _checked(fields: dict[str, str], block: bytes, head: bytes) -> dict:
+    """The record's fields, all parsed and compared with the digests."""
     want = fields.get("warc-block-digest", "")
     if want and want != "sha1:" + base32_sha1(block):
         raise ValueError("block digest differs")
-    return {"fields": fields, "block": block}
+    lines = head.decode("utf-8").split("\r\n")
+    want = fields.get("warc-header-digest", "")
+    if want and want != "sha1:" + base32_sha1("\n".join(x for x in lines if not x.lower().startswith("warc-header-digest:")).encode()):
+        raise ValueError("header digest differs")
+    kind = fields.get("warc-type")
+    revisit = kind == "revisit"
+    payload_bytes = _whole(fields, "warc-payload-length") if revisit else len(block)
+    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else base32_sha1(block)  # the payload itself decides
+    return {"fields": fields, "block": block, "page_id": _whole(fields, "warc-page-id"), "url": fields.get("warc-target-uri"), "kind": kind,
+            "payload": None if revisit else block, "payload_bytes": payload_bytes, "digest": digest, "refers_to": _whole(fields, "warc-refers-to-page") if revisit else None}
+
+
+def _whole(fields: dict[str, str], name: str) -> int | None:
+    """A field's whole number, None if it is empty or absent."""
+    text = fields.get(name)
+    if not text:
+        return None
+    if not re.fullmatch(r"-?[0-9]{1,19}", text) or not -(1 << 63) <= int(text) < 1 << 63:
+        raise ValueError(f"{name} is no whole number")
+    return int(text)
 
 
 def _member(src: _Bytes, pos: int) -> tuple[dict, int]:
@@ -157,10 +184,10 @@ def _member(src: _Bytes, pos: int) -> tuple[dict, int]:
     if not sep:
         raise ValueError("no header")
     fields = _parse_head(head)
-    n = int(fields.get("content-length", "-1"))
-    if n < 0 or rest[n:] != b"\r\n\r\n":
+    n = _whole(fields, "content-length")
+    if n is None or n < 0 or rest[n:] != b"\r\n\r\n":
         raise ValueError("length differs")
-    return _checked(fields, rest[:n]), at - len(z.unused_data)
+    return _checked(fields, rest[:n], head), at - len(z.unused_data)
 
 
 def _plain(src: _Bytes, pos: int) -> tuple[dict, int]:
@@ -173,10 +200,10 @@ def _plain(src: _Bytes, pos: int) -> tuple[dict, int]:
         n *= 4
     head = head[: head.index(b"\r\n\r\n")]
     fields = _parse_head(head)
-    size, at = int(fields.get("content-length", "-1")), pos + len(head) + 4
-    if size < 0 or at + size + 4 > src.size or src.at(at + size, 4) != b"\r\n\r\n":
+    size, at = _whole(fields, "content-length"), pos + len(head) + 4
+    if size is None or size < 0 or at + size + 4 > src.size or src.at(at + size, 4) != b"\r\n\r\n":
         raise ValueError("length differs")
-    return _checked(fields, src.at(at, size)), at + size + 4
+    return _checked(fields, src.at(at, size), head), at + size + 4
 
 
 def salvage(handle, size: int) -> Iterator[tuple[str, int, int, object]]:
@@ -207,48 +234,46 @@ def salvage(handle, size: int) -> Iterator[tuple[str, int, int, object]]:
         yield "gap", gap, size - gap, why
 
 
-def _long(text: str | None) -> int | None:
-    return int(text) if text else None
-
-
 def _row(kind: str, at: int, length: int, what, path: str) -> tuple:
     if kind == "gap":
-        return (None, None, None, None, None, path, at, length, what)
-    fields, block = what["fields"], what["block"]
-    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    revisit = fields.get("warc-type") == "revisit"
-    if not revisit:  # the payload itself decides
-        digest, n = base32_sha1(block), len(block)
-    else:
-        n = _long(fields.get("warc-payload-length"))
-    return (_long(fields.get("warc-page-id")), n, digest, fields.get("warc-type"), _long(fields.get("warc-refers-to-page")) if revisit else None,
-            path, at, length, None)
-
-
-def read_archives(manifest: DataFrame) -> DataFrame:
-    """Rows of all archives of ``manifest`` (path, bytes): records with ``gap``
-    null, and quarantined gaps with their reason."""
+        return (*[None] * 7, path, at, length, what)
+    return (what["page_id"], what["url"], what["payload"], what["payload_bytes"], what["digest"], what["kind"], what["refers_to"], path, at, length, None)
+
+
+def read_archives(manifest: DataFrame, strict: bool = False) -> DataFrame:
+    """Rows of all archives of ``manifest`` (path, bytes, records): records with
+    ``gap`` null, their url and, unless they are revisits, their payload; and
+    quarantined gaps with their reason. ``strict``: an archive with a gap, or
+    with other than the manifest's number of records, ends the job."""
     names = [f.split()[0] for f in ROW.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    types = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        held = 0
         for b in batches:
-            for path in b.column("path").to_pylist():
+            for path, records in zip(b.column("path").to_pylist(), b.column("records").to_pylist()):
                 fs, name = pafs.FileSystem.from_uri(path)
+                sound = 0
                 with fs.open_input_file(name) as handle:
                     for found in salvage(handle, handle.size()):
+                        sound += found[0] == "record"
+                        if strict and found[0] == "gap":
+                            raise ValueError(f"{path}: a gap of {found[2]} bytes at {found[1]}: {found[3]}")
                         rows.append(_row(*found, path))
-                        if len(rows) == 4096:
+                        held += len(rows[-1][2] or b"")
+                        if len(rows) == 4096 or held > BATCH_BYTES:
                             yield batch(rows)
-                            rows = []
+                            rows, held = [], 0
+                if strict and sound != records:
+                    raise ValueError(f"{path}: {sound} records of {records}")
         if rows:
             yield batch(rows)
 
-    files = manifest.select("path").repartition(shuffle_partitions(manifest.sparkSession), "path")
+    files = manifest.select("path", "records").repartition(shuffle_partitions(manifest.sparkSession), "path")
     return files.mapInArrow(run, ROW)
 
 
@@ -260,7 +285,7 @@ def _keys(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBa
         ids = batch.column("page_id").to_pylist()
         keys = pa.array([s + (b"n" if i is None else b"%d" % i) for s, i in zip(shas, ids)], pa.binary())
         if keep:
-            yield batch.append_column("_key", keys)
+            yield pa.record_batch([*batch.columns, keys], [*batch.schema.names, "_key"])
         else:
             yield pa.record_batch([batch.column("page_id"), keys, pa.array(shas, pa.binary())], ["page_id", "key", "sha"])
 
@@ -305,8 +330,8 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, base: str | None = None
 def through_archives(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write ``pages`` and read the archives back: page_id, payload_bytes,
     payload_digest, record_type, refers_to of every record."""
-    rows = read_archives(write_archives(pages, min_bytes))
-    return rows.where("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    rows = read_archives(write_archives(pages, min_bytes), strict=True)
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE_SQL = """
