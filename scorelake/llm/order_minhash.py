@@ -14,8 +14,15 @@ Everything happens inside the row with array functions: longs that carry
 exploded. Occurrence numbers come from the sorted array by a doubling search
 over the run of equal k-mers.
 
+One draw deals the k-mers to slots, so this is a variant: order min-hash as
+published picks the minimal k-mers of the whole text for every sketch. A slot
+of a long text sees a part of the k-mers; of a short text (under some 130
+symbols) most slots hold one k-mer, whose tuple has no order, so that moving a
+passage of a short text changes few slots (20 words with their halves swapped
+are about 0.8 alike).
+
 The next document in id order is found by dealing rows to ranges of ids (the
-bounds are quantiles, one per shuffle partition) and lending each range the
+bounds are quantiles, four per shuffle partition) and lending each range the
 first row of the following one.
 
 Cases: null texts count as empty; texts without symbols have an empty
@@ -91,34 +98,42 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(used == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / used)
 
 
-def _range_of(doc_id: Column, bounds: list[int]) -> Column:
-    """Number of bounds that are at most ``doc_id`` (a doubling search); null ids come last."""
-    if not bounds:
-        return F.lit(0)
-    edges = F.array(*map(F.lit, bounds))
-    steps = F.array(*[F.lit(1 << b) for b in range(len(bounds).bit_length() - 1, -1, -1)])
-    found = F.aggregate(steps, F.lit(0), lambda n, b: F.when(F.coalesce(F.get(edges, n + b - 1) <= doc_id, F.lit(False)), n + b).otherwise(n))
-    return F.when(doc_id.isNull(), F.lit(len(bounds) + 1)).otherwise(found)
-
-
-def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """``rows`` (doc_id, tie, ...) with ``next_<c>`` of the following row in
-    (doc_id, tie) order, the first row following the last."""
-    spark = rows.sparkSession
-    n = 4 * shuffle_partitions(spark)
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] or []  # n numbers
-    rows = rows.withColumn("range", _range_of(F.col("doc_id"), sorted(set(cuts))))
-    firsts = rows.groupBy("range").agg(F.min("doc_id").alias("first_id")).orderBy("range").collect()  # n + 1 rows at most
-    if not firsts:
-        return rows.select("*", *[F.col(c).alias(f"next_{c}") for c in columns]).drop("range")
-    borrow = spark.createDataFrame([(r.range, firsts[i - 1].range) for i, r in enumerate(firsts)], "range int, lender_of int")
-    ids = [r.first_id for r in firsts]
-    first_rows = rows.where(F.col("doc_id").isin([i for i in ids if i is not None]) | (F.col("doc_id").isNull() if None in ids else F.lit(False)))
-    lent = first_rows.groupBy("range").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "range"]), F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("r"))
-    lent = lent.join(F.broadcast(borrow), "range").select("r.*", F.col("lender_of").alias("range"), F.lit(True).alias("lent"))
-    both = rows.withColumn("lent", F.lit(False)).unionByName(lent)
+def _range_of(doc_id: Column, tie: Column, edges: Column, n: int) -> Column:
+    """Number of ``edges`` (an ascending array of at most 2 n ids) that are at
+    most ``doc_id``, by a doubling search; null ids come last, dealt by tie."""
+    steps = F.array(*[F.lit(1 << b) for b in range(n.bit_length(), -1, -1)])
+    found = F.aggregate(steps, F.lit(0), lambda k, b: F.when(F.coalesce(F.get(edges, k + b - 1) <= doc_id, F.lit(False)), k + b).otherwise(k))
+    last = F.lit(2 * n + 1) + F.floor((tie / F.lit(2.0 ** 63) + 1) / 2 * n).cast("int")
+    return F.when(doc_id.isNull(), last).otherwise(found)
+
+
+def with_next(rows: DataFrame, then) -> DataFrame:
+    """``rows`` (doc_id, tie, text) through ``then``, which adds columns row by
+    row, with ``next_<c>`` of the following row in (doc_id, tie) order, the
+    first row following the last.
+
+    Rows are dealt to ranges by ids' quantiles, a table of one row that the
+    plan reads (no literal per range). Each range borrows the first row of the
+    next one that has rows.
+    """
+    n = 4 * shuffle_partitions(rows.sparkSession)
+    some = rows.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(16 * n)
+    some = some.agg(F.sort_array(F.collect_list("doc_id")).alias("s"))  # 16 ids a range, whatever the input
+    edges = some.select(F.array_distinct(F.filter(F.col("s"), lambda x, i: i % F.greatest(F.floor(F.size("s") / n), F.lit(1)) == 0)).alias("e")).scalar()
+    ranged = rows.withColumn("edges", edges)
+    ranged = ranged.withColumn("range", _range_of(F.col("doc_id"), F.col("tie"), F.col("edges"), n)).drop("edges")
+    # one row per range: 3 n or so
+    firsts = ranged.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("f"))
+    order = Window.orderBy("range")
+    before = F.coalesce(F.lag("range").over(order), F.max("range").over(Window.partitionBy()))
+    firsts = firsts.select(F.col("range").alias("own"), F.col("f.doc_id").alias("first_id"), F.col("f.tie").alias("first_tie"), before.alias("lender_of"))
+    same = (F.col("range") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("tie") == F.col("first_tie"))
+    lent = ranged.join(F.broadcast(firsts), same).groupBy("own").agg(F.first(F.struct("doc_id", "tie", "text", F.col("lender_of").alias("range"))).alias("r"))
+    both = ranged.withColumn("lent", F.lit(False)).unionByName(lent.select("r.*", F.lit(True).alias("lent")))
+    both = then(both)
     order = Window.partitionBy("range").orderBy("lent", F.col("doc_id").asc_nulls_last(), "tie")
-    return both.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where("not lent").drop("lent", "range")
+    added = [c for c in both.columns if c not in ("doc_id", "tie", "range", "lent")]
+    return both.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in added]).where("not lent").drop("lent", "range")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,7 +142,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     last floor(n_chars / 2) characters replaced by as many of the next
     document's first (or all of them)."""
     rows = keyed(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("tie", F.xxhash64("text"))
-    rows = with_next(with_signature(rows, "text", "sig"), ["text", "sig"])
+    rows = with_next(rows, lambda both: with_signature(both, "text", "sig"))
     n, half = F.char_length("text"), F.floor(F.char_length("text") / 2).cast("int")
     rows = rows.select("doc_id", n.alias("n_chars"), "sig", "next_sig", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
     rows = with_signature(rows, "edited", "edited_sig")
