@@ -182,6 +182,35 @@ def complete_applicants(spark, sf_dir):
     return P.complete_applicants(td.answers_long(spark, sf_dir), td.items_df(spark))
 
 
+_CONSENT = "applicant % 5 <> 0"  # stand-in: every fifth applicant did not agree
+
+
+@query("complete_consented", with_(ANSWERS, values_items()) + f""", per_pillar AS (
+  SELECT a.applicant, i.pillar, COUNT(DISTINCT a.item) AS n
+  FROM answers a JOIN items i ON a.item = i.item WHERE {_CONSENT.replace('applicant', 'a.applicant')} GROUP BY ALL),
+expected AS (SELECT pillar, COUNT(*) AS e FROM items GROUP BY pillar)
+SELECT applicant, COUNT(*) FILTER (WHERE n = e) AS bloques, CAST(SUM(n) AS BIGINT) AS respondidas
+FROM per_pillar p JOIN expected x ON p.pillar = x.pillar
+GROUP BY applicant HAVING COUNT(*) FILTER (WHERE n = e) = {len(fixed.PILLARS)}""")
+def complete_consented(spark, sf_dir):
+    """P20: applicants with every block complete who gave their consent."""
+    long = td.answers_long(spark, sf_dir)
+    consent = long.select("applicant").distinct().withColumn("consentimiento", F.expr(_CONSENT))
+    return P.complete_applicants(long, td.items_df(spark), consent)
+
+
+@query("imputed_payment", _ALIGNED + f"""
+SELECT {sql_str(fixed.PAYMENT_OPTIONS[1])} AS valor, count(*) AS n, count({qid(fixed.PAYMENT_QUESTION)}) AS antes FROM renamed""")
+def imputed_payment(spark, sf_dir):
+    """The payment column of all respondents set to one answer; how many
+    had one before."""
+    rows = _aligned(spark, sf_dir)
+    before = P.qcol(P.column_about(rows, fixed.PAYMENT_FRAGMENT))
+    kept = rows.withColumn("antes", before.isNotNull())
+    done = P.impute(kept, P.column_about(rows, fixed.PAYMENT_FRAGMENT), fixed.PAYMENT_OPTIONS[1])
+    return done.groupBy(P.qcol(fixed.PAYMENT_QUESTION).alias("valor")).agg(F.count(F.lit(1)).alias("n"), F.count_if("antes").alias("antes"))
+
+
 @query("merge_blocks", with_(ANSWERS) + "SELECT applicant, " + ", ".join(
     f"max(CASE WHEN item = '{c}' THEN level END) AS {c}" for c in fixed.ITEM_CODES)
     + " FROM answers GROUP BY applicant")

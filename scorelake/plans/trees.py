@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import audit as A
 from ..operators import gbt as G
 from ..operators import runs as RN
 from ..operators import treeshap as TS
@@ -69,6 +70,17 @@ def shap_tree(spark, sf_dir):
     return phi.select("id", "feature", C.r6("phi").alias("phi"), C.r6(F.lit(base)).alias("base_value"))
 
 
+@query("audit_trees")
+def audit_trees(spark, sf_dir):
+    """M14 + S8: the stored pipeline (indexers and trees) of the hardened run,
+    its files' digests and metrics against what is computed anew."""
+    rows, model, best = _fit(spark, sf_dir)
+    paths = A.store_pipeline(model, best, rows, FEATURES, shared_path(spark, "audit_trees"))
+    again = stratified_split(_labeled(spark, sf_dir), "label", "id", HARDENED["test_pct"], HARDENED["val_pct"])
+    out = A.audit_pipeline(again, FEATURES, paths)
+    return out.select(*[C.r6(c).alias(c) if c in ("persisted_auc_test", "recomputed_auc_test", "auc_drift", "metric_drift") else c for c in out.columns])
+
+
 @query("runs_gbt")
 def runs_gbt(spark, sf_dir):
     """M9 (trees): the four training iterations on Spark ML GBT, recorded in the

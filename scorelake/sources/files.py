@@ -136,13 +136,15 @@ def exists(spark: SparkSession, path: str) -> bool:
 MANIFEST_SCHEMA = "path string, existe boolean, size_kb double, sha256 string"
 
 
-def artifact_manifest(spark: SparkSession, path: str) -> DataFrame:
+def artifact_manifest(spark: SparkSession, path: str, skip_unreadable: bool = False) -> DataFrame:
     """Exists / size KB / SHA-256 per stored file, computed by the executors
     that read the bytes (``binaryFile``), not by a driver-side loop.  A path
-    that is not there is one row with ``existe`` false."""
+    that is not there is one row with ``existe`` false. A file is read whole,
+    so it may have 2 GB at most, and an empty one has no row; one whose own checksum fails ends the job, or
+    with ``skip_unreadable`` is left out."""
     if not exists(spark, path):
         return spark.createDataFrame([(path, False, None, None)], MANIFEST_SCHEMA)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", skip_unreadable).load(path)
     return files.select(
         F.col("path"), F.lit(True).alias("existe"),
         F.round(F.col("length") / F.lit(1024.0), 2).alias("size_kb"),

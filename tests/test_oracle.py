@@ -60,7 +60,13 @@ def manifest(columns, rows):
     assert all(r["existe"] and r["size_kb"] >= 0 and len(r["sha256"]) == 64 for r in got)
 
 
-INVARIANTS = {"gbt_score": scores, "gbt_importance": importance, "shap_tree": shares, "runs_gbt": runs, "smoten": synthetic, "smote_nc": synthetic, "artifact_manifest": manifest}
+def audit(columns, rows):
+    (r,) = of(columns, rows)
+    assert r["n_files"] > 5 and (r["lost"], r["changed"], r["added"]) == (0, 0, 0)
+    assert r["auc_drift"] == 0 and r["metric_drift"] == 0 and r["estado"] == "PRODUCTION READY"
+
+
+INVARIANTS = {"audit_trees": audit, "gbt_score": scores, "gbt_importance": importance, "shap_tree": shares, "runs_gbt": runs, "smoten": synthetic, "smote_nc": synthetic, "artifact_manifest": manifest}
 
 
 @pytest.fixture(scope="module")
