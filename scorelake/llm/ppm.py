@@ -3,8 +3,8 @@
 A context trie over the bytes of lower-cased training texts, ``ORDER`` bytes
 deep, holds how often each byte (or the end of the text) followed each context.
 A text's probability is the product over its bytes and its end: the longest
-known context gives count / (total + distinct) of the byte; a byte it hasn't
-seen costs an escape, distinct / (total + distinct), and goes to the context
+known context gives (2 count - 1) / (2 total) of the byte; a byte it hasn't
+seen costs an escape, distinct / (2 total), and goes to the context
 one byte shorter, whose counts leave out the bytes that the longer one has
 (symbol exclusion); what no context has seen shares the last escape evenly.
 The code length in bits is -score / log10(2).
@@ -51,7 +51,7 @@ from scorelake.llm.common import cut_lineage, keyed, lower_ascii, mix64, shuffle
 from scorelake.llm.importance import crc_sql
 
 #: Bytes of a context. 9 bits a symbol: bytes, START before a text, END after it.
-ORDER, START, END = 4, 256, 257
+ORDER, START, END = 5, 256, 257
 SYMBOLS = 257
 #: Bytes of a block's texts, of a piece that is worked on at a time, and shards.
 BLOCK, PIECE, SHARDS = 32 << 20, 1 << 20, 512
@@ -64,7 +64,7 @@ STEP = 1 << 17
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _PARTS = "kind int, block long, shard long, keys binary, vals binary"
-_DOC = 18  # bits for a text's place beside a gram
+_DOC = 64 - 9 * (ORDER + 1)  # bits for a text's place beside a gram
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -178,6 +178,22 @@ def _shard(kind: int, keys: np.ndarray) -> np.ndarray:
     return (mix64(keys.view(np.uint64)) % np.uint64(SHARDS)).astype(np.int64)
 
 
+def _packed(n: np.ndarray) -> bytes:
+    """Whole numbers in 32 bits each, or in 64 where one needs it."""
+    small = not len(n) or -(1 << 31) <= int(n.min()) and int(n.max()) < 1 << 31
+    return (n.astype(np.int32) if small else n).tobytes()
+
+
+def _unpacked(raw: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(raw, np.int64 if len(raw) == 8 * count else np.int32).astype(np.int64)
+
+
+def _pair(k, v) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and numbers of a row's two binary columns."""
+    keys = _numbers(k.as_py())
+    return keys, _unpacked(v.as_py(), len(keys))
+
+
 def _rows(columns: dict[str, list]) -> pa.RecordBatch:
     types = {"kind": pa.int32(), "keys": pa.binary(), "vals": pa.binary()}
     return pa.record_batch([pa.array(v, types.get(k, pa.int64())) for k, v in columns.items()], list(columns))
@@ -191,7 +207,7 @@ def _by_shard(kind: int, block: int, keys: np.ndarray, n: np.ndarray) -> pa.Reco
     first = np.flatnonzero(np.diff(shard, prepend=-1))
     ends = [*first[1:], len(shard)]
     return _rows({"kind": [kind] * len(first), "block": [block] * len(first), "shard": shard[first].tolist(),
-                  "keys": [keys[a:b].tobytes() for a, b in zip(first, ends)], "vals": [n[a:b].tobytes() for a, b in zip(first, ends)]})
+                  "keys": [keys[a:b].tobytes() for a, b in zip(first, ends)], "vals": [_packed(n[a:b]) for a, b in zip(first, ends)]})
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,11 +291,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = Counts()
         for part in parts:
             for k, v in zip(part.column("keys"), part.column("vals")):
-                total.add(_numbers(k.as_py()), _numbers(v.as_py()))
+                total.add(*_pair(k, v))
         keys, n = total.merged()
         keys, n = keys[n > 0], n[n > 0]
         for a in range(0, len(keys), 1 << 19):
-            yield _rows({"kind": [kind], "block": [block], "shard": [shard], "keys": [keys[a: a + (1 << 19)].tobytes()], "vals": [n[a: a + (1 << 19)].tobytes()]})
+            yield _rows({"kind": [kind], "block": [block], "shard": [shard], "keys": [keys[a: a + (1 << 19)].tobytes()], "vals": [_packed(n[a: a + (1 << 19)])]})
 
 
 def merged(rows: DataFrame, salts: int) -> DataFrame:
@@ -298,9 +314,9 @@ def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for kind, k, v in zip(*(batch.column(c).to_pylist() for c in ("kind", "keys", "vals"))):
             if kind == GRAMS:
-                pairs.add(*_distinct(_numbers(k) & ((1 << 18) - 1), _numbers(v)))
+                pairs.add(*_distinct(_numbers(k) & ((1 << 18) - 1), _unpacked(v, len(k) // 8)))
             else:
-                total, distinct = total + int(_numbers(v).sum()), distinct + len(k) // 8
+                total, distinct = total + int(_unpacked(v, len(k) // 8).sum()), distinct + len(k) // 8
     keys, n = pairs.merged()
     yield pa.record_batch([pa.array([-1, -2, *keys.tolist()], pa.int64()), pa.array([total, distinct, *n.tolist()], pa.int64())], ["k", "n"])
 
@@ -371,9 +387,9 @@ class Trie:
             n = level.count(grams)
             total, distinct, more = level.of(grams)
             left, new = total - taken, distinct - seen  # without what longer contexts have
-            whole = np.maximum(left + new, 1)
+            whole = 2 * np.maximum(left, 1)
             known = distinct > 0
-            p = np.where(open_ & known, p * np.where(n > 0, n / whole, np.where(left + new > 0, new / whole, 1.0)), p)
+            p = np.where(open_ & known, p * np.where(n > 0, (2 * n - 1) / whole, np.where(left > 0, new / whole, 1.0)), p)
             open_ &= ~(known & (n > 0))
             taken, seen = np.where(known, more, 0), np.where(known, distinct, 0)
         p = np.where(open_, p / np.maximum(SYMBOLS - seen, 1), p)
@@ -389,7 +405,7 @@ def _answer(pairs: np.ndarray, n: np.ndarray):
             if (kind, shard, salt) != at:
                 at, model = (kind, shard, salt), (np.zeros(0, np.int64),) * 2
             if side == 0:
-                got = [(_numbers(k.as_py()), _numbers(v.as_py())) for part in parts for k, v in zip(part.column("keys"), part.column("vals"))]
+                got = [_pair(k, v) for part in parts for k, v in zip(part.column("keys"), part.column("vals"))]
                 model = _distinct(np.concatenate([k for k, _ in got]), np.concatenate([v for _, v in got]))
                 continue
             if kind == GRAMS:
@@ -404,7 +420,7 @@ def _answer(pairs: np.ndarray, n: np.ndarray):
                     new = np.rint(trie.log10(keys) * UNIT).astype(np.int64) if kind == GRAMS else _lookup(*model, keys)
                     cuts = ends[a:b] - (ends[a - 1] if a else 0)
                     yield _rows({"kind": [kind] * (b - a), "block": block[a:b], "shard": [0] * (b - a), "keys": raw[a:b],
-                                 "vals": [new[x:y].tobytes() for x, y in zip([0, *cuts[:-1]], cuts)]})
+                                 "vals": [_packed(new[x:y]) for x, y in zip([0, *cuts[:-1]], cuts)]})
                     a = b
     return run
 
@@ -420,7 +436,7 @@ def _scored(total: int, distinct: int, end: int):
             if block != at:
                 at, known = block, {GRAMS: (np.zeros(0, np.int64),) * 2, WORDS: (np.zeros(0, np.int64),) * 2}
             if kind != TEXTS:
-                got = [(_numbers(k.as_py()), _numbers(v.as_py())) for part in parts for k, v in zip(part.column("keys"), part.column("vals"))]
+                got = [_pair(k, v) for part in parts for k, v in zip(part.column("keys"), part.column("vals"))]
                 keys, vals = (np.concatenate(x) for x in zip(*got))
                 order = np.argsort(keys)
                 known[kind] = keys[order], vals[order]
@@ -500,7 +516,7 @@ t{ORDER} AS MATERIALIZED (SELECT g AS x, count(*) AS n FROM g WHERE NOT held GRO
     for j in reversed(range(ORDER + 1)):
         left = f"(c{j} - {f'e{j + 1}' if j < ORDER else '0'})"
         new = f"(d{j} - {f'd{j + 1}' if j < ORDER else '0'})"
-        steps.append(f"CASE WHEN ({done}) OR d{j} = 0 THEN 1.0::DOUBLE WHEN n{j} > 0 THEN n{j}::DOUBLE / ({left} + {new}) WHEN {left} + {new} > 0 THEN {new}::DOUBLE / ({left} + {new}) ELSE 1.0::DOUBLE END")
+        steps.append(f"CASE WHEN ({done}) OR d{j} = 0 THEN 1.0::DOUBLE WHEN n{j} > 0 THEN (2 * n{j} - 1)::DOUBLE / (2 * {left}) WHEN {left} > 0 THEN {new}::DOUBLE / (2 * {left}) ELSE 1.0::DOUBLE END")
         done = f"{done} OR n{j} > 0"
     p = " * ".join(f"({s})" for s in steps) + f" * CASE WHEN {done} THEN 1.0::DOUBLE ELSE 1.0::DOUBLE / greatest({SYMBOLS} - d0, 1) END"
     out.append(f"l AS MATERIALIZED (SELECT g, round(log10({p}) * {UNIT:.0f})::BIGINT AS lp FROM (SELECT q.g, {', '.join(cols)} FROM (SELECT DISTINCT g FROM g) q {' '.join(joins)}))")
