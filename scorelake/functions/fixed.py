@@ -116,16 +116,6 @@ LABEL_PAYMENT = "Historial de morosidad (12 meses)"
 LABEL_DISTRICT = "Distrito de residencia"
 LABEL_EDUCATION = "Nivel educativo"
 
-# --- FIXED VALUES: published comparison of the four training iterations -----
-# (name, auc_train, auc_test, gap, accuracy, f1_riesgo); used as a test fixture
-PUBLISHED_RUNS = [
-    ("Iter 1 Baseline", 0.9792, 0.8351, 0.1442, 0.7450, 0.5938),
-    ("Iter 2 SMOTE-NC", 0.9855, 0.8190, 0.1665, 0.8060, 0.5941),
-    ("Iter 3 Ablation", 0.9901, 0.8230, 0.1672, 0.8160, 0.6052),
-    ("Iter 4 Hardened", 0.8844, 0.8615, 0.0229, 0.8000, 0.6454),
-]
-
-
 def item_code(position: int) -> str:
     """1-based dictionary position -> stable column-safe code (q01..q30)."""
     return f"q{position:02d}"

@@ -97,19 +97,19 @@ def perturb(answers: DataFrame, counts=None, seed: int = fixed.RANDOM_SEED) -> D
                     changed.alias("cambiado"))
 
 
-def sensitivity(answers: DataFrame, scored: DataFrame, weights: dict, header: dict, counts=None,
-                seed: int = fixed.RANDOM_SEED) -> DataFrame:
+def sensitivity(scored: DataFrame, weights: dict, header: dict, counts=None, seed: int = fixed.RANDOM_SEED) -> DataFrame:
     """Per (applicant, n): p of the trained scorecard, p with n answers
     changed, delta, tier change.
 
-    An additive score moves by the changed items' weights only, so an
-    applicant's answers (at most 30) are gathered once, and inside the row the
-    n smallest hashes are picked for each n: no replicas and no sort across
-    the network.  ``scored`` has id, logit and p; answers levels are 1..5.
+    An additive score moves by the changed items' weights only, so the answers
+    given (at most 30) are taken from the scored row's own columns, and inside
+    the row the n smallest hashes are picked for each n: no second aggregate of
+    the answers, no join, no replicas.  ``scored`` has id, logit, p and a text
+    column per item; unanswered items hold no level of the scale.
     """
     counts = counts or fixed.PERTURBATION_COUNTS
-    items = answers.groupBy("applicant").agg(F.collect_list(F.struct("item", "level")).alias("a"))
-    rows = items.join(scored.select(F.col("id").alias("applicant"), "logit", "p"), "applicant")
+    given = F.filter(F.array(*[F.struct(F.lit(c).alias("item"), C.level_index(c).alias("level")) for c in fixed.ITEM_CODES]), lambda x: x["level"].isNotNull())
+    rows = scored.select(F.col("id").alias("applicant"), "logit", "p", given.alias("a")).where(F.size("a") > 0)
     table = {f"{f}~{i + 1}": dict(weights[f]).get(name, header[f]["unseen"]) for f in fixed.ITEM_CODES for i, name in enumerate(fixed.LIKERT_LEVELS)}
     card = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     weight = lambda x, level: F.try_element_at(card, F.concat_ws("~", x["item"], level.cast("string")))

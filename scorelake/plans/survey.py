@@ -142,4 +142,4 @@ def sensitivity(spark, sf_dir):
     """Every applicant rescored by the trained 32-feature card with 1, 2,
     3, 5 of the answers given changed (unanswered items keep their level)."""
     m = model(spark, sf_dir)
-    return W.sensitivity(td.answers_long(spark, sf_dir), m.scored(), scorecard.in_row_weights(m.card, m.header), m.header)
+    return W.sensitivity(m.scored(), scorecard.in_row_weights(m.card, m.header), m.header)
