@@ -606,12 +606,6 @@ def _kept_rows(rows: list[tuple]) -> pa.RecordBatch:
                            ["doc_id", "n_bytes", "kept", "spans"])
 
 
-def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of what stage E keeps, a row for every text."""
-    for _, _, text, kept, spans in _left(_Removed(batches)):
-        yield pa.record_batch([[_digest(text)], [len(text) - len(kept)], [len(spans)], [hashlib.sha256(kept).hexdigest()]], ["digest", "first_removed", "first_spans", "first_sha"])
-
-
 def _text_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ids, sizes and digests, and the texts under SPAN bytes themselves."""
     for batch in batches:
