@@ -11,6 +11,7 @@ from ..operators import audit as A
 from ..operators import prepare as P
 from ..operators import runs as RN
 from ..operators import scorecard
+from ..operators.gbt import fingerprint
 from ..session import shared_path
 from ..sources import files
 from ..sources import testdata as td
@@ -161,9 +162,13 @@ RUNS_SQL = _run_sql()
 
 
 def _runs(spark, sf_dir):
-    table = RN.runs_table(labeled(spark, sf_dir))
-    path = files.append_runs(table, shared_path(spark, "runs"))
-    return files.read_runs(spark, path)
+    """The registry's runs of this experiment, recorded if they are not there yet."""
+    rows = labeled(spark, sf_dir)
+    name = fingerprint(rows.withColumn("split", F.lit("all")), {"features": RN.ALL_FEATURES, "runs": RN.RUN_CONFIGS})
+    home = shared_path(spark, "runs", unique=False)
+    if not files.finished(spark, f"{home}/experiment={name}"):
+        files.append_runs(RN.runs_table(rows), home, name)
+    return files.read_runs(spark, home).where(F.col("experiment") == name)
 
 
 @query("runs_log", RUNS_SQL + "SELECT * FROM runs")

@@ -50,12 +50,12 @@ who AS (
   SELECT applicant AS id, CASE WHEN applicant % 11 = 0 THEN ' ' ELSE 'Postulante ' || CAST(applicant AS VARCHAR) END AS nombre, 10 + applicant % 80 AS edad,
          {sql_list(fixed.TRAIN_DISTRICTS)}[applicant % {len(fixed.TRAIN_DISTRICTS)} + 1] AS distrito,
          {sql_list(fixed.TRAIN_EDUCATION)}[applicant % {len(fixed.TRAIN_EDUCATION)} + 1] AS nivel,
-         CASE WHEN applicant % 13 <> 0 THEN 'x' END AS trabajo,
+         CASE WHEN applicant % 13 <> 0 THEN {sql_list(fixed.TRAIN_JOBS)}[applicant % {len(fixed.TRAIN_JOBS)} + 1] END AS puesto,
          bool_or(code IS NULL) AS otra, bool_or(code IS NOT NULL AND n_values > 1) AS lista, count(DISTINCT code) AS n
   FROM named GROUP BY applicant),
 checked AS MATERIALIZED (
   SELECT *, list_filter([CASE WHEN trim(nombre) = '' THEN 'nombre' END, CASE WHEN edad < {fixed.AGE_MIN} OR edad > {fixed.AGE_MAX} THEN 'edad' END,
-                         CASE WHEN trabajo IS NULL THEN 'situacion_laboral' END, CASE WHEN otra THEN 'desconocida' END,
+                         CASE WHEN puesto IS NULL THEN 'situacion_laboral' END, CASE WHEN otra THEN 'desconocida' END,
                          CASE WHEN lista THEN 'lista' END, CASE WHEN n < {len(fixed.ITEM_CODES)} THEN 'falta' END], lambda x: x IS NOT NULL) AS codes FROM who),
 wide AS (
   SELECT id, f.feature, f.level FROM (
@@ -119,15 +119,22 @@ def stream_quarantine(spark, sf_dir):
 
 @query("stream_explained", _SCORED_SQL + f"""
 , ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(abs(phi), 9) DESC, feature) AS r FROM terms)
-SELECT id, {r6('(SELECT min(intercept) + sum(mean_w) FROM consts)')} AS base_value, string_agg(feature, ',' ORDER BY r) FILTER (r <= {fixed.TOP_FEATURES}) AS features,
+SELECT r.id, c.nombre, c.puesto AS situacion_laboral, {policy_case('p', 'estado')} AS estado, {policy_case('p', 'monto')} AS monto,
+       {r6('(SELECT min(intercept) + sum(mean_w) FROM consts)')} AS base_value,
+       '{{"features":["' || string_agg(r.feature, '","' ORDER BY r) FILTER (r <= {fixed.TOP_FEATURES}) || '"]}}' AS documento, string_agg(feature, ',' ORDER BY r) FILTER (r <= {fixed.TOP_FEATURES}) AS features,
        string_agg(level, '|' ORDER BY r) FILTER (r <= {fixed.TOP_FEATURES}) AS inputs, {r6(f'sum(phi) FILTER (r <= {fixed.TOP_FEATURES})')} AS suma
-FROM ranked GROUP BY id""")
+FROM ranked r JOIN checked c ON c.id = r.id JOIN result ON result.id = r.id GROUP BY ALL""")
 def stream_explained(spark, sf_dir):
-    """W1 + G2: the explanation document that each stored prediction holds."""
+    """W1 + G2: the stored users, evaluations and predictions joined, each with
+    job, decision and the one explanation document that its prediction holds,
+    which becomes JSON only here."""
     base, _ = _run(spark, sf_dir)
     top = F.col("explicacion.top_features")
-    return SS.read_table(spark, base, "predictions").select(
-        "id", C.r6("explicacion.base_value").alias("base_value"), F.array_join(F.transform(top, lambda x: x["feature"]), ",").alias("features"),
+    joined = (SS.read_table(spark, base, "evaluations").select("id")
+              .join(SS.read_table(spark, base, "predictions"), "id").join(SS.read_table(spark, base, "users").select("id", "nombre", "situacion_laboral"), "id"))
+    return joined.select(
+        "id", "nombre", "situacion_laboral", "estado", "monto", C.r6("explicacion.base_value").alias("base_value"),
+        F.to_json(F.struct(F.transform(top, lambda x: x["feature"]).alias("features"))).alias("documento"), F.array_join(F.transform(top, lambda x: x["feature"]), ",").alias("features"),
         F.array_join(F.transform(top, lambda x: x["input_value"]), "|").alias("inputs"),
         C.r6(F.aggregate(top, F.lit(0.0), lambda s, x: s + x["shap_value"])).alias("suma"))
 

@@ -30,7 +30,6 @@ from ..functions import fixed
 from ..operators import prepare as P
 from ..operators import reconcile as R
 from ..operators import scorecard as S
-from ..session import fits_broadcast
 from ..sources import files
 
 #: Names that a document may hold: the questions, and the payment question,
@@ -48,23 +47,6 @@ TABLES = {
 }
 
 
-def attach_users(subs: DataFrame, users: DataFrame, max_broadcast_rows: int = 100_000, salts: int | None = None) -> DataFrame:
-    """Left join of submissions with a static users table.
-
-    Broadcast when the table is proven small; otherwise a salted shuffle join:
-    streaming has no adaptive skew handling, and one user may send a third of
-    a micro-batch, so submissions spread over ``salts`` salts (by default as
-    many as there are shuffle partitions) by a hash of their id and every user
-    row is replicated once per salt.
-    """
-    if fits_broadcast(users, max_broadcast_rows):
-        return subs.join(F.broadcast(users), "usuario_id", "left")
-    salts = salts or int(subs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = subs.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
-    rep = users.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(rep, ["usuario_id", "_salt"], "left").drop("_salt")
-
-
 # ---------------------------------------------------------------- T1
 def aligned(docs: DataFrame) -> DataFrame:
     """The model's row of every request document (id, time, data, user_info):

@@ -115,15 +115,6 @@ def test_manifest_hash_matches_hashlib(spark, tmp_path):
         assert hashlib.sha256(open(local, "rb").read()).hexdigest() == r["sha256"]
 
 
-def test_salted_user_join_equals_plain_join(spark):
-    from scorelake.streaming import submissions as SS
-    subs = spark.createDataFrame([(i, i % 3 if i < 90 else 7) for i in range(120)], "id long, usuario_id long")
-    users = spark.createDataFrame([(u, f"u{u}") for u in range(5)], "usuario_id long, nombre string")
-    salted = SS.attach_users(subs, users, max_broadcast_rows=1)   # forces the salted path
-    plain = subs.join(users, "usuario_id", "left")
-    assert sorted(salted.collect()) == sorted(plain.select(*salted.columns).collect())
-
-
 @pytest.mark.parametrize("n", [50, 400, 600])
 def test_newest_candidates_match_full_join(spark, n):
     import datetime as dt
