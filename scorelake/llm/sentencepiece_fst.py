@@ -17,8 +17,8 @@ segment by segment, and the path of least weight in the tropical semiring
 
 No piece spans a cut between a non-space and a space, so segments are
 composed one at a time; those that recur are looked up. Both memories are
-bounded in bytes and emptied at the end of a partition, so that a worker keeps
-only the compiled model. Rows are handled in place, without any shuffle.
+bounded in bytes for each worker and last as long as it does. Rows are handled
+in place, without any shuffle.
 
 Cases: null texts count as empty and have no ids; texts of any length are
 encoded whole (time and memory in proportion); repeated rows are encoded
@@ -44,7 +44,7 @@ SPACE = "▁"
 #: Segments up to this long are remembered.
 SHORT = 48
 #: Bytes that each of a worker's two memories may take, by the estimates below.
-MEMORY = 40 << 20
+MEMORY = 64 << 20
 #: Bytes of a pair's entry and of a segment's, without its letters and ids.
 _PAIR, _ENTRY = 110, 190
 UNKNOWN_PENALTY = 10.0
@@ -281,7 +281,6 @@ def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", ou
             if same_col:
                 new.append(pa.array([fst.decode(i.tolist()) == t for i, t in zip(ids, texts)], pa.bool_()))
             yield pa.record_batch([*batch.columns, *new], [f"c{i}" for i in range(batch.num_columns + len(new))])
-        fst.forget()
 
     kept = [(i, f) for i, f in enumerate(docs.schema) if f.name not in added]
     return _by_place(docs, run, [T.ArrayType(T.IntegerType()), T.BooleanType()][: len(added)], added, kept)
@@ -329,6 +328,5 @@ def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), _lists(ids), pa.array([len(i) for i in ids], pa.int64()),
                                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]), pa.array([a == b for a, b in zip(texts, back)])],
                                   ["doc_id", "ids", "n_ids", "decoded_sha256", "same"])
-        fst.forget()
 
     return rows.mapInArrow(run, "doc_id long, ids array<int>, n_ids long, decoded_sha256 string, same boolean")
