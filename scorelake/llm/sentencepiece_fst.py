@@ -44,7 +44,7 @@ SPACE = "▁"
 #: Segments up to this long are remembered.
 SHORT = 48
 #: Bytes that each of a worker's two memories may take, by the estimates below.
-MEMORY = 64 << 20
+MEMORY = 40 << 20
 #: Bytes of a pair's entry and of a segment's, without its letters and ids.
 _PAIR, _ENTRY = 110, 190
 UNKNOWN_PENALTY = 10.0
