@@ -101,16 +101,43 @@ def fuzzy_map(inputs: DataFrame, canonical: DataFrame, cutoff: float = fixed.FUZ
     return out_exact.unionByName(out_rest)
 
 
+#: Edits within which a key is first compared with a vocabulary.
+NEAR = 2
+
+
+def _once(value, body):
+    """``body(value)`` with ``value`` worked out once: a column that is named
+    twice inside a lambda is worked out twice there."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def known_name(key, names: dict[str, str], cutoff: float = fixed.FUZZY_CUTOFF):
     """J2 inside a row: the code that ``names`` (a fixed vocabulary, name → code)
     gives a key, exactly or by its most similar name (ties to the smaller name)
     at ``cutoff``; null when there is none. Only keys without an exact match
-    are compared."""
+    are compared, first as far as ``NEAR`` edits. A name farther away is at most
+    |key| / (|key| + NEAR + 1) alike; only where nothing beats that, the key is
+    compared as far as the cutoff allows: a key at least ``cutoff`` alike has
+    |name| / cutoff characters at most, so the name bounds its distance."""
     ordered = sorted(names)
-    exact = F.try_element_at(F.create_map(*[F.lit(x) for n in ordered for x in (n, names[n])]), key)
-    close = F.array_max(F.array(*[F.struct(similarity(key, F.lit(n)).alias("sim"), F.lit(-i).alias("at"), F.lit(names[n]).alias("code"))
-                                  for i, n in enumerate(ordered)]))
-    return F.when(exact.isNotNull(), exact).when(close["sim"] >= cutoff, close["code"])
+    codes = F.create_map(*[F.lit(x) for n in ordered for x in (n, names[n])])
+
+    def sim(k, n: str, near: bool):
+        far = int(len(n) * (1.0 - cutoff) / cutoff + 1e-9) if cutoff > 0 else None
+        if not near and far is None:
+            return similarity(k, F.lit(n))
+        d = F.levenshtein(k, F.lit(n), NEAR if near else far)
+        return F.when(d >= 0, F.lit(1.0) - d / F.greatest(F.length(k), F.lit(len(n))))
+
+    def best(k, near: bool):
+        return F.array_max(F.array(*[F.struct(sim(k, n, near).alias("sim"), F.lit(-i).alias("at"), F.lit(names[n]).alias("code")) for i, n in enumerate(ordered)]))
+
+    def fuzzy(k):
+        sure = lambda c: c["sim"] > F.length(k) / (F.length(k) + F.lit(NEAR + 1)) + F.lit(1e-12)
+        found = _once(best(k, True), lambda c: F.when(sure(c), c).otherwise(best(k, False)))
+        return _once(found, lambda c: F.when(c["sim"] >= cutoff, c["code"]))
+
+    return _once(key, lambda k: F.coalesce(F.try_element_at(codes, k), fuzzy(k)))
 
 
 def named_entries(data, names: dict[str, str], cutoff: float = fixed.FUZZY_CUTOFF):

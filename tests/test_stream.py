@@ -2,6 +2,7 @@
 commit, replays, model versions."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,3 +107,31 @@ def test_run_registry(spark, tmp_path):
     assert files.read_runs(spark, path).count() == 2  # a writer that hasn't finished is not read
     files.append_runs(row("b", "9"), path, "half")
     assert files.read_runs(spark, path).count() == 3
+
+
+def test_known_name_is_the_closest_of_all_names(spark):
+    """Two-stage comparison against the plain one: every name, whole distance."""
+    rnd = random.Random(3)
+    names = {**SS.NAMES, "abcdefgh": "s", "abcdefgx": "t", "abcdefgh ij": "u"}
+    keys = []
+    for n in names:
+        for edits in (0, 1, 2, 3, len(n) // 8, len(n) // 7, len(n) // 6, len(n) // 5):
+            k = list(n)
+            for _ in range(edits):
+                at = rnd.randrange(len(k))
+                k[at:at + rnd.randint(0, 1)] = rnd.choice(["", "x", "é"])
+            keys.append("".join(k))
+    df = spark.createDataFrame([(k,) for k in [*keys, "", "Otra cosa", "abcdefg", "abcdefghi", "abcdefgh i"]], "k string")
+    every = F.array_max(F.array(*[F.struct(R.similarity(F.col("k"), F.lit(n)).alias("s"), F.lit(-i).alias("at"), F.lit(names[n]).alias("c")) for i, n in enumerate(sorted(names))]))
+    got = df.select("k", R.known_name(F.col("k"), names).alias("got"), F.when(every["s"] >= fixed.FUZZY_CUTOFF, every["c"]).alias("want")).collect()
+    assert [r for r in got if r.got != r.want] == [] and len({r.got for r in got}) == len(names) + 1
+
+
+def test_a_key_is_cleaned_once_and_not_compared_beyond_the_cutoff(spark, monkeypatch):
+    """A key was cleaned again for each use (62), and each comparison was whole."""
+    limits, levenshtein = [], F.levenshtein
+    monkeypatch.setattr(F, "levenshtein", lambda a, b, limit=None: limits.append(limit) or levenshtein(a, b, limit))
+    rows = spark.range(1).select(R.named_entries(F.create_map(F.col("id").cast("string"), F.array(F.lit("x"))), SS.NAMES).alias("e"))
+    assert len(limits) == 2 * len(SS.NAMES) and None not in limits and max(limits) < 40
+    assert rows._jdf.queryExecution().analyzed().toJSON().count("expressions.RLike") < 5
+    assert rows.first().e[0].code is None
