@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import resample as RS
 from ..operators.split import stratified_split
+from ..session import cut_lineage
 from ..sources import testdata as td
 from .model import split_frame
 from .modelsql import split_ctes
@@ -34,8 +35,10 @@ def vdm_table(spark, sf_dir):
 
 
 def _survey(spark, sf_dir):
-    rows = td.survey_applicants(spark, sf_dir).withColumn("label", C.target_code("target"))
-    return stratified_split(rows, "label", "id", 20, 0).filter(F.col("split") == "train")
+    """The training rows, stored: the answers are aggregated once, not for each
+    of the split's and the oversampling's passes."""
+    rows = cut_lineage(td.survey_applicants(spark, sf_dir).withColumn("label", C.target_code("target")))
+    return cut_lineage(stratified_split(rows, "label", "id", 20, 0).filter(F.col("split") == "train"))
 
 
 @query("smoten")

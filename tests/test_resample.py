@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,27 @@ def test_a_single_minority_row_is_copied(spark):
     df = spark.createDataFrame([(1, "a", 2.0, 1), (2, "b", 3.0, 0), (3, "b", 4.0, 0), (4, None, 5.0, 0)], "id long, f string, t double, label int")
     assert sorted((r.f, r.t) for r in RS.oversample(df, ["f"], ["t"], "label", 5).collect()) == [("a", 2.0), ("a", 2.0)]
     assert RS.oversample(df.where("label = 0"), ["f"], ["t"], "label", 5).count() == 0
+
+
+def test_survey_rows_are_stored_before_they_are_passed_over(spark):
+    """Splits and oversampling aggregated all answers anew in every pass."""
+    from scorelake.plans import resample, trees
+
+    from conftest import SF_SMALL
+    for rows in (resample._survey(spark, SF_SMALL), trees._labeled(spark, SF_SMALL)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "parquet" not in plan.lower() and "Aggregate" not in plan
+
+
+def test_distances_are_the_plain_ones_in_a_small_buffer():
+    """Sums in the same order, whatever the number of rows; an own place with one row has none to give."""
+    rnd = np.random.default_rng(2)
+    for rows in (0, 1, N.ROWS, 2 * N.ROWS + 3):
+        a, b = rnd.random((rows, 7)), rnd.random((5, 7))
+        want = np.zeros((rows, 5))
+        for d in range(7):
+            want += np.abs(a[:, d, None] - b[None, :, d])
+        assert (N.distances(a, b) == want).all()
+    ids, pts = np.array(["a", "b", "c"], object), np.array([[0.0], [1.0], [3.0]])
+    got = N._nearest(ids, pts, ids, pts, np.array([1, 2, 0]), {"a": [0], "b": [1], "c": [2]}, 2)
+    assert [x.tolist() for x in got] == [[0, 1, 1, 2, 2], [1, 1, 0, 1, 0], [1.0, 0.0, 1.0, 2.0, 3.0], [2, 1, 1, 2, 1]]
