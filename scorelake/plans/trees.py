@@ -11,7 +11,7 @@ from ..operators import gbt as G
 from ..operators import runs as RN
 from ..operators import treeshap as TS
 from ..operators.split import stratified_split
-from ..session import shared_path
+from ..session import cut_lineage, shared_path
 from ..sources import files
 from ..sources import testdata as td
 from .registry import query
@@ -26,12 +26,14 @@ def _home(spark) -> str:
 
 
 def _labeled(spark, sf_dir):
-    return td.survey_applicants(spark, sf_dir).withColumn("label", C.target_code("target"))
+    """The survey's rows, stored: the answers are aggregated once, not for each
+    pass of splits, fits and scores."""
+    return cut_lineage(td.survey_applicants(spark, sf_dir).withColumn("label", C.target_code("target")))
 
 
 def _fit(spark, sf_dir):
     """The hardened run's rows and its model: fitted once, then loaded."""
-    rows = stratified_split(_labeled(spark, sf_dir), "label", "id", HARDENED["test_pct"], HARDENED["val_pct"])
+    rows = cut_lineage(stratified_split(_labeled(spark, sf_dir), "label", "id", HARDENED["test_pct"], HARDENED["val_pct"]))
     model, best = G.stored_fit(rows, HARDENED, _home(spark))
     return rows, model, best
 
