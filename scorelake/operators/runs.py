@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import fixed
+from ..session import cut_lineage
 from . import metrics as M
 from . import scorecard as S
 from .split import stratified_split
@@ -159,7 +160,8 @@ def gbt_run_metrics(labeled: DataFrame, cfg: dict, base: str) -> DataFrame:
     feats = cfg["features"]
     rows = stratified_split(labeled, "label", "id", cfg["test_pct"], cfg["val_pct"]).persist()
     try:
-        fit_rows = rows if cfg["oversample"] == "none" else with_synthetic(rows, feats, cfg["oversample"], [f for f in ("edad",) if f in feats])
+        # stored: the fingerprint, the indexer and the trees read the synthetic rows, which are made once
+        fit_rows = rows if cfg["oversample"] == "none" else cut_lineage(with_synthetic(rows, feats, cfg["oversample"], [f for f in ("edad",) if f in feats]))
         model, best = G.stored_fit(fit_rows, cfg, base)
         return _summary(G.score(model, rows, feats), "p", cfg["name"], bool(cfg["val_pct"]), trees_used=best)
     finally:
