@@ -113,7 +113,7 @@ def store_pipeline(model, trees: int, rows: DataFrame, features, base: str) -> d
     spark = rows.sparkSession
     paths = {"model": f"{base}/model", "metrics": f"{base}/metrics", "files": f"{base}/files"}
     model.write().overwrite().save(paths["model"])
-    files.write_json(tree_metrics(model, rows, features, trees), paths["metrics"])
+    files.write_json(tree_metrics(model, rows, features, trees).coalesce(1), paths["metrics"])  # one row: no empty file beside it
     file_table(spark, paths["model"]).write.mode("overwrite").parquet(paths["files"])
     return paths
 
