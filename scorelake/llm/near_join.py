@@ -19,8 +19,12 @@ blocks, and a block is joined by a signature tree:
    tiles are joined with themselves and with each other, so every pair is in
    one tile or pair of tiles. Two sets can meet in the blocks of two size
    classes; they count in that of the smaller set's class.
-   Where only one text of each group is wanted (``keep_one_of_each``), tiles get
-   some common pivots and are joined with themselves, and then only those pairs
+   Where only one text of each group is wanted (``keep_one_of_each``), the sets of
+   such a block first meet once more, by keys that each cover twice as much of a
+   set (``finer_keys``): a passage that many texts hold makes a part agree here and
+   there, and chains of such meetings grow into blocks of a large share of all
+   sets, of which each tile would travel to each other. What then still is large
+   gets tiles, with some common pivots and are joined with themselves, and then only those pairs
    of tiles with each other that do not already lie in one component.
 4. In a tile sets are sorted by size and packed into a tree. A node holds the
    OR of its members' token bitmaps, their size range and the largest number
@@ -65,6 +69,12 @@ LEAF, FAN = 16, 4
 SALTS = 32
 #: From this many parts on, empty parts need no further keys.
 ENOUGH_PARTS = 28
+#: Finer keys: each is over CELLS cells, of which a part has SPLIT, drawn at
+#: random, so differences leave one alone with a chance of (1 - 1/SPLIT) ** CELLS
+#: or a little less, and all of them hold one with a chance below 1e-11.
+SPLIT, CELLS, FINER = 8, 16, 208
+#: Classes of fewer parts have no finer keys: their sets have some 30 shingles.
+FEW_PARTS = 8
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -165,6 +175,27 @@ def keys_of(s: np.ndarray, num: int, den: int) -> list[np.ndarray]:
     return every
 
 
+@lru_cache(maxsize=64)
+def _cells(c: int, parts: int) -> np.ndarray:
+    """The cells of each finer key of a class, the same for all its sets."""
+    rng = np.random.default_rng(c)
+    return np.stack([rng.choice(SPLIT * parts, CELLS, replace=False) for _ in range(FINER)])
+
+
+def finer_keys(s: np.ndarray, c: int, num: int, den: int) -> np.ndarray:
+    """Keys by which a set meets its partners of size class c (of ``FEW_PARTS``
+    parts or more): hashes of what it holds in some cells, none where it holds
+    nothing there."""
+    parts = size_classes(num, den)[1][c]
+    cell = (((s >> np.uint64(32)) * np.uint64(SPLIT * parts)) >> np.uint64(32)).astype(np.int64)
+    sums, held = np.zeros(SPLIT * parts, np.uint64), np.zeros(SPLIT * parts, bool)
+    np.add.at(sums, cell, mix64(s ^ _M))
+    held[cell] = True
+    at = _cells(c, parts)
+    tag = mix64(np.arange(FINER, dtype=np.uint64) * np.uint64(2) + np.uint64((c << 40) + (1 << 39)))
+    return mix64(sums[at].sum(1) + tag)[held[at].any(1)]
+
+
 # signature tree
 class SignatureTree:
     """Sets of a tile, packed in the order of size and smallest token."""
@@ -395,25 +426,65 @@ def _least_of_each(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.nd
     return key[start], node[start], np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1])
 
 
-def _meetings(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Edges (u, v) between nodes that share a key. Nodes of a pack (a task's
-    sets, about ``PACK`` keys) that share a key are joined there: the key
-    travels once, and one spanning edge for each node of theirs."""
-    buckets = 4 * shuffle_partitions(docs.sparkSession)
+def _meetings(docs: DataFrame, k: int, num: int, den: int, finer: bool = False) -> DataFrame:
+    """Edges (u, v) between nodes that share a key; ``finer``: in classes of more
+    than ``FINER`` parts a finer key, as these are fewer there."""
+    def keys(s: np.ndarray) -> list[np.ndarray]:
+        if not finer:
+            return keys_of(s, num, den)
+        parts, few = size_classes(num, den)[1], None
+        out = []
+        for i, c in enumerate(classes_of(len(s), num, den)):
+            if parts[c] > FINER:
+                out.append(finer_keys(s, c, num, den))
+            else:
+                few = few or keys_of(s, num, den)
+                out.append(few[i])
+        return out
+
+    def each(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+        seen = set()
+        for _, s in _sets_of(batch, k):
+            if not len(s):
+                continue
+            digest = _digest(s)
+            if digest in seen:  # a copy in the same batch has the same keys
+                continue
+            seen.add(digest)
+            yield nodes_of(digest, len(s), num, den), keys(s)
+
+    return _met(docs, each)
+
+
+def _finer_meetings(sets: DataFrame, wide: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Edges (u, v) between the ``wide`` nodes (doc_id, native) that share a finer key."""
+    def each(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+        asked = list(zip(batch.column("own").to_pylist(), batch.column("below").to_pylist()))
+        for at in range(0, batch.num_rows, 256):
+            for want, s in zip(asked[at:], _unpacked(batch.column("text").slice(at, 256).to_pylist(), k)):
+                each = zip(want, nodes_of(_digest(s), len(s), num, den), classes_of(len(s), num, den))
+                found = [(node, finer_keys(s, c, num, den)) for w, node, c in each if w and size_classes(num, den)[1][c] >= FEW_PARTS]
+                if found:
+                    yield [node for node, _ in found], [keys for _, keys in found]
+
+    asked = wide.groupBy("doc_id").agg(F.bool_or("native").alias("own"), F.bool_or(~F.col("native")).alias("below"))
+    return _met(sets.join(asked, "doc_id").select("text", "own", "below"), each)
+
+
+def _met(rows: DataFrame, each) -> DataFrame:
+    """Edges (u, v) between nodes that share a key; ``each`` makes a batch's
+    nodes and their keys. Nodes of a pack (about ``PACK`` keys of a batch) that
+    share a key are joined there: the key travels once, and one spanning edge
+    for each node of theirs."""
+    buckets = 4 * shuffle_partitions(rows.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, nodes, seen, held = [], [], set(), 0
-            for _, s in _sets_of(batch, k):
-                if not len(s):
-                    continue
-                digest = _digest(s)
-                if digest in seen:  # a copy in the same batch has the same keys
-                    continue
-                seen.add(digest)
-                keys += keys_of(s, num, den)
-                nodes += nodes_of(digest, len(s), num, den)
-                held += sum(map(len, keys[len(keys) - len(classes_of(len(s), num, den)):]))
+            keys, nodes, held = [], [], 0
+            for its, theirs in each(batch):
+                nodes += its
+                keys += theirs
+                held += sum(map(len, theirs))
                 if held > PACK:
                     yield pack(keys, nodes)
                     keys, nodes, held = [], [], 0
@@ -456,8 +527,8 @@ def _meetings(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 forest.join(u, v)
         yield from edge_batches(forest.stars())
 
-    packed = docs.mapInArrow(emit, "bucket int, edges boolean, key binary, node binary")
-    return packed.repartition(shuffle_partitions(docs.sparkSession), "bucket").mapInArrow(meet, "u long, v long")
+    packed = rows.mapInArrow(emit, "bucket int, edges boolean, key binary, node binary")
+    return packed.repartition(shuffle_partitions(rows.sparkSession), "bucket").mapInArrow(meet, "u long, v long")
 
 
 def _shipped(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
@@ -515,6 +586,34 @@ def _spanning_links(sets: DataFrame, placed: DataFrame, num: int, den: int, k: i
     return links
 
 
+def _placed(members: DataFrame) -> DataFrame:
+    """``members`` of blocks of two sets or more, with the block's tiles, their
+    own one and whether they are among its pivots."""
+    members = members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    part = members.groupBy("block", "salt").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("total"))
+    size = part.select("block", "salt").join(part.groupBy("block").agg(F.sum("count").alias("count"), F.sum("total").alias("total")), "block")
+    tiles = F.ceil(F.greatest(F.col("count") / TILE, F.col("total") / TILE_SHINGLES)).cast("int")
+    spread = F.xxhash64("doc_id", F.lit(1))
+    return cut_lineage(members.join(size, ["block", "salt"]).where("count > 1").withColumn("tiles", tiles)
+                       .withColumn("own", F.pmod(spread, F.col("tiles")).cast("int"))
+                       .withColumn("pivot", (F.col("tiles") > 1) & (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.ceil(F.col("count") / PIVOTS)) == 0)))
+
+
+def _split_wide(sets: DataFrame, placed: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``placed`` with the blocks of more than one tile cut into those whose sets
+    meet by finer keys; sets that meet none by them have no partner."""
+    low, parts = size_classes(num, den)
+    first = next(c for c, p in enumerate(parts) if p >= FEW_PARTS)
+    is_wide = (F.col("tiles") > 1) & (F.col("n") >= F.when(F.col("native"), low[first]).otherwise(low[first + 1]))
+    wide = placed.where(is_wide)
+    if not wide.limit(1).count():
+        return placed
+    finer = components(_finer_meetings(sets, wide.select("doc_id", "native"), k, num, den))
+    columns = ["doc_id", "digest", "n", "weight", "native", "node"]
+    again = wide.select(*columns).join(finer, "node").withColumnRenamed("component", "block").select(*columns, "block")
+    return _placed(cut_lineage(placed.where(~is_wide).select(*columns, "block").unionByName(again)))
+
+
 def near_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of every row: the smallest id
     that is reachable by links of Jaccard similarity num/den or more over the
@@ -529,18 +628,13 @@ def _groups(docs: DataFrame, k: int, num: int, den: int, counted: bool) -> DataF
     salted = rows.where("doc_id is not null and n > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     parts = salted.groupBy("digest", "salt").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("nodes").alias("nodes"), F.count(F.lit(1)).alias("weight"))
     reps = cut_lineage(parts.groupBy("digest").agg(F.min("rep").alias("rep"), F.first("n").alias("n"), F.first("nodes").alias("nodes"), F.sum("weight").alias("weight")))
-    blocks = components(_meetings(with_id, k, num, den))
+    blocks = components(_meetings(with_id, k, num, den, not counted))
     members = cut_lineage(reps.select("rep", "digest", "n", "weight", F.posexplode("nodes").alias("place", "node")).join(blocks, "node")
-                          .select(F.col("rep").alias("doc_id"), "digest", "n", "weight", (F.col("place") == 0).alias("native"), F.col("component").alias("block")))
-    members = members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-    part = members.groupBy("block", "salt").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("total"))
-    size = part.select("block", "salt").join(part.groupBy("block").agg(F.sum("count").alias("count"), F.sum("total").alias("total")), "block")
-    tiles = F.ceil(F.greatest(F.col("count") / TILE, F.col("total") / TILE_SHINGLES)).cast("int")
-    spread = F.xxhash64("doc_id", F.lit(1))
-    placed = cut_lineage(members.join(size, ["block", "salt"]).where("count > 1").withColumn("tiles", tiles)
-                         .withColumn("own", F.pmod(spread, F.col("tiles")).cast("int"))
-                         .withColumn("pivot", (F.col("tiles") > 1) & (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.ceil(F.col("count") / PIVOTS)) == 0)))
-    sets = cut_lineage(_shipped(with_id, placed.select("doc_id"), k))  # read by both rounds of tiles
+                          .select(F.col("rep").alias("doc_id"), "digest", "n", "weight", (F.col("place") == 0).alias("native"), "node", F.col("component").alias("block")))
+    placed = _placed(members)
+    sets = cut_lineage(_shipped(with_id, placed.select("doc_id"), k))  # read by the finer meetings and both rounds of tiles
+    if not counted:
+        placed = _split_wide(sets, placed, k, num, den)
     links = (_all_links if counted else _spanning_links)(sets, placed, num, den, k)
     groups = components(links.where("u is not null").select("u", "v")).withColumnsRenamed({"node": "rep", "component": "component_id"})
     by_class = reps.join(groups, "rep", "left").select("digest", "weight", F.coalesce("component_id", "rep").alias("component_id"))

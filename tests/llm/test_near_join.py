@@ -81,6 +81,16 @@ def test_large_block_is_tiled(spark, monkeypatch):
     assert len(set(want.values())) < len(want)
 
 
+@pytest.mark.parametrize("seed,rate", [(15, (0.0, 0.01, 0.03, 0.06)), (16, (0.1, 0.2))])
+def test_large_blocks_split_by_finer_keys(spark, monkeypatch, seed, rate):
+    monkeypatch.setattr(N, "TILE", 6)
+    rows = corpus(seed, 40, 12, (12, 25, 60, 150, 400, 1200), rate)
+    rows += [(rows[0][0], rows[1][1]), (5000, rows[0][1]), (5001, None)]
+    frame = spark.createDataFrame([(i, t, "", 0, 0) for i, t in rows], SCHEMA).repartition(4)
+    kept = {r.doc_id for r in N.keep_one_of_each(frame, 5, 8, 10).collect()}
+    assert kept == set(brute(rows, 5, 8, 10)[0].values())
+
+
 def test_keys_make_every_similar_pair_meet():
     rng = np.random.default_rng(4)
     for num, den in ((90, 100), (8, 10)):
@@ -99,6 +109,43 @@ def test_keys_make_every_similar_pair_meet():
                     assert any(len(np.intersect1d(mine[c], other[c])) for c in mine.keys() & other.keys()), (n, drop, num)
 
 
+def test_finer_keys_make_every_similar_pair_meet():
+    rng = np.random.default_rng(6)
+    for num, den in ((90, 100), (8, 10)):
+        low, parts = N.size_classes(num, den)
+        first = low[next(c for c, p in enumerate(parts) if p >= N.FEW_PARTS)]
+        for n in (first, first + 7, 200, 300, 1000, 5000):
+            s = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+            for drop in {0, int(n * (den - num) / den), int(n * (den - num) / den / 2)}:
+                left = rng.permutation(s)[: n - drop]
+                t = np.unique(np.concatenate((left, rng.integers(0, 2**63, max(0, (len(left) * den) // num - n), dtype=np.uint64) * np.uint64(2) + np.uint64(1))))
+                both = [c for c in N.classes_of(len(s), num, den) if c in N.classes_of(len(t), num, den) and parts[c] >= N.FEW_PARTS]
+                met = [len(np.intersect1d(N.finer_keys(s, c, num, den), N.finer_keys(t, c, num, den))) for c in both]
+                assert not both or any(met), (n, drop, num)
+
+
+def test_shared_passages_make_no_large_tiled_block(spark, monkeypatch):
+    """Texts that share passages, and nothing more, met in chains: all in one
+    block, of which every tile travelled to every other."""
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(5000)]
+    passages = [[rng.choice(vocab) for _ in range(90)] for _ in range(3)]
+    rows = []
+    for _ in range(240):
+        own = [rng.choice(vocab) for _ in range(210)]
+        rows.append(" ".join(own[:100] + rng.choice(passages) + own[100:]))
+    rows += [t + " more" for t in rows[:20]]
+    rows = list(enumerate(rows))
+    monkeypatch.setattr(N, "TILE", 12)
+    placed, sent, split, tile_links = [], [], N._split_wide, N._tile_links
+    monkeypatch.setattr(N, "_split_wide", lambda sets, before, *a: placed.append(before.where("tiles > 1").count()) or split(sets, before, *a))
+    monkeypatch.setattr(N, "_tile_links", lambda sets, members, *a: sent.append(members.count()) or tile_links(sets, members, *a))
+    frame = spark.createDataFrame([(i, t, "", 0, 0) for i, t in rows], SCHEMA).repartition(4)
+    kept = {r.doc_id for r in N.keep_one_of_each(frame, 5, 8, 10).collect()}
+    assert kept == set(brute(rows, 5, 8, 10)[0].values()) and len(kept) == 240
+    assert placed[0] > 200 and sum(sent) <= 3 * len(rows)
+
+
 def test_tree_join_against_all_pairs():
     rng = np.random.default_rng(0)
     for trial in range(20):
