@@ -126,3 +126,34 @@ def test_distances_are_the_plain_ones_in_a_small_buffer():
     ids, pts = np.array(["a", "b", "c"], object), np.array([[0.0], [1.0], [3.0]])
     got = N._nearest(ids, pts, ids, pts, np.array([1, 2, 0]), {"a": [0], "b": [1], "c": [2]}, 2)
     assert [x.tolist() for x in got] == [[0, 1, 1, 2, 2], [1, 1, 0, 1, 0], [1.0, 0.0, 1.0, 2.0, 3.0], [2, 1, 1, 2, 1]]
+
+
+def test_few_valued_features_send_no_more_than_k_results(spark, monkeypatch):
+    """A query's results came from every block that it visited, and each pair was summed feature by feature."""
+    rnd = random.Random(3)
+    levels = [[rnd.random() / 50 for _ in range(6)] for _ in range(32)]
+    pts = [(f"p{i}", rnd.choice([1, 1, 2]), [rnd.choice(v) for v in levels] + [rnd.randint(0, 79) / 790]) for i in range(300)]
+    pts += [(f"twin{i}", 1, pts[0][2]) for i in range(6)] + [("none", 0, pts[1][2]), ("odd", 1, [float("nan")] * 33)]
+    sent, take = [], N._take
+    monkeypatch.setattr(N, "_take", lambda found, k: sent.append(found.count()) or take(found, k))
+    got = {}
+    for r in N.knn(spark.createDataFrame(pts, "pid string, c long, vec array<double>"), 4, 20).collect():
+        got.setdefault(r["pid"], []).append((r["dist"], r["nid"], r["w"]))
+    for pid, want in brute(pts[:-1], 4).items():
+        mine = sorted(got[pid])
+        assert [(n, w) for _, n, w in mine] == [(n, w) for n, w, _ in want]
+        assert all(abs(a[0] - d) < 1e-9 for a, (_, _, d) in zip(mine, want))
+    assert "odd" not in got and max(sent) <= 2 * 4 * len(pts)
+
+
+def test_bounds_hold_every_near_pair():
+    rnd = np.random.default_rng(8)
+    values = {f: rnd.random(6).tolist() for f in range(5)} | {5: [0.5]}
+    vec = np.stack([np.array(values[f])[rnd.integers(0, len(values[f]), 200)] for f in range(6)] + [1e6 + rnd.random(200)], 1)
+    space = N.Space(7, values, vec.min(0).tolist(), vec.max(0).tolist())
+    reach = rnd.random(200) * 2
+    q, o = space.within(space.sides(vec), space.rest(vec), space.sides(vec) * space.half, space.rest(vec), reach)
+    want = N.distances(vec, vec) <= reach[:, None]
+    held = np.zeros_like(want)
+    held[q, o] = True
+    assert not (want & ~held).any() and held.sum() < 1.01 * want.sum() + 50
